@@ -5,7 +5,9 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,16 +55,15 @@ def binary_column(batch: pa.RecordBatch, name: str) -> list[bytes | None]:
     return column.to_pylist()
 
 
-def slices(items: list, weight, most: int) -> Iterator[tuple[int, int]]:
-    """Cut ``items`` into ranges of about ``most`` by weight, so temporaries stay bounded."""
-    start, total = 0, 0
-    for i, item in enumerate(items):
-        total += weight(item)
-        if total >= most:
-            yield start, i + 1
-            start, total = i + 1, 0
-    if start < len(items):
-        yield start, len(items)
+def text_batches(batch: pa.RecordBatch, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of about ``most`` bytes of column text, so that temporaries stay bounded."""
+    lengths = pc.binary_length(batch.column("text")).fill_null(0).to_numpy(zero_copy_only=False)
+    at, ends = 0, np.cumsum(lengths, dtype=np.int64)
+    while at < batch.num_rows:
+        base = ends[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, base + most)))
+        yield batch.slice(at, to - at)
+        at = to
 
 
 def long_of_hex(column):

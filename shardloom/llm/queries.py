@@ -5,9 +5,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash
+from . import huffman, simhash
 from ._common import table
 
 
@@ -16,8 +17,13 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_huffman(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of ``documents`` from their files: doc_id, start, n_tokens, ids_crc32."""
+    return huffman.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_simhash": op1_simhash}
+    return {"op1_simhash": op1_simhash, "op7_huffman": op7_huffman}
 
 
 def oracle_sql() -> dict[str, str]:
