@@ -7,8 +7,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import huffman, simhash
+from . import huffman, lines, simhash
 from ._common import table
 
 
@@ -22,9 +23,27 @@ def op7_huffman(spark: SparkSession, sf_dir: str) -> DataFrame:
     return huffman.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``documents`` without repeated lines: doc_id, n_lines, n_dropped, kept_sha256."""
+    out = lines.dedup_lines(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+_OP9_SQL = r"""
+WITH d AS (SELECT doc_id, string_split(coalesce(text, $$$$), chr(10)) AS ls FROM documents),
+k AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM d),
+n AS (SELECT doc_id, i, line, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+        $$ABCDEFGHIJKLMNOPQRSTUVWXYZ$$, $$abcdefghijklmnopqrstuvwxyz$$) AS key FROM k),
+f AS (SELECT key, max(doc_id) AS last FROM n WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3)
+SELECT n.doc_id, count(*) AS n_lines, count(*) FILTER (WHERE f.key IS NOT NULL AND n.doc_id <> f.last) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE f.key IS NULL OR n.doc_id = f.last), $$$$)) AS kept_sha256
+FROM n LEFT JOIN f ON n.key = f.key GROUP BY n.doc_id
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_simhash": op1_simhash, "op7_huffman": op7_huffman}
+    return {"op1_simhash": op1_simhash, "op7_huffman": op7_huffman, "op9_lines": op9_lines}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_lines": _OP9_SQL}
