@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import huffman, lines, simhash
+from . import huffman, lines, simhash, winnow
 from ._common import table
 
 
@@ -41,9 +41,36 @@ FROM n LEFT JOIN f ON n.key = f.key GROUP BY n.doc_id
 """
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``documents`` against ``benchmark``: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
+    out = winnow.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    digest = F.sha2(F.array_join("items", ","), 256).alias("items_sha256")
+    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest, "contaminated")
+
+
+_OP8_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, $$$$), $$ABCDEFGHIJKLMNOPQRSTUVWXYZ$$, $$abcdefghijklmnopqrstuvwxyz$$),
+        $$[^\x00-\x2F\x3A-\x60\x7B-\x7F]+$$) AS ws FROM documents),
+b AS (SELECT item_id, ws, least(10, len(ws)) AS m FROM (SELECT item_id, regexp_extract_all(translate(coalesce(text, $$$$),
+        $$ABCDEFGHIJKLMNOPQRSTUVWXYZ$$, $$abcdefghijklmnopqrstuvwxyz$$), $$[^\x00-\x2F\x3A-\x60\x7B-\x7F]+$$) AS ws FROM benchmark)
+      WHERE len(ws) > 0),
+g AS (SELECT DISTINCT item_id, m, array_to_string(ws[j:j + m - 1], chr(32)) AS gram
+      FROM (SELECT item_id, m, ws, unnest(range(1, len(ws) - m + 2)) AS j FROM b)),
+p AS (SELECT doc_id, m, j, array_to_string(ws[j:j + m - 1], chr(32)) AS gram FROM
+      (SELECT doc_id, ws, m, unnest(range(1, len(ws) - m + 2)) AS j FROM w, (SELECT DISTINCT m FROM b) ms)),
+h AS (SELECT p.doc_id, g.item_id, p.m, p.j FROM p JOIN g ON p.gram = g.gram AND p.m = g.m),
+hit AS (SELECT doc_id, count(DISTINCT i) AS n_hit FROM (SELECT doc_id, unnest(range(j, j + m)) AS i FROM h) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(s, $$,$$ ORDER BY s) AS ids
+      FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS s FROM h) GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(ids, $$$$)) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM w LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_simhash": op1_simhash, "op7_huffman": op7_huffman, "op9_lines": op9_lines}
+    return {"op1_simhash": op1_simhash, "op7_huffman": op7_huffman, "op9_lines": op9_lines, "op8_decontaminate": op8_decontaminate}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_lines": _OP9_SQL}
+    return {"op8_decontaminate": _OP8_SQL, "op9_lines": _OP9_SQL}
