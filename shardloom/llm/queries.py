@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import huffman, lines, simhash, winnow
+from . import digest, huffman, lines, simhash, winnow
 from ._common import table
 
 
@@ -68,8 +68,13 @@ FROM w LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 
+def op6_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Canonical exact digests of ``documents`` and of their edited texts."""
+    return digest.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_simhash": op1_simhash, "op7_huffman": op7_huffman, "op9_lines": op9_lines, "op8_decontaminate": op8_decontaminate}
+    return {"op1_simhash": op1_simhash, "op7_huffman": op7_huffman, "op9_lines": op9_lines, "op8_decontaminate": op8_decontaminate, "op6_digest": op6_digest}
 
 
 def oracle_sql() -> dict[str, str]:
