@@ -19,66 +19,134 @@ checkpoints of a block side by side.
 
 from __future__ import annotations
 
+import gc
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialise, shared_dir, text_batches
+from ._common import materialise, range_bounds, range_bucket, shared_dir, text_batches
 
 END_ID = 1
 LIMIT = 16
 CHECKPOINT = 256
 #: Payload bytes after which a block is closed; a block has at least one whole document.
 BLOCK_BYTES = 1 << 20
-#: Pieces kept by a worker in each of two generations.
-CACHE = 300_000
+#: Words and other pieces kept by a worker in each of two generations.
+CACHE = 600_000
 _LONG_PIECE = 64
 
 
+#: Punctuation after a word that no rule of the tokenizer joins to letters or to a special token.
+_AFTER = ".,;:!?*#$%&()-\"/@+=_~^{}[]\\`"
+#: Letters beside A-Z that keep their form under NFC.
+_LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+
+
+def _is_word(text: str) -> bool:
+    return text.isalpha() and (text.isascii() or _LETTERS.fullmatch(text) is not None)
+
+
+class _Generations:
+    """A dict of bounded size: what was not asked for in the last generation goes."""
+
+    def __init__(self, most: int):
+        self.most, self.new, self.old = most, {}, {}
+
+    def missing(self, keys) -> list:
+        """The keys to find; others of the old generation move to the new one."""
+        unknown = set(filterfalse(self.new.__contains__, keys))
+        again = list(filter(self.old.__contains__, unknown))
+        self.new.update(zip(again, map(self.old.__getitem__, again)))
+        return list(unknown.difference(again))
+
+    def turn(self) -> None:
+        if len(self.new) > self.most:
+            self.old, self.new = self.new, {}
+
+
 class PieceEncoder:
     """Encodes texts with a tokenizer that never joins characters across a space or line
-    feed, so each piece between them is encoded once and looked up after that."""
+    feed, so each distinct piece between them is encoded once and looked up after that. A
+    word with punctuation after it is put together from the two; many new words are encoded
+    in one call and cut where the tokenizer marks a word's end.
+    """
 
     def __init__(self, path: str, cache: int = CACHE):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.most = cache
-        self.new: dict[str, bytes] = {"": b""}
-        self.old: dict[str, bytes] = {}
+        size = self.tokenizer.get_vocab_size()
+        self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
+        self.ends = np.zeros(size, dtype=bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.ends[i] = token.endswith("</w>")
+        self.cache, self.tails = _Generations(cache), {"": b""}
 
     def _encode(self, pieces: list[str]) -> list[bytes]:
         encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
         return [np.array(e.ids, dtype=self.dtype).tobytes() for e in encode(pieces, add_special_tokens=False)]
 
-    def __call__(self, texts: list[str | None], end: bytes) -> list[bytes]:
-        split = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
-        seen = set(chain.from_iterable(split))
-        unknown = seen.difference(self.new)
-        unknown.discard("")
-        found = {p: self.old[p] for p in unknown if p in self.old}
-        fresh = [p for p in unknown if p not in found]
-        found |= zip(fresh, self._encode(fresh))
-        if len(self.new) + len(found) > self.most:
-            self.old, self.new = self.new, {"": b""}
-            found |= {p: self.old[p] for p in seen if p in self.old}
-        self.new |= found
-        get = self.new.__getitem__
-        out = [b"".join(map(get, pieces)) + end for pieces in split]
-        for p in found:
-            if len(p) > _LONG_PIECE:
-                del self.new[p]
+    def _encode_words(self, words: list[str]) -> list[bytes]:
+        out: list[bytes] = []
+        for at in range(0, len(words), 10_000):
+            some = words[at : at + 10_000]
+            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, dtype=self.dtype)
+            cuts = ((np.flatnonzero(self.ends[ids]) + 1) * ids.itemsize).tolist()
+            if len(cuts) != len(some):  # not a tokenizer that marks each word's end
+                out += self._encode(some)
+                continue
+            data = ids.tobytes()
+            out += [data[a:b] for a, b in zip([0, *cuts], cuts)]
         return out
 
+    def _find(self, pieces: list[str]) -> list[bytes]:
+        """The ids of distinct pieces."""
+        cores = [p.rstrip(_AFTER) for p in pieces]
+        keys = [c.lower() if _is_word(c) else None for c in cores]
+        tails = ["" if k is None else p[len(c) :] for p, c, k in zip(pieces, cores, keys)]
+        keys = [p if k is None else k for p, k in zip(pieces, keys)]
+        known, fresh = self.cache.new, self.cache.missing(keys)
+        words = [k for k in fresh if _is_word(k)]
+        known.update(zip(words, self._encode_words(words)))
+        other = list(set(fresh).difference(words))
+        known.update(zip(other, self._encode(other)))
+        some = list(set(tails).difference(self.tails))
+        tail_ids = self.tails | dict(zip(some, self._encode(some)))
+        out = [known[k] + tail_ids[t] if t else known[k] for k, t in zip(keys, tails)]
+        if len(tail_ids) < 10_000:
+            self.tails = {t: x for t, x in tail_ids.items() if len(t) < _LONG_PIECE}
+        for k in [k for k in fresh if len(k) > _LONG_PIECE]:
+            del known[k]
+        self.cache.turn()
+        return out
+
+    def __call__(self, texts: pa.StringArray, end: int) -> pa.BinaryArray:
+        """The ids of each text and ``end``. Arrow splits the texts and numbers the distinct
+        pieces of the batch; only these are looked up one by one."""
+        gc.disable()  # millions of strings and tuples, and no cycle among them
+        split = pc.split_pattern(pc.replace_substring(texts.fill_null(""), "\n", " "), " ")
+        numbered = split.flatten().dictionary_encode()
+        found = self._find(numbered.dictionary.to_pylist())
+        sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // self.dtype.itemsize
+        offsets = pa.array(np.r_[0, np.cumsum(sizes)], pa.int32())
+        lists = pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(b"".join(found), dtype=self.dtype)))
+        taken = lists.take(numbered.indices)
+        ends = np.asarray(taken.offsets)[np.asarray(split.offsets) - split.offsets[0].as_py()].astype(np.int64)
+        ids = np.insert(taken.flatten().to_numpy(), ends[1:] - ends[0], end)
+        gc.enable()
+        cuts = (ends - ends[0] + np.arange(len(ends))) * self.dtype.itemsize
+        return pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(cuts.astype(np.int32)), pa.py_buffer(ids)])
+
 
 _encoders: dict[str, PieceEncoder] = {}
 
@@ -92,14 +160,13 @@ def encoder(path: str) -> PieceEncoder:
 def encode(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> tuple[DataFrame, np.dtype]:
     """(doc_id, ids): little-endian ids of each whole text and the end id."""
     dtype = encoder(tokenizer).dtype
-    end = np.array([end_id], dtype=dtype).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(tokenizer)
         for whole in batches:
-            for batch in text_batches(whole):
-                ids = own(batch.column("text").to_pylist(), end)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+            for batch in text_batches(whole, 16 << 20):
+                ids = own(batch.column("text").cast(pa.string()), end_id)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids], ["doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids binary"), dtype
 
@@ -110,8 +177,9 @@ def counts(tokens: DataFrame, dtype: np.dtype) -> dict[int, int]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, dtype=np.int64)
         for batch in batches:
-            for ids in batch.column("ids").to_pylist():
-                own = np.bincount(np.frombuffer(ids, dtype=dtype))
+            ids = batch.column("ids").to_pylist()
+            for at in range(0, len(ids), 500):
+                own = np.bincount(np.frombuffer(b"".join(ids[at : at + 500]), dtype=dtype))
                 if len(own) > len(total):
                     total = np.concatenate([total, np.zeros(len(own) - len(total), dtype=np.int64)])
                 total[: len(own)] += own
@@ -230,8 +298,8 @@ def _code_batches(lengths: dict[int, int], dtype: np.dtype):
                 payload = [data[e - n : e].tobytes() for e, n in zip(ends, n_bytes.tolist())]
                 marks = [inner[f + CHECKPOINT : f + n : CHECKPOINT].astype("<u4").tobytes() for f, n in zip(first, sizes.tolist())]
                 yield pa.RecordBatch.from_arrays(
-                    [whole.column("doc_id").slice(at, to - at), pa.array(sizes, pa.int32()), pa.array(payload, pa.binary()), pa.array(marks, pa.binary())],
-                    ["doc_id", "n_tokens", "payload", "checkpoints"],
+                    [whole.column("part").slice(at, to - at), whole.column("doc_id").slice(at, to - at), pa.array(sizes, pa.int32()), pa.array(payload, pa.binary()), pa.array(marks, pa.binary())],
+                    ["part", "doc_id", "n_tokens", "payload", "checkpoints"],
                 )
                 at = to
 
@@ -243,9 +311,7 @@ _BLOCKS = "part int, block int, start long, doc_id array<long>, n_tokens array<i
 
 def _blocks(most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        part, block, start = TaskContext.get().partitionId(), 0, 0
+        part, block, start = -1, 0, 0
         held: list[list] = [[], [], [], []]
         size = 0
 
@@ -259,7 +325,11 @@ def _blocks(most: int):
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds)], names)
 
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n_tokens", "payload", "checkpoints"))):
+            for at, *row in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                if at != part:
+                    if held[0]:
+                        yield close()
+                    part, block, start = at, 0, 0
                 for have, x in zip(held, row):
                     have.append(x)
                 size += len(row[2])
@@ -272,12 +342,16 @@ def _blocks(most: int):
 
 
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, limit: int = LIMIT, block_bytes: int = BLOCK_BYTES) -> None:
-    """Encode all rows of ``docs`` (doc_id, text) and write the file format at ``path``."""
+    """Encode all rows of ``docs`` (doc_id, text) and write the file format at ``path``, in
+    several ranges of doc_id for each shuffle partition."""
+    parts = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     tokens, dtype = encode(docs, tokenizer, end_id)
     tokens = materialise(tokens, "token-ids")
     lengths = code_lengths(counts(tokens, dtype), limit)
-    coded = tokens.mapInArrow(_code_batches(lengths, dtype), "doc_id long, n_tokens int, payload binary, checkpoints binary")
-    ordered = coded.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "n_tokens", "payload")
+    bounds = range_bounds(tokens, "doc_id", parts)
+    parted = tokens.select(range_bucket("doc_id", bounds).alias("part"), "doc_id", "ids")
+    coded = parted.mapInArrow(_code_batches(lengths, dtype), "part int, doc_id long, n_tokens int, payload binary, checkpoints binary")
+    ordered = coded.repartition("part").sortWithinPartitions("part", "doc_id", "n_tokens", "payload")
     ordered.mapInArrow(_blocks(block_bytes), _BLOCKS).write.option("compression", "none").parquet(path)
     codes = docs.sparkSession.createDataFrame(sorted(lengths.items()), "id long, length int")
     codes.coalesce(1).write.parquet(f"{path}-codes")
