@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import digest, huffman, lines, simhash, winnow
+from . import digest, huffman, langid, lines, simhash, winnow
 from ._common import table
 
 
@@ -73,8 +73,15 @@ def op6_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of each of ``documents``: doc_id, held_out, lang_pred, score, lang_shares."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = langid.identify(docs.select("doc_id", "text"), langid.fold_model(docs))
+    return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score", "lang_shares")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_simhash": op1_simhash, "op7_huffman": op7_huffman, "op9_lines": op9_lines, "op8_decontaminate": op8_decontaminate, "op6_digest": op6_digest}
+    return {"op1_simhash": op1_simhash, "op7_huffman": op7_huffman, "op9_lines": op9_lines, "op8_decontaminate": op8_decontaminate, "op6_digest": op6_digest, "op2_langid": op2_langid}
 
 
 def oracle_sql() -> dict[str, str]:
