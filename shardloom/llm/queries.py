@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import digest, huffman, langid, lines, simhash, winnow
+from . import digest, huffman, langid, lines, mixing, simhash, winnow
 from ._common import table
 
 
@@ -80,8 +80,14 @@ def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score", "lang_shares")
 
 
+def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``documents`` mixed to target weights: doc_id, size, source_size, target, taken, copies."""
+    out = mixing.mix(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_simhash": op1_simhash, "op7_huffman": op7_huffman, "op9_lines": op9_lines, "op8_decontaminate": op8_decontaminate, "op6_digest": op6_digest, "op2_langid": op2_langid}
+    return {"op1_simhash": op1_simhash, "op7_huffman": op7_huffman, "op9_lines": op9_lines, "op8_decontaminate": op8_decontaminate, "op6_digest": op6_digest, "op2_langid": op2_langid, "op4_mix": op4_mix}
 
 
 def oracle_sql() -> dict[str, str]:
