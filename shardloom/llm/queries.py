@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import digest, huffman, langid, lines, mixing, simhash, winnow
+from . import digest, huffman, langid, licenses, lines, mixing, simhash, winnow
 from ._common import table
 
 
@@ -86,8 +86,14 @@ def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op3_license(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and templates in ``documents``: doc_id, n_words, n_base, first_word,
+    last_word, base_labels, labels, score."""
+    return licenses.summary(licenses.scan(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_simhash": op1_simhash, "op7_huffman": op7_huffman, "op9_lines": op9_lines, "op8_decontaminate": op8_decontaminate, "op6_digest": op6_digest, "op2_langid": op2_langid, "op4_mix": op4_mix}
+    return {"op1_simhash": op1_simhash, "op7_huffman": op7_huffman, "op9_lines": op9_lines, "op8_decontaminate": op8_decontaminate, "op6_digest": op6_digest, "op2_langid": op2_langid, "op4_mix": op4_mix, "op3_license": op3_license}
 
 
 def oracle_sql() -> dict[str, str]:
