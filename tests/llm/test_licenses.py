@@ -42,7 +42,7 @@ def test_templates_with_changed_words(docs):
     [span] = got[1].spans
     assert (span.label, span.first) == ("mit", 80) and span.end == 101 and 0.8 <= span.score < 1
     assert got[2].spans == [] and got[4].spans == []
-    assert [(s.label, s.first, s.end, s.score) for s in got[3].spans] == [("all-rights-reserved", 1, 3, 1.0)]
+    assert [(s.label, s.first, s.end, s.score) for s in got[3].spans] == [("all-rights-reserved", 1, 4, 1.0)]
 
 
 def test_empty(docs):
