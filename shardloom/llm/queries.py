@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import digest, huffman, langid, licenses, lines, mixing, simhash, winnow
+from . import digest, huffman, langid, licenses, lines, mixing, simhash, tokens, winnow
 from ._common import table
 
 
@@ -92,8 +92,15 @@ def op3_license(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.summary(licenses.scan(table(spark, sf_dir, "documents")))
 
 
+def op5_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of each line of ``documents``: doc_id, section, start, end, n_tokens, n_crossing."""
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    found = tokens.count_tokens(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+    return found.select("doc_id", "section", "start", "end", F.col("n_tokens").cast("long").alias("n_tokens"), "n_crossing")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_simhash": op1_simhash, "op7_huffman": op7_huffman, "op9_lines": op9_lines, "op8_decontaminate": op8_decontaminate, "op6_digest": op6_digest, "op2_langid": op2_langid, "op4_mix": op4_mix, "op3_license": op3_license}
+    return {"op1_simhash": op1_simhash, "op7_huffman": op7_huffman, "op9_lines": op9_lines, "op8_decontaminate": op8_decontaminate, "op6_digest": op6_digest, "op2_langid": op2_langid, "op4_mix": op4_mix, "op3_license": op3_license, "op5_tokens": op5_tokens}
 
 
 def oracle_sql() -> dict[str, str]:
