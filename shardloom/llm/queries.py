@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import digest, huffman, langid, licenses, lines, mixing, simhash, tokens, winnow
+from . import digest, huffman, langid, licenses, lines, mixing, simhash, suffixes, tokens, winnow
 from ._common import table
 
 
@@ -99,8 +99,14 @@ def op5_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "section", "start", "end", F.col("n_tokens").cast("long").alias("n_tokens"), "n_crossing")
 
 
+def op10_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``documents`` without repeated strings: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
+    found = suffixes.dedup_spans(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_simhash": op1_simhash, "op7_huffman": op7_huffman, "op9_lines": op9_lines, "op8_decontaminate": op8_decontaminate, "op6_digest": op6_digest, "op2_langid": op2_langid, "op4_mix": op4_mix, "op3_license": op3_license, "op5_tokens": op5_tokens}
+    return {"op1_simhash": op1_simhash, "op7_huffman": op7_huffman, "op9_lines": op9_lines, "op8_decontaminate": op8_decontaminate, "op6_digest": op6_digest, "op2_langid": op2_langid, "op4_mix": op4_mix, "op3_license": op3_license, "op5_tokens": op5_tokens, "op10_suffix": op10_suffix}
 
 
 def oracle_sql() -> dict[str, str]:
