@@ -1,13 +1,80 @@
-"""A corpus pipeline of five stages over ``documents``."""
+"""A corpus pipeline of five stages over ``documents``.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; its result is written as
+Parquet and read again as the docs of the next. All but the last return the columns of
+their docs. Rows are told apart by hashes of their contents, so repeated and null ids do no
+harm; rows that are equal in all that counts are interchangeable.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import public_tokenizers
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from shardloom.llm import huffman, langid, mixing, simhash, winnow
+from shardloom.llm._common import materialise, table
+
+#: A document without a letter, or whose leading language has a smaller share, is rejected.
+LEAST_SHARE = 0.4
+
+#: No SQL states the mixture inference or the cube method; tests hold each stage against
+#: brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def _row(*columns: str) -> Column:
+    return F.xxhash64(*columns)
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep documents of one leading language."""
+    found = langid.identify(docs, langid.fold_model(docs))
+    kept = (F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SHARE)
+    return found.where(kept).select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each group of near copies: that of the smallest doc_id (a hash of
+    the text stands for a null one)."""
+    keyed = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")))
+    groups = simhash.near_duplicates(keyed.select(F.col("_id").alias("doc_id"), "text"))
+    first = groups.where("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
+    return keyed.join(first, "_id", "left_semi").dropDuplicates(["_id"]).select(*docs.columns)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that hold a passage of a benchmark item."""
+    keyed = docs.withColumn("_id", _row("doc_id", "text"))
+    found = winnow.decontaminate(keyed.select(F.col("_id").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    leaks = found.where("contaminated").select(F.col("doc_id").alias("_id")).distinct()
+    return keyed.join(leaks, "_id", "left_anti").select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeat each document as often as the mix to target weights takes it."""
+    taken = mixing.mix(docs).groupBy("order").agg(F.sum("copies").cast("int").alias("_copies")).where("_copies > 0")
+    keyed = docs.withColumn("_order", _row("doc_id", "source", "text"))
+    some = keyed.join(taken, F.col("_order") == F.col("order")).dropDuplicates(["_order"])
+    return some.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")).select(*docs.columns)
+
+
+def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Write the mix as token files and report doc_id, start, n_tokens, ids_crc32 from them."""
+    return huffman.round_trip(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("language ID", language_id),
+    ("SimHash near-dedup", near_dedup),
+    ("benchmark decontamination", decontaminate),
+    ("mixing sources", mix_sources),
+    ("token files", token_files),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
