@@ -41,7 +41,7 @@ CHECKPOINT = 256
 #: Payload bytes after which a block is closed; a block has at least one whole document.
 BLOCK_BYTES = 1 << 20
 #: Words and other pieces kept by a worker in each of two generations.
-CACHE = 600_000
+CACHE = 300_000
 _LONG_PIECE = 64
 
 
@@ -164,9 +164,10 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> tuple[DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(tokenizer)
         for whole in batches:
-            for batch in text_batches(whole, 16 << 20):
+            for batch in text_batches(whole, 6 << 20):
                 ids = own(batch.column("text").cast(pa.string()), end_id)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids], ["doc_id", "ids"])
+                pa.default_memory_pool().release_unused()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids binary"), dtype
 
@@ -288,7 +289,7 @@ def _code_batches(lengths: dict[int, int], dtype: np.dtype):
             at = 0
             while at < len(column):
                 to, total = at, 0
-                while to < len(column) and total < 1 << 20:
+                while to < len(column) and total < 1 << 18:
                     total += len(column[to])
                     to += 1
                 ids = np.frombuffer(b"".join(column[at:to]), dtype=dtype)
