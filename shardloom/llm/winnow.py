@@ -80,7 +80,7 @@ def _documents(known: np.ndarray | None, lengths: list[int], k: int, window: int
                 places = pa.array((at - (ends - counts)[owner]).astype(np.int32)) if len(at) else pa.array([], pa.int32())
                 hits = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([pa.array(hashes.view(np.int64), pa.int64()), places], ["h", "at"]))
                 hit = np.diff(np.asarray(offsets)) > 0
-                kept = pa.array([" ".join(t.decode().split()) if h else None for t, h in zip(texts, hit.tolist())], pa.string())
+                kept = pa.array([b" ".join(t.split()).decode() if h else None for t, h in zip(texts, hit.tolist())], pa.string())
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), hits, kept], ["doc_id", "n_words", "hits", "words"])
 
     return run
@@ -124,7 +124,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k
 
     def normalise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words = [" ".join(normal(t).decode().split()) for t in binary_column(batch, "text")]
+            words = [b" ".join(normal(t).split()).decode() for t in binary_column(batch, "text")]
             yield pa.RecordBatch.from_arrays([batch.column("item_id"), pa.array(words, pa.string())], ["item_id", "text"])
 
     named = benchmark.where("item_id IS NOT NULL").select(F.col("item_id").cast("string").alias("item_id"), "text")

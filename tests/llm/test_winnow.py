@@ -30,7 +30,7 @@ def slow(rows, bench):
 
 def data():
     r = random.Random(9)
-    vocabulary = ["a", "b", "Cé", "d1", "e", "漢"]
+    vocabulary = ["a", "b", "Cé", "d1", "e", "漢", "x\u00a0y\u3000"]
     phrase = lambda n: " ".join(r.choice(vocabulary) for _ in range(n))
     bench = [(i, phrase(r.choice([1, 4, 6, 9, 10, 11, 14, 30]))) for i in range(25)]
     bench = [b for b in bench if len(b[1].split()) > 3] + [(100, None), (101, "..."), (None, "a b"), (7, phrase(12)), (102, bench[0][1])]
