@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ._common import binary_column, text_batches
 
@@ -173,8 +174,9 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
                 kinds = pa.map_(pa.string(), pa.float64())
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(pred), pa.array(score), pa.array(shares, kinds)], [*kept, "lang_pred", "score", "lang_shares"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema)
-    return docs.select(*kept).mapInArrow(run, f"{schema}, lang_pred string, score double, lang_shares map<string, double>")
+    schema = T.StructType(list(docs.select(*kept).schema))
+    schema = schema.add("lang_pred", T.StringType()).add("score", T.DoubleType()).add("lang_shares", T.MapType(T.StringType(), T.DoubleType()))
+    return docs.select(*kept).mapInArrow(run, schema)
 
 
 def held_out(doc_id="doc_id"):
