@@ -23,40 +23,41 @@ LEAST_SHARE = 0.4
 ORACLE_SQL = None
 
 
-def _row(*columns: str) -> Column:
-    return F.xxhash64(*columns)
+def _keyed(docs: DataFrame, key: Column) -> DataFrame:
+    """``docs`` as a key and a row of all its columns, whatever their names."""
+    return docs.select(key.alias("key"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"))
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents of one leading language."""
-    found = langid.identify(docs, langid.fold_model(docs))
+    whole = _keyed(docs, F.lit(0)).select("doc", F.col("doc.text").alias("text"))
+    found = langid.identify(whole, langid.fold_model(docs))
     kept = (F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SHARE)
-    return found.where(kept).select(*docs.columns)
+    return found.where(kept).select("doc.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group of near copies: that of the smallest doc_id (a hash of
     the text stands for a null one)."""
-    keyed = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")))
-    groups = simhash.near_duplicates(keyed.select(F.col("_id").alias("doc_id"), "text"))
-    first = groups.where("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
-    return keyed.join(first, "_id", "left_semi").dropDuplicates(["_id"]).select(*docs.columns)
+    keyed = _keyed(docs, F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")))
+    groups = simhash.near_duplicates(keyed.select(F.col("key").alias("doc_id"), F.col("doc.text").alias("text")))
+    first = groups.where("doc_id = component_id").select(F.col("doc_id").alias("key")).distinct()
+    return keyed.join(first, "key", "left_semi").dropDuplicates(["key"]).select("doc.*")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold a passage of a benchmark item."""
-    keyed = docs.withColumn("_id", _row("doc_id", "text"))
-    found = winnow.decontaminate(keyed.select(F.col("_id").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
-    leaks = found.where("contaminated").select(F.col("doc_id").alias("_id")).distinct()
-    return keyed.join(leaks, "_id", "left_anti").select(*docs.columns)
+    keyed = _keyed(docs, F.xxhash64("doc_id", "text"))
+    found = winnow.decontaminate(keyed.select(F.col("key").alias("doc_id"), F.col("doc.text").alias("text")), table(spark, sf_dir, "benchmark"))
+    leaks = found.where("contaminated").select(F.col("doc_id").alias("key")).distinct()
+    return keyed.join(leaks, "key", "left_anti").select("doc.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeat each document as often as the mix to target weights takes it."""
-    taken = mixing.mix(docs).groupBy("order").agg(F.sum("copies").cast("int").alias("_copies")).where("_copies > 0")
-    keyed = docs.withColumn("_order", _row("doc_id", "source", "text"))
-    some = keyed.join(taken, F.col("_order") == F.col("order")).dropDuplicates(["_order"])
-    return some.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")).select(*docs.columns)
+    taken = mixing.mix(docs).groupBy(F.col("order").alias("key")).agg(F.sum("copies").cast("int").alias("copies")).where("copies > 0")
+    some = _keyed(docs, F.xxhash64("doc_id", "source", "text")).join(taken, "key").dropDuplicates(["key"])
+    return some.select("doc", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("doc.*")
 
 
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
