@@ -27,7 +27,7 @@ def tables(spark, docs, folder, rows=None):
         rows += [(400, None, None, None), (401, "1 2 3", "s1", "xx"), (402, "", "s2", None), (None, rows[50][1], None, "yy"), (7, *rows[7][1:])]
     else:
         bench = []
-    frame = docs(rows).withColumn("n_chars", F.length("text").cast("long"))
+    frame = docs(rows).withColumn("n_chars", F.length("text").cast("long")).withColumns({c: F.lit(1) for c in ("order", "score", "key", "doc", "copies", "row")})
     frame.write.mode("overwrite").parquet(f"{folder}/documents.parquet")
     spark.createDataFrame(bench, "item_id long, text string").write.mode("overwrite").parquet(f"{folder}/benchmark.parquet")
     return rows, bench
