@@ -49,6 +49,7 @@ _LONG_PIECE = 64
 _AFTER = ".,;:!?*#$%&()-\"/@+=_~^{}[]\\`"
 #: Letters beside A-Z that keep their form under NFC.
 _LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+_WORD = "^[A-Za-zÀ-ÖØ-öø-ÿ]+$"
 
 
 def _is_word(text: str) -> bool:
@@ -85,6 +86,9 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self._batch = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
+        if resize := getattr(self.tokenizer.model, "_resize_cache", None):
+            resize(0)  # each word comes once
         size = self.tokenizer.get_vocab_size()
         self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         self.ends = np.zeros(size, dtype=bool)
@@ -93,14 +97,13 @@ class PieceEncoder:
         self.cache, self.tails = _Generations(cache), {"": b""}
 
     def _encode(self, pieces: list[str]) -> list[bytes]:
-        encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        return [np.array(e.ids, dtype=self.dtype).tobytes() for e in encode(pieces, add_special_tokens=False)]
+        return [np.array(e.ids, dtype=self.dtype).tobytes() for e in self._batch(pieces, add_special_tokens=False)]
 
     def _encode_words(self, words: list[str]) -> list[bytes]:
         out: list[bytes] = []
         for at in range(0, len(words), 10_000):
             some = words[at : at + 10_000]
-            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, dtype=self.dtype)
+            ids = np.array(self._batch([" ".join(some)], add_special_tokens=False)[0].ids, dtype=self.dtype)
             cuts = ((np.flatnonzero(self.ends[ids]) + 1) * ids.itemsize).tolist()
             if len(cuts) != len(some):  # not a tokenizer that marks each word's end
                 out += self._encode(some)
@@ -109,39 +112,56 @@ class PieceEncoder:
             out += [data[a:b] for a, b in zip([0, *cuts], cuts)]
         return out
 
-    def _find(self, pieces: list[str]) -> list[bytes]:
-        """The ids of distinct pieces."""
-        cores = [p.rstrip(_AFTER) for p in pieces]
-        keys = [c.lower() if _is_word(c) else None for c in cores]
-        tails = ["" if k is None else p[len(c) :] for p, c, k in zip(pieces, cores, keys)]
-        keys = [p if k is None else k for p, k in zip(pieces, keys)]
+    def _find(self, pieces: pa.StringArray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """Id lists, and for each of the distinct ``pieces`` the places of its word's list
+        (or its own) and of its tail's."""
+        cores = pc.utf8_rtrim(pieces, _AFTER)
+        core_size, size = (pc.binary_length(x).to_numpy().astype(np.int64) for x in (cores, pieces))
+        tail_size = size - core_size
+        word = pc.match_substring_regex(cores, _WORD).to_numpy(zero_copy_only=False) & (tail_size <= 7)
+        # up to seven bytes of punctuation, packed into one number
+        offsets = np.frombuffer(pieces.buffers()[1], dtype=np.int32)[pieces.offset :][: len(pieces)].astype(np.int64)
+        data = np.frombuffer(pieces.buffers()[2] or b"", dtype=np.uint8)
+        packed = np.zeros(len(pieces), dtype=np.uint64)
+        for i in range(int(tail_size[word].max(initial=0))):
+            rows = np.flatnonzero(word & (tail_size > i))
+            packed[rows] = packed[rows] << np.uint64(8) | data[offsets[rows] + core_size[rows] + i]
+        tails, tail_at = np.unique(packed, return_inverse=True)
+        tails = [int(t).to_bytes(8).lstrip(b"\0").decode() for t in tails.tolist()]
+        some = [t for t in tails if t not in self.tails]
+        self.tails.update(zip(some, self._encode(some)))
+        tail_ids = [self.tails[t] for t in tails]
+        if len(self.tails) > 10_000:
+            self.tails = {"": b""}
+        keyed = pc.if_else(pa.array(word), pc.utf8_lower(cores), pieces).dictionary_encode()
+        keys = keyed.dictionary.to_pylist()
         known, fresh = self.cache.new, self.cache.missing(keys)
-        words = [k for k in fresh if _is_word(k)]
+        words = list(filter(_is_word, fresh))
         known.update(zip(words, self._encode_words(words)))
         other = list(set(fresh).difference(words))
         known.update(zip(other, self._encode(other)))
-        some = list(set(tails).difference(self.tails))
-        tail_ids = self.tails | dict(zip(some, self._encode(some)))
-        out = [known[k] + tail_ids[t] if t else known[k] for k, t in zip(keys, tails)]
-        if len(tail_ids) < 10_000:
-            self.tails = {t: x for t, x in tail_ids.items() if len(t) < _LONG_PIECE}
+        found = list(map(known.__getitem__, keys))
         for k in [k for k in fresh if len(k) > _LONG_PIECE]:
             del known[k]
         self.cache.turn()
-        return out
+        return found + tail_ids, keyed.indices.to_numpy(), tail_at.reshape(-1) + len(found)
 
     def __call__(self, texts: pa.StringArray, end: int) -> pa.BinaryArray:
         """The ids of each text and ``end``. Arrow splits the texts and numbers the distinct
-        pieces of the batch; only these are looked up one by one."""
-        gc.disable()  # millions of strings and tuples, and no cycle among them
+        pieces of the batch and their words; only words are looked up one by one."""
+        gc.disable()  # millions of strings, and no cycle among them
         split = pc.split_pattern(pc.replace_substring(texts.fill_null(""), "\n", " "), " ")
         numbered = split.flatten().dictionary_encode()
-        found = self._find(numbered.dictionary.to_pylist())
+        found, word_at, tail_at = self._find(numbered.dictionary)
         sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // self.dtype.itemsize
         offsets = pa.array(np.r_[0, np.cumsum(sizes)], pa.int32())
         lists = pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(b"".join(found), dtype=self.dtype)))
-        taken = lists.take(numbered.indices)
-        ends = np.asarray(taken.offsets)[np.asarray(split.offsets) - split.offsets[0].as_py()].astype(np.int64)
+        piece = numbered.indices.to_numpy()
+        both = np.empty(2 * len(piece), dtype=np.int32)
+        both[0::2], both[1::2] = word_at[piece], tail_at[piece]
+        taken = lists.take(pa.array(both))
+        at = (np.asarray(split.offsets) - split.offsets[0].as_py()) * 2
+        ends = np.asarray(taken.offsets)[at].astype(np.int64)
         ids = np.insert(taken.flatten().to_numpy(), ends[1:] - ends[0], end)
         gc.enable()
         cuts = (ends - ends[0] + np.arange(len(ends))) * self.dtype.itemsize
