@@ -138,7 +138,8 @@ def _marked(engine, table, where: list[Node], order: list[Node], limit: list[Nod
         keys = [F.expr(engine._text([x for x in o if x.upper not in ("ASC", "DESC")])).desc() if any(x.upper == "DESC" for x in o) else F.expr(engine._text([x for x in o if x.upper != "ASC"])).asc() for o in split(order)]
         # the first n of the meant rows; a top-k, not a sort of the table
         first = rows.where("_hit").orderBy(*keys, "_id").limit(n).select(F.col("_id"), F.lit(True).alias("_first"))
-        rows = rows.join(F.broadcast(first), "_id", "left").withColumn("_hit", F.coalesce("_first", F.lit(False))).drop("_id", "_first")
+        first = F.broadcast(first) if n <= 10_000 else first
+        rows = rows.join(first, "_id", "left").withColumn("_hit", F.coalesce("_first", F.lit(False))).drop("_id", "_first")
     return rows
 
 

@@ -409,6 +409,10 @@ class Normaliser:
         unit, a, b = split(nodes)
         return f"timestampdiff({unit[0].upper}, {self._moment(a, True)}, {self._moment(b, True)})"
 
+    def _call_grouping(self, nodes: list[Node]) -> str:
+        name = "grouping_id" if len(split(nodes)) > 1 else "grouping"
+        return f"{name}({self.text(nodes)})"
+
     def _call_json_value(self, nodes: list[Node]) -> str:
         doc, rest = split(nodes)[0], [x for part in split(nodes)[1:] for x in part]
         path, at = rest[0], _find(rest, "RETURNING")

@@ -71,6 +71,10 @@ class Engine:
             self.add(name, self.spark.read.parquet(f"{folder}/{name}.parquet"))
         return self
 
+    def function(self, name: str, call: Callable, returns: str) -> None:
+        """Make a Python function known to SQL; built-in functions are the faster way."""
+        self.spark.udf.register(name, call, returns)
+
     # -- reads
 
     def _from_table(self, name: str, alias: str | None, where: list[Node], parts: list[str] | None, n_tables: int) -> str:
@@ -271,6 +275,15 @@ class Engine:
             return self.spark.createDataFrame([(f.name, f.dataType.simpleString()) for f in table.df.select(*table.columns).schema], "field string, type string")
         if "VARIABLES" in words:
             return self.spark.createDataFrame([(k, str(v)) for k, v in sorted(self.variables.items())], "variable_name string, value string")
+        if "STATUS" in words:
+            rows = [(t.name, "parquet", ",".join(t.rule.levels) if t.rule else None) for _, t in sorted(self.tables.items())]
+            return self.spark.createDataFrame(rows, "name string, engine string, sharded_by string")
+        if "INDEX" in words or "INDEXES" in words or "KEYS" in words:
+            return self.spark.createDataFrame([], "table string, key_name string")
+        if "CHARSET" in words or "COLLATION" in words:
+            return self.spark.createDataFrame([("utf8mb4", "utf8mb4_bin")], "charset string, collation string")
+        if "WARNINGS" in words or "ERRORS" in words:
+            return self.spark.createDataFrame([], "level string, code int, message string")
         if "CREATE" in words:
             table = self.tables[nodes[-1].text.lower()]
             ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in table.df.select(*table.columns).schema)

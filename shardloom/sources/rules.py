@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import struct
 import tomllib
+import urllib.request
 import zlib
 from dataclasses import dataclass, field
 
@@ -114,3 +116,15 @@ def from_mapping(data: dict) -> Config:
 
 def from_toml(text: str) -> Config:
     return from_mapping(tomllib.loads(text))
+
+
+def from_file(path: str) -> Config:
+    """A configuration from a TOML file."""
+    with open(path, encoding="utf-8") as source:
+        return from_toml(source.read())
+
+
+def from_url(url: str, timeout: float = 10.0) -> Config:
+    """A configuration that a server gives as JSON."""
+    with urllib.request.urlopen(url, timeout=timeout) as answer:
+        return from_mapping(json.loads(answer.read()))
