@@ -26,7 +26,7 @@ from .words import grams, hashed_words, normal
 WINDOW = 10
 K = 4
 #: Fingerprints of the benchmark that are sent to all executors, at most (8 bytes each).
-BROADCAST_ROWS = 4_000_000
+BROADCAST_ROWS = 2_000_000
 
 
 def selected(words: np.ndarray, counts: np.ndarray, k: int, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -149,7 +149,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k
 
     prints = materialise(items.mapInArrow(item_prints, "item_id string, item_words string, h long, item_at int"), "benchmark-prints")
     few = prints.count() <= broadcast_rows
-    known = np.sort(np.array([r.h for r in prints.select("h").distinct().collect()], dtype=np.int64).view(np.uint64)) if few else None
+    known = np.sort(prints.select("h").distinct().toArrow()["h"].to_numpy().view(np.uint64)) if few else None
     schema = "doc_id long, n_words long, hits array<struct<h: bigint, at: int>>, words string"
     found = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_documents(known, lengths, k, window), schema)
     found = materialise(found.withColumn("uid", F.monotonically_increasing_id()), "document-prints")
