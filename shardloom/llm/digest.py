@@ -98,7 +98,7 @@ def fingerprints(docs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     order = Window.partitionBy("bucket").orderBy("rn")
     near = slim.select("*", F.lead("h1").over(order).alias("n1"), F.lead("h2").over(order).alias("n2"))
     first = slim.where("rn = 1").join(F.broadcast(before), "bucket").select(F.col("previous").alias("bucket"), F.col("h1").alias("f1"), F.col("h2").alias("f2"))
-    near = near.join(F.broadcast(first), "bucket").join(copies(docs), ["h1", "h2"])
+    near = near.join(F.broadcast(first), "bucket").join(materialise(copies(docs), "digest-copies"), ["h1", "h2"])
     same_next = (F.coalesce("n1", "f1") == F.col("h1")) & (F.coalesce("n2", "f2") == F.col("h2"))
     same_edited = (F.col("e1") == F.col("h1")) & (F.col("e2") == F.col("h2"))
     return near.select(
