@@ -90,3 +90,28 @@ def test_empty_table_and_clashing_columns(docs):
     assert simhash.near_duplicates(docs([])).count() == 0
     frame = docs([(1, "a b c d"), (2, "a b c d")]).withColumn("fp", F.lit("x")).withColumn("root", F.lit(1))
     assert {r.component_id for r in simhash.near_duplicates(frame).collect()} == {1}
+
+
+def test_near_copies_of_high_similarity(docs):
+    r = random.Random(12)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(4))
+    rows, groups = [], []
+    for g in range(60):
+        words = [word() for _ in range(r.choice([150, 400]))]
+        own = []
+        for _ in range(3):
+            copy = list(words)
+            for _ in range(len(copy) // 100):
+                copy[r.randrange(len(copy))] = word()
+            own.append(len(rows))
+            rows.append((len(rows), " ".join(copy)))
+        groups.append(own)
+    rows += [(1000, None), (1001, ""), (1002, rows[0][1]), (0, rows[0][1]), (None, rows[3][1])]
+    got = {}
+    for x in simhash.near_copies(docs(rows), block=8).collect():
+        got.setdefault(x.doc_id, set()).add(x.component_id)
+    caught = sum(got[d] == {own[0]} for own in groups for d in own)
+    assert caught >= 0.95 * 180
+    assert got[1000] == got[1001] == {1000} and got[1002] == got[0] == {0} and got[None] == {3}
+    assert all(got[d] <= set(own) for own in groups for d in own)
+    assert simhash.near_copies(docs([])).count() == 0
