@@ -37,10 +37,11 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near copies: that of the smallest doc_id (a hash of
-    the text stands for a null one)."""
+    """Keep one document of each group of near copies (a similarity of about 0.8 or more on
+    shingles of five words): that of the smallest doc_id (a hash of the text stands for a null
+    one)."""
     keyed = _keyed(docs, F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")))
-    groups = simhash.near_duplicates(keyed.select(F.col("key").alias("doc_id"), F.col("doc.text").alias("text")))
+    groups = simhash.near_copies(keyed.select(F.col("key").alias("doc_id"), F.col("doc.text").alias("text")))
     first = groups.where("doc_id = component_id").select(F.col("doc_id").alias("key")).distinct()
     return keyed.join(first, "key", "left_semi").dropDuplicates(["key"]).select("doc.*")
 
