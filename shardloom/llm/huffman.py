@@ -33,11 +33,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialise, range_bounds, range_bucket, shared_dir, text_batches
+from ._common import forget_at_exit, materialise, range_bounds, range_bucket, shared_dir, text_batches
 
 END_ID = 1
 LIMIT = 16
 CHECKPOINT = 256
+#: Ranges of doc_id, at most: their bounds are part of the plan.
+MOST_PARTS = 8192
 #: Payload bytes after which a block is closed; a block has at least one whole document.
 BLOCK_BYTES = 1 << 20
 #: Words and other pieces kept by a worker in each of two generations.
@@ -251,8 +253,9 @@ class Codec:
         first = np.concatenate([[0], np.cumsum(span)[:-1]]).astype(np.int64) if len(order) else size
         symbols = np.array(order, dtype=np.int64)
         most = int(symbols.max(initial=0)) + 1
-        self.code, self.length = np.zeros(most, dtype=np.uint64), np.zeros(most, dtype=np.int64)
-        self.code[symbols] = (first >> (self.bits - size)).astype(np.uint64)
+        # codes stand at the upper end of 64 bits, so a shift to their place drops what goes over
+        self.code, self.length = np.zeros(most, dtype=np.uint64), np.zeros(most, dtype=np.uint8)
+        self.code[symbols] = first.astype(np.uint64) << np.uint64(64 - self.bits)
         self.length[symbols] = size
         self.symbol_of = np.zeros(1 << self.bits, dtype=np.uint32)
         self.length_of = np.ones(1 << self.bits, dtype=np.uint8)
@@ -262,24 +265,23 @@ class Codec:
 
     def encode(self, ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Bytes of documents of ``sizes`` ids each (none empty), bytes of each document,
-        and the bit offset of each id from its document's first bit."""
+        and the bit at which each id begins."""
         length = self.length[ids]
-        ends = np.cumsum(length)
-        last = np.cumsum(sizes) - 1
-        bits = np.diff(np.r_[0, ends[last]])
+        starts = np.cumsum(sizes) - sizes
+        bits = np.add.reduceat(length, starts, dtype=np.int64)
         n_bytes = (bits + 7) // 8
-        begin = np.r_[0, np.cumsum(n_bytes)[:-1]] * 8
-        inner = ends - length - np.repeat(ends[last] - bits, sizes)
-        at = inner + np.repeat(begin, sizes)
-        word, room = at >> 6, 64 - (at & 63) - length
+        step = length.astype(np.int64)
+        step[starts[1:]] += (n_bytes * 8 - bits)[:-1]  # each document begins at a byte
+        at = np.cumsum(step) - length
+        word, inside = at >> 6, (at & 63).astype(np.uint64)
         code = self.code[ids]
-        high = np.where(room >= 0, code << np.maximum(room, 0).astype(np.uint64), code >> np.maximum(-room, 0).astype(np.uint64))
         first = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
         words = np.zeros(int(word[-1]) + 2, dtype=np.uint64)
-        words[word[first]] = np.add.reduceat(high, first)
-        over = np.flatnonzero(room < 0)
-        words[word[over] + 1] |= code[over] << (64 + room[over]).astype(np.uint64)
-        return words.astype(">u8").view(np.uint8)[: int(n_bytes.sum())], n_bytes, inner
+        words[word[first]] = np.add.reduceat(code >> inside, first)
+        last = np.append(first[1:], len(ids)) - 1  # only the last id of a word goes over
+        last = last[inside[last] + length[last] > 64]
+        words[word[last] + 1] |= code[last] << (np.uint64(64) - inside[last])
+        return words.astype(">u8").view(np.uint8)[: int(n_bytes.sum())], n_bytes, at
 
     def decode(self, payload: np.ndarray, at: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """All ids of runs of ``sizes`` ids that begin at bits ``at``, run after run."""
@@ -314,10 +316,10 @@ def _code_batches(lengths: dict[int, int], dtype: np.dtype):
                     to += 1
                 ids = np.frombuffer(b"".join(column[at:to]), dtype=dtype)
                 sizes = np.array([len(x) for x in column[at:to]], dtype=np.int64) // dtype.itemsize
-                data, n_bytes, inner = codec.encode(ids, sizes)
+                data, n_bytes, bit = codec.encode(ids, sizes)
                 ends, first = np.cumsum(n_bytes).tolist(), (np.cumsum(sizes) - sizes).tolist()
                 payload = [data[e - n : e].tobytes() for e, n in zip(ends, n_bytes.tolist())]
-                marks = [inner[f + CHECKPOINT : f + n : CHECKPOINT].astype("<u4").tobytes() for f, n in zip(first, sizes.tolist())]
+                marks = [(bit[f + CHECKPOINT : f + n : CHECKPOINT] - bit[f]).astype("<u4").tobytes() for f, n in zip(first, sizes.tolist())]
                 yield pa.RecordBatch.from_arrays(
                     [whole.column("part").slice(at, to - at), whole.column("doc_id").slice(at, to - at), pa.array(sizes, pa.int32()), pa.array(payload, pa.binary()), pa.array(marks, pa.binary())],
                     ["part", "doc_id", "n_tokens", "payload", "checkpoints"],
@@ -365,7 +367,7 @@ def _blocks(most: int):
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, limit: int = LIMIT, block_bytes: int = BLOCK_BYTES) -> None:
     """Encode all rows of ``docs`` (doc_id, text) and write the file format at ``path``, in
     several ranges of doc_id for each shuffle partition."""
-    parts = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = min(MOST_PARTS, 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     tokens, dtype = encode(docs, tokenizer, end_id)
     tokens = materialise(tokens, "token-ids")
     lengths = code_lengths(counts(tokens, dtype), limit)
@@ -434,4 +436,6 @@ def round_trip(docs: DataFrame, tokenizer: str, end_id: int = END_ID, limit: int
     spark = docs.sparkSession
     path = f"{shared_dir(spark)}/token-files-{uuid.uuid4().hex}"
     write(docs, path, tokenizer, end_id, limit, block_bytes)
+    forget_at_exit(spark, path)
+    forget_at_exit(spark, f"{path}-codes")
     return read(spark, path)
