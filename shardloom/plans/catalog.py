@@ -200,6 +200,20 @@ _sql("win_range_frame", "SELECT o_orderkey, COUNT(*) OVER (PARTITION BY o_orders
 _sql("win_range_interval", "SELECT event_id, COUNT(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 DAY PRECEDING AND CURRENT ROW) AS v FROM events")
 
 
+_sql(
+    "win_groups_sql",
+    "SELECT o.o_orderkey, COUNT(*) OVER (PARTITION BY o.o_orderstatus ORDER BY o.o_custkey GROUPS BETWEEN 2 PRECEDING AND 1 FOLLOWING) AS v FROM orders o WHERE o.o_totalprice > 50000",
+    "SELECT o_orderkey, COUNT(*) OVER (PARTITION BY o_orderstatus ORDER BY o_custkey GROUPS BETWEEN 2 PRECEDING AND 1 FOLLOWING) AS v FROM orders WHERE o_totalprice > 50000",
+    rules={"orders": ORDERS_BOTH},
+)
+_E = "OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING EXCLUDE CURRENT ROW)"
+_sql(
+    "win_exclude_sql",
+    f"SELECT o_orderkey, SUM(o_custkey + o_orderkey) {_E} AS s, COUNT(*) {_E} AS n, MIN(o_totalprice) {_E} AS lo, MAX(o_totalprice) {_E} AS hi, AVG(o_orderkey) {_E} AS a FROM orders",
+    f"SELECT o_orderkey, CAST(SUM(o_custkey + o_orderkey) {_E} AS BIGINT) AS s, COUNT(*) {_E} AS n, MIN(o_totalprice) {_E} AS lo, MAX(o_totalprice) {_E} AS hi, AVG(o_orderkey) {_E} AS a FROM orders",
+)
+
+
 @_frame("win_groups_frame", "SELECT o_orderkey, CAST(SUM(o_orderkey) OVER (PARTITION BY o_orderstatus ORDER BY o_custkey GROUPS BETWEEN 1 PRECEDING AND CURRENT ROW) AS BIGINT) AS v FROM orders")
 def _groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = load(spark, sf_dir, "orders")

@@ -65,7 +65,7 @@ class Normaliser:
         return render(self.rewrite(nodes))
 
     def rewrite(self, nodes: list[Node]) -> list[Node]:
-        nodes = self._clauses(list(nodes))
+        nodes = self._peers(self._clauses(list(nodes)))
         if self.from_table:
             nodes = self._tables(nodes)
         nodes = self._calls(nodes)
@@ -172,6 +172,77 @@ class Normaliser:
                 i += 1
         return out + nodes[end:]
 
+    # -- window frames
+
+    @staticmethod
+    def _peers(nodes: list[Node]) -> list[Node]:
+        """GROUPS frames of a block over one table: a peer group's number is its dense rank,
+        found in a derived table, and the frame is a RANGE over it."""
+
+        def has_groups(n: Node) -> bool:
+            return isinstance(n, Group) and any(_is(x, "GROUPS") and _is(n.nodes[i + 1], "BETWEEN", "UNBOUNDED", "CURRENT") | (n.nodes[i + 1].kind == "number") for i, x in enumerate(n.nodes[:-1]))
+
+        if not any(has_groups(n) for n in nodes):
+            return nodes
+        select, start = _find(nodes, "SELECT"), _find(nodes, "FROM")
+        ends = ("WHERE", "GROUP", "HAVING", "ORDER", "LIMIT", "UNION", "WINDOW")
+        end = next((i for i in range(start + 1, len(nodes)) if _is(nodes[i], *ends)), len(nodes))
+        source = nodes[start + 1 : end]
+        stop = end
+        if end < len(nodes) and _is(nodes[end], "WHERE"):
+            stop = next((i for i in range(end + 1, len(nodes)) if _is(nodes[i], *ends)), len(nodes))
+        if select < 0 or any(_op(n, ",") or _is(n, "JOIN") for n in source) or any(_is(n, "GROUP", "UNION", "WINDOW") for n in nodes) or any(_op(n, "*") for n in nodes[select + 1 : start]):
+            raise SqlError("GROUPS frames ask for one table, a list of columns, and no GROUP BY, UNION or WINDOW")
+        source = [n for n in source if not _is(n, "AS")]
+        alias = source[-1] if len(source) > 1 and not _op(source[-2], ".") else source[-1]
+        inner: list[Node] = [Token("word", "SELECT"), Token("op", "*")]
+        out: list[Node] = []
+        for n in nodes[:start]:
+            if not has_groups(n):
+                out.append(n)
+                continue
+            at = next(i for i, x in enumerate(n.nodes) if _is(x, "GROUPS"))
+            order = _find(n.nodes, "ORDER")
+            peer = Token("word", f"_peer{len(inner)}")
+            inner += [Token("op", ","), Token("word", "DENSE_RANK"), Group([]), Token("word", "OVER"), Group(n.nodes[:at]), Token("word", "AS"), peer]
+            out.append(Group([*n.nodes[:order], Token("word", "ORDER"), Token("word", "BY"), peer, Token("word", "RANGE"), *n.nodes[at + 1 :]]))
+        inner += [Token("word", "FROM"), *nodes[start + 1 : end], *nodes[end:stop]]
+        return [*out, nodes[start], Group(inner), Token("word", "AS"), alias, *nodes[stop:]]
+
+    def _excluded(self, name: str, argument: str, spec: list[Node]) -> str:
+        """An aggregate over a frame without the current row."""
+        at = _find(spec, "EXCLUDE")
+        what, spec = [n.upper for n in spec[at + 1 :]], spec[:at]
+        call = f"{name.lower()}({argument})"
+        over = lambda f, w: f"({f} OVER ({self.text(w)}))"
+        if what == ["NO", "OTHERS"]:
+            return over(call, spec)
+        if what != ["CURRENT", "ROW"] or name not in ("SUM", "COUNT", "AVG", "MIN", "MAX"):
+            raise SqlError(f"EXCLUDE {' '.join(what)} of {name} has a DataFrame function and no SQL text")
+        kind = next((i for i, n in enumerate(spec) if _is(n, "ROWS", "RANGE")), len(spec))
+        frame, head = spec[kind:], spec[:kind]
+        between = len(frame) > 1 and _is(frame[1], "BETWEEN")
+        cut = next((i for i, n in enumerate(frame) if _is(n, "AND")), len(frame))
+        low, high = frame[2 if between else 1 : cut], frame[cut + 1 :] or [Token("word", "CURRENT"), Token("word", "ROW")]
+        if _is(low[-1] if low else None, "FOLLOWING") or _is(high[-1], "PRECEDING"):
+            return over(call, spec)  # the current row is outside
+        if name in ("MIN", "MAX"):
+            if not frame or not _is(frame[0], "ROWS"):
+                raise SqlError("EXCLUDE CURRENT ROW of MIN and MAX asks for a ROWS frame")
+            rows, one = [Token("word", "ROWS"), Token("word", "BETWEEN")], Token("number", "1")
+            sides = []
+            if not _is(low[-1], "ROW"):
+                sides.append(over(call, [*head, *rows, *low, Token("word", "AND"), one, Token("word", "PRECEDING")]))
+            if not _is(high[-1], "ROW"):
+                sides.append(over(call, [*head, *rows, one, Token("word", "FOLLOWING"), Token("word", "AND"), *high]))
+            return f"{'least' if name == 'MIN' else 'greatest'}({', '.join(sides)})" if len(sides) > 1 else sides[0] if sides else "NULL"
+        own = "1" if argument == "*" else f"CASE WHEN ({argument}) IS NULL THEN 0 ELSE 1 END"
+        count = f"({over(f'count({argument})', spec)} - {own})"
+        if name == "COUNT":
+            return count
+        total = f"({over(f'sum({argument})', spec)} - coalesce({argument}, 0))"
+        return f"(CASE WHEN {count} > 0 THEN {total}{' / ' + count if name == 'AVG' else ''} END)"
+
     # -- calls
 
     def _args(self, group: Group) -> list[str]:
@@ -207,6 +278,10 @@ class Normaliser:
                 while over < len(nodes) and _is(nodes[over], "IGNORE", "RESPECT", "NULLS", "FROM", "FIRST", "LAST") and not (_is(nodes[over], "FROM") and not _is(nodes[over + 1] if over + 1 < len(nodes) else None, "FIRST", "LAST")):
                     over += 1
                 windowed = over < len(nodes) and _is(nodes[over], "OVER")
+                if windowed and isinstance(nodes[over + 1], Group) and _find(nodes[over + 1].nodes, "EXCLUDE") >= 0:
+                    out.append(_raw(self._excluded(n.upper, self.text(group.nodes), nodes[over + 1].nodes)))
+                    i = over + 2
+                    continue
                 text = self._call(n, group, windowed)
                 if windowed:
                     between = [x for x in nodes[i + 2 : over]]

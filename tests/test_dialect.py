@@ -128,3 +128,13 @@ def test_session_statements(engine):
     engine.guards.append(CircuitBreak(["(?i)select .* for update"]))
     with pytest.raises(QueryRejected):
         engine.query("select k from t FOR UPDATE")
+
+
+def test_frames(engine):
+    rows = engine.query("SELECT k, SUM(k) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING EXCLUDE CURRENT ROW) AS s, COUNT(k) OVER (ORDER BY k GROUPS BETWEEN CURRENT ROW AND 1 FOLLOWING) AS n FROM t ORDER BY k").collect()
+    assert [tuple(r) for r in rows] == [(1, 5, 2), (2, 4, 2), (3, 3, 1)]
+    assert [r.m for r in engine.query("SELECT MIN(k) OVER (ORDER BY k ROWS CURRENT ROW EXCLUDE CURRENT ROW) AS m FROM t").collect()] == [None] * 3
+    assert engine.query("SELECT SUM(k) OVER (ORDER BY k EXCLUDE NO OTHERS) AS m FROM t").count() == 3
+    for bad in ("SELECT SUM(k) OVER (ORDER BY k EXCLUDE TIES) FROM t", "SELECT *, SUM(k) OVER (ORDER BY k GROUPS 1 PRECEDING) FROM t"):
+        with pytest.raises(SqlError):
+            engine.query(bad)
