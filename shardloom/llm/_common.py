@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -52,6 +53,54 @@ def forget_at_exit(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
 
 
+#: Rows of an Arrow batch, so that a batch of long texts stays small on both sides.
+BATCH_ROWS = 2000
+#: What workers keep between tasks; only the operator that ran last keeps anything.
+_kept: list[dict] = []
+_last = ""
+
+
+def kept() -> dict:
+    """A dict for what a worker keeps between the tasks of one operator."""
+    _kept.append({})
+    return _kept[-1]
+
+
+def _enter(name: str) -> None:
+    global _last
+    if _last != name:
+        for cache in _kept:
+            cache.clear()
+        _last = name
+
+
+def _trim() -> None:
+    """Give freed memory back to the system, where the allocators can."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def own(name: str, run: Callable) -> Callable:
+    """``run`` as a task of an operator: Python workers serve many operators in turn, and
+    what one leaves in them would count against the next."""
+    spark = SparkSession.getActiveSession()
+    if spark is not None:
+        key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+        if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+            spark.conf.set(key, str(BATCH_ROWS))
+
+    def task(batches: Iterator) -> Iterator:
+        _enter(name)
+        try:
+            yield from run(batches)
+        finally:
+            _trim()
+
+    return task
+
+
 def binary_column(batch: pa.RecordBatch, name: str) -> list[bytes | None]:
     """A string column's UTF-8 bytes, without decoding them."""
     column = batch.column(name)

@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import forget_at_exit, materialise, range_bounds, range_bucket, shared_dir, text_batches
+from ._common import forget_at_exit, kept, materialise, own, range_bounds, range_bucket, shared_dir, text_batches
 
 END_ID = 1
 LIMIT = 16
@@ -170,7 +170,7 @@ class PieceEncoder:
         return pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(cuts.astype(np.int32)), pa.py_buffer(ids)])
 
 
-_encoders: dict[str, PieceEncoder] = {}
+_encoders: dict[str, PieceEncoder] = kept()
 
 
 def encoder(path: str) -> PieceEncoder:
@@ -191,7 +191,7 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> tuple[DataF
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids], ["doc_id", "ids"])
                 pa.default_memory_pool().release_unused()
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids binary"), dtype
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(own("huffman", run), "doc_id long, ids binary"), dtype
 
 
 def counts(tokens: DataFrame, dtype: np.dtype) -> dict[int, int]:
@@ -209,7 +209,7 @@ def counts(tokens: DataFrame, dtype: np.dtype) -> dict[int, int]:
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], ["id", "n"])
 
-    rows = tokens.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    rows = tokens.select("ids").mapInArrow(own("huffman", run), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     return {r.id: r.n for r in rows}
 
 
@@ -373,9 +373,9 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, limi
     lengths = code_lengths(counts(tokens, dtype), limit)
     bounds = range_bounds(tokens, "doc_id", parts)
     parted = tokens.select(range_bucket("doc_id", bounds).alias("part"), "doc_id", "ids")
-    coded = parted.mapInArrow(_code_batches(lengths, dtype), "part int, doc_id long, n_tokens int, payload binary, checkpoints binary")
+    coded = parted.mapInArrow(own("huffman", _code_batches(lengths, dtype)), "part int, doc_id long, n_tokens int, payload binary, checkpoints binary")
     ordered = coded.repartition("part").sortWithinPartitions("part", "doc_id", "n_tokens", "payload")
-    ordered.mapInArrow(_blocks(block_bytes), _BLOCKS).write.option("compression", "none").parquet(path)
+    ordered.mapInArrow(own("huffman", _blocks(block_bytes)), _BLOCKS).write.option("compression", "none").parquet(path)
     codes = docs.sparkSession.createDataFrame(sorted(lengths.items()), "id long, length int")
     codes.coalesce(1).write.parquet(f"{path}-codes")
 
@@ -422,7 +422,7 @@ def read(spark, path: str, with_ids: bool = False) -> DataFrame:
         base.append((part, total))
         total += n
     bases = spark.createDataFrame(base, "part int, base long")
-    rows = files.mapInArrow(run, schema).join(F.broadcast(bases), "part")
+    rows = files.mapInArrow(own("huffman", run), schema).join(F.broadcast(bases), "part")
     return rows.select("doc_id", (F.col("start") + F.col("base")).alias("start"), "n_tokens", "ids_crc32", *["ids"] * with_ids)
 
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import binary_column, text_batches
+from ._common import binary_column, own, text_batches
 
 N = 3
 CELLS = 1 << 15
@@ -142,7 +142,7 @@ def train(rows: DataFrame, sample: int = SAMPLE) -> Model:
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(used), i), pa.int32()), pa.array(used, pa.int32()), pa.array(total[lang][used], pa.int64())], ["l", "cell", "n"])
 
     counts = np.zeros((CELLS, len(langs)))
-    found = rows.where(some).select("lang", "text").mapInArrow(count, "l int, cell int, n long").groupBy("l", "cell").agg(F.sum("n").alias("n"))
+    found = rows.where(some).select("lang", "text").mapInArrow(own("langid", count), "l int, cell int, n long").groupBy("l", "cell").agg(F.sum("n").alias("n"))
     got = found.toPandas()  # languages x cells at most
     counts[got["cell"], got["l"]] = got["n"]
     logp = np.log((counts + 0.5) / (counts.sum(axis=0) + 0.5 * CELLS))
@@ -176,7 +176,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
     schema = T.StructType(list(docs.select(*kept).schema))
     schema = schema.add("lang_pred", T.StringType()).add("score", T.DoubleType()).add("lang_shares", T.MapType(T.StringType(), T.DoubleType()))
-    return docs.select(*kept).mapInArrow(run, schema)
+    return docs.select(*kept).mapInArrow(own("langid", run), schema)
 
 
 def held_out(doc_id="doc_id"):

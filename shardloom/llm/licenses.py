@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import binary_column, materialise, text_batches
+from ._common import binary_column, materialise, own, text_batches
 from .words import grams, hashed_words, normal
 
 #: The base phrases and their labels (fixed values).
@@ -124,7 +124,7 @@ def scan(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES, threshold: float
     ks = sorted({r[-1] for r in rows})
     known = np.unique(np.array([r[0] for r in rows], dtype=np.int64).view(np.uint64))
     schema = "doc_id long, n_words long, hits array<struct<h: bigint, at: int, run: string>>"
-    found = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_scan(known, ks), schema)
+    found = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(own("licenses", _scan(known, ks)), schema)
     found = materialise(found.withColumn("row", F.monotonically_increasing_id()), "license-hits")
     table = spark.createDataFrame(rows, "h long, t_run string, template int, label string, exact boolean, runs int, t_at int, k int")
     hits = found.where(F.size("hits") > 0).select("row", F.explode("hits").alias("hit")).select("row", "hit.h", "hit.at", "hit.run")

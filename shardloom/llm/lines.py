@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import binary_column, materialise
+from ._common import binary_column, kept, materialise, own
 from .mph import MinimalHash
 
 MIN_CHARS = 20
@@ -67,7 +67,7 @@ def line_keys(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
             ids = batch.column("doc_id").take(pa.array(np.repeat(np.arange(len(sizes)), sizes)))
             yield pa.RecordBatch.from_arrays([pa.array(hi.view(np.int64)), pa.array(lo.view(np.int64)), ids], ["hi", "lo", "doc_id"])
 
-    rows = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "hi long, lo long, doc_id long")
+    rows = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(own("lines", run), "hi long, lo long, doc_id long")
     return rows.groupBy("hi", "lo", "doc_id").agg(F.count(F.lit(1)).alias("n_rows")).drop("n_rows")
 
 
@@ -110,7 +110,7 @@ class Index:
 
 #: Stands for a null doc_id, which is never the largest holder of a line.
 _NO_ID = np.iinfo(np.int64).min
-_indexes: dict[str, Index] = {}
+_indexes: dict[str, Index] = kept()
 
 
 def _index_of(token: str, sent) -> Index:
@@ -177,7 +177,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
             ids = batch.column("doc_id").fill_null(_NO_ID).to_numpy(zero_copy_only=False)
             return _index_of(token, sent).drops(hi, lo, ids[owners])
 
-        return rows.mapInArrow(_rewrite(decide, min_chars), schema)
+        return rows.mapInArrow(own("lines", _rewrite(decide, min_chars)), schema)
 
     rows_of = keys.groupBy(sharded.alias("shard")).agg(F.count(F.lit(1)).alias("rows"))
     salted = rows_of.join(index.select("shard"), "shard").select("shard", F.ceil(F.col("rows") / PROBE_ROWS).cast("int").alias("salts"))
@@ -202,4 +202,4 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
         return np.array([(a, b) in found[row] for a, b, row in zip(hi, lo, owners.tolist())])
 
     joined = rows.join(gone, rows.doc_id.eqNullSafe(gone.gone_id), "left").select("doc_id", "text", "gone")
-    return joined.mapInArrow(_rewrite(listed, min_chars), schema)
+    return joined.mapInArrow(own("lines", _rewrite(listed, min_chars)), schema)

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import binary_column, long_of_hex, materialise
+from ._common import binary_column, long_of_hex, materialise, own
 from .components import connected_components
 from .mph import mix
 
@@ -77,7 +77,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             fps = np.array([fingerprint(t, shingle) for t in binary_column(batch, "text")], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(own("simhash", run), "doc_id long, fp long")
 
 
 def _group_masks(chosen: int = 3) -> list[int]:
@@ -166,7 +166,7 @@ def links(fps: DataFrame, distance: int = DISTANCE, block: int = BLOCK) -> DataF
     shared = shared.withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
     units = shared.select("fp", "cell", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     units = units.select(F.xxhash64("cell", F.least("block", "other"), F.greatest("block", "other")).alias("unit"), "fp")
-    return units.repartition("unit").sortWithinPartitions("unit").mapInPandas(_verify(distance), "a long, b long")
+    return units.repartition("unit").sortWithinPartitions("unit").mapInPandas(own("simhash", _verify(distance)), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE, block: int = BLOCK) -> DataFrame:
@@ -271,7 +271,7 @@ def near_copies(docs: DataFrame, families: int = FAMILIES, share: float = SHARE,
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(np.ascontiguousarray(values[:, j])) for j in range(families))], ["doc_id", *names])
 
     schema = "doc_id long, " + ", ".join(f"{n} long" for n in names)
-    fps = materialise(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema), "wide-simhash")
+    fps = materialise(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(own("simhash", run), schema), "wide-simhash")
     nodes = fps.groupBy(*names).agg(F.min("doc_id").alias("least")).withColumn("node", F.xxhash64(*names))
     nodes = materialise(nodes, "wide-simhash-nodes")
     cells = [F.xxhash64(F.lit(j), F.lit(g), _embedding(n).bitwiseAND(F.lit(m))) for j, n in enumerate(names) for g, m in enumerate(_group_masks(2))]
@@ -282,7 +282,7 @@ def near_copies(docs: DataFrame, families: int = FAMILIES, share: float = SHARE,
     units = shared.select("node", *names, "cell", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     units = units.select(F.xxhash64("cell", F.least("block", "other"), F.greatest("block", "other")).alias("unit"), "node", *names)
     limit = int(share * 64 * families)
-    found = units.repartition("unit").sortWithinPartitions("unit").mapInPandas(_verify_wide(limit, families), "a long, b long")
+    found = units.repartition("unit").sortWithinPartitions("unit").mapInPandas(own("simhash", _verify_wide(limit, families)), "a long, b long")
     roots = materialise(connected_components(found), "wide-simhash-roots").withColumnRenamed("node", "member")
     rooted = nodes.join(roots, nodes.node == roots.member, "left").select(*names, "least", F.coalesce("root", "node").alias("root"))
     rooted = materialise(rooted, "wide-simhash-rooted")

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import binary_column, materialise, text_batches
+from ._common import binary_column, materialise, own, text_batches
 from .induced import SPILL_BYTES, suffix_array
 from .mph import mix
 from .words import powers
@@ -215,7 +215,7 @@ def dedup_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard_b
         raise ValueError("gram must be a power of two up to the length")
     k = F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID))
     rows = docs.select(F.col("doc_id").cast("long"), k.alias("k"), F.xxhash64("text").alias("th"), "text")
-    places = rows.select("k", "th", "text").mapInArrow(_scan(length, gram), "k long, th long, start long, n int, h long, c long")
+    places = rows.select("k", "th", "text").mapInArrow(own("suffixes", _scan(length, gram)), "k long, th long, start long, n int, h long, c long")
     places = materialise(places, "segments")
     key = ["h", "c", "n"]
     first = [F.first(x).alias(x) for x in ("k", "th", "start")]
@@ -227,13 +227,13 @@ def dedup_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard_b
     shards = max(1, -(-total // shard_bytes))
     asked = open_.where("open").withColumn("shard", F.pmod(F.xxhash64("h"), F.lit(shards)))
     asked = asked.groupBy("k", "th").agg(F.collect_list(F.struct("shard", "h", "c", "n", "copies", "start")).alias("rows"))
-    pieces = rows.select("k", "th", "text").dropna(subset=["text"]).join(asked, ["k", "th"]).select("text", "rows").mapInArrow(_fetch(length), _PIECES)
+    pieces = rows.select("k", "th", "text").dropna(subset=["text"]).join(asked, ["k", "th"]).select("text", "rows").mapInArrow(own("suffixes", _fetch(length)), _PIECES)
     ordered = pieces.repartition("shard").sortWithinPartitions("shard")
-    found = ordered.mapInArrow(_sort_shards(length, spill_bytes), "h long, c long, n int, ranges array<struct<a: int, b: int>>")
+    found = ordered.mapInArrow(own("suffixes", _sort_shards(length, spill_bytes)), "h long, c long, n int, ranges array<struct<a: int, b: int>>")
     whole = open_.where("copies > 1").select(*key, F.array(F.struct(F.lit(0).alias("a"), F.col("n").alias("b"))).alias("ranges"))
     found = materialise(whole.unionByName(found), "segments-found")
     cut = places.join(found, key).select("k", "th", "start", F.explode("ranges").alias("r"))
     cut = cut.groupBy("k", "th").agg(F.collect_list(F.struct((F.col("start") + F.col("r.a")).alias("a"), (F.col("start") + F.col("r.b") + (length - 1)).alias("b"))).alias("ranges"))
     joined = rows.join(cut.withColumnsRenamed({"k": "k2", "th": "th2"}), (F.col("k") == F.col("k2")) & (F.col("th") == F.col("th2")), "left")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<struct<start: bigint, end: bigint>>, kept binary"
-    return joined.select("doc_id", "text", "ranges").mapInArrow(_cut(), schema)
+    return joined.select("doc_id", "text", "ranges").mapInArrow(own("suffixes", _cut()), schema)

@@ -20,10 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import text_batches
+from ._common import kept, own, text_batches
 
 RULES = ("largest", "first", "shares")
-_encodings: dict[str, tuple] = {}
+_encodings: dict[str, tuple] = kept()
 
 
 def encoding(path: str, pattern: str):
@@ -125,4 +125,4 @@ def count_tokens(docs: DataFrame, path: str, pattern: str, rule: str = "largest"
         rows = docs.select(doc_id, F.lit(a).alias("field"), F.col(c).alias("text"))
     else:
         rows = rows.select("doc_id", "_.field", "_.text")
-    return rows.mapInArrow(run, "doc_id long, field string, section long, start long, end long, n_tokens double, n_crossing long")
+    return rows.mapInArrow(own("tokens", run), "doc_id long, field string, section long, start long, end long, n_tokens double, n_crossing long")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import binary_column, materialise, text_batches
+from ._common import binary_column, materialise, own, text_batches
 from .words import grams, hashed_words, normal
 
 WINDOW = 10
@@ -128,7 +128,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k
             yield pa.RecordBatch.from_arrays([batch.column("item_id"), pa.array(words, pa.string())], ["item_id", "text"])
 
     named = benchmark.where("item_id IS NOT NULL").select(F.col("item_id").cast("string").alias("item_id"), "text")
-    items = named.mapInArrow(normalise, "item_id string, text string").where("text <> ''").distinct()
+    items = named.mapInArrow(own("winnow", normalise), "item_id string, text string").where("text <> ''").distinct()
     items = materialise(items.select("item_id", "text", F.size(F.split("text", " ")).alias("n")), "benchmark-items")
     lengths = sorted(r.n for r in items.where(F.col("n") < window).select("n").distinct().collect())  # fewer than the window
 
@@ -147,18 +147,18 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k
             kinds = [pa.string(), pa.string(), pa.int64(), pa.int32()]
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds)], ["item_id", "item_words", "h", "item_at"])
 
-    prints = materialise(items.mapInArrow(item_prints, "item_id string, item_words string, h long, item_at int"), "benchmark-prints")
+    prints = materialise(items.mapInArrow(own("winnow", item_prints), "item_id string, item_words string, h long, item_at int"), "benchmark-prints")
     few = prints.count() <= broadcast_rows
     known = np.sort(prints.select("h").distinct().toArrow()["h"].to_numpy().view(np.uint64)) if few else None
     schema = "doc_id long, n_words long, hits array<struct<h: bigint, at: int>>, words string"
-    found = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_documents(known, lengths, k, window), schema)
+    found = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(own("winnow", _documents(known, lengths, k, window)), schema)
     found = materialise(found.withColumn("uid", F.monotonically_increasing_id()), "document-prints")
     probes = found.where(F.size("hits") > 0).select("uid", F.explode("hits").alias("hit")).select("uid", "hit.h", "hit.at")
     offsets = probes.join(prints.select("h", "item_id", "item_words", "item_at"), "h")
     # items that repeat a text share their comparison only if their id is equal too
     offsets = offsets.select("uid", "item_id", (F.col("at") - F.col("item_at")).cast("long").alias("shift"), "item_words").distinct()
     pairs = offsets.join(found.select("uid", "words"), "uid").select("uid", "item_id", "shift", "words", "item_words")
-    hits = pairs.mapInArrow(_extend(window), "uid long, item_id string, start long, end long")
+    hits = pairs.mapInArrow(own("winnow", _extend(window)), "uid long, item_id string, start long, end long")
     by_doc = hits.groupBy("uid").agg(F.sort_array(F.collect_set("item_id")).alias("items"), F.sort_array(F.collect_set(F.struct("start", "end"))).alias("ranges"))
     empty = F.array().cast("array<struct<start: bigint, end: bigint>>")
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
+from ._common import kept
 from .mph import mix
 
 #: Maps A-Z to lower case and all ASCII but letters and digits to a space.
@@ -12,7 +13,7 @@ WORD_TABLE = bytes(
 )
 _P = 0x9E3779B97F4A7C15 | 1
 _Q = pow(_P, -1, 1 << 64)
-_powers: dict[int, np.ndarray] = {}
+_powers: dict[int, np.ndarray] = kept()
 
 
 def powers(base: int, n: int) -> np.ndarray:
