@@ -88,9 +88,8 @@ def _group_masks(chosen: int = 3) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
-def forest(left: np.ndarray, right: np.ndarray | None, distance: int) -> tuple[list[int], list[int]]:
-    """Links that connect what is linked, among ``left`` and, if given, ``right``."""
-    values = left if right is None else np.concatenate([left, right])
+def forest(values: np.ndarray, distance: int) -> tuple[list[int], list[int]]:
+    """Links that connect what is linked among ``values``."""
     todo = np.ones(len(values), dtype=bool)
     a: list[int] = []
     b: list[int] = []
@@ -122,7 +121,7 @@ def _verify(distance: int):
         two = two[np.bitwise_count(fp[two] ^ fp[two + 1]) <= distance]
         a, b = fp[two].view(np.int64).tolist(), fp[two + 1].view(np.int64).tolist()
         for at, n in zip(first[size > 2].tolist(), size[size > 2].tolist()):
-            x, y = forest(np.unique(fp[at : at + n]), None, distance)
+            x, y = forest(np.unique(fp[at : at + n]), distance)
             a += np.array(x, dtype=np.uint64).view(np.int64).tolist()
             b += np.array(y, dtype=np.uint64).view(np.int64).tolist()
         return a, b
@@ -184,7 +183,8 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, shingle: int = SH
     roots = materialise(connected_components(links(nodes.select("fp"), distance, block)), "simhash-roots")
     rooted = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     rooted = materialise(rooted, "simhash-nodes")
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    # written first, so that both sides of the join are dealt anew and AQE can split a hot root
+    least = materialise(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "simhash-least")
     named = rooted.join(least, "root").select("fp", "component_id")
     return fps.join(named, "fp").select("doc_id", long_of_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
@@ -286,5 +286,5 @@ def near_copies(docs: DataFrame, families: int = FAMILIES, share: float = SHARE,
     roots = materialise(connected_components(found), "wide-simhash-roots").withColumnRenamed("node", "member")
     rooted = nodes.join(roots, nodes.node == roots.member, "left").select(*names, "least", F.coalesce("root", "node").alias("root"))
     rooted = materialise(rooted, "wide-simhash-rooted")
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    least = materialise(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "wide-simhash-least")
     return fps.join(rooted.join(least, "root").select(*names, "component_id"), names).select("doc_id", "component_id")
