@@ -10,7 +10,8 @@ Hamming distance is verified exactly.
 
 ``near_copies`` looks further than three bits: it takes several fingerprints of a document
 (one hash family each), meets those that share two of the six groups of any of them, and
-verifies the Hamming distance of all together.
+links candidates by the Hamming distance of all together. The texts of each group of
+candidates then meet, and their similarity is verified on the shingles themselves.
 
 Only distinct fingerprints enter the grid. A cell that holds many is cut into blocks by a
 hash and its pairs of blocks are verified as separate units of bounded size; a unit gives
@@ -247,44 +248,146 @@ def _verify_wide(limit: int, families: int):
     return run
 
 
-#: Hash families of ``near_copies``, and the share of all their bits in which near copies may
-#: differ: about 11 % do at a similarity of 0.8 on shingles of five words, half at none.
+#: The rule of wide fingerprints by itself: hash families, and the share of all their bits in
+#: which near copies may differ.
 FAMILIES = 3
 SHARE = 0.15
+#: ``near_copies``: words of a shingle, least similarity of their sets, hash families of the
+#: candidates, and the share of all their bits in which candidates may differ (about 15 % do
+#: at a similarity of 0.8, with a deviation of 2 %; half at none).
+WORDS = 5
+SIMILARITY = 0.8
+MEET_FAMILIES = 12
+MEET_SHARE = 0.22
+#: Shingles of a unit of texts, about.
+_UNIT_SHINGLES = 1 << 20
+
+
+def shingle_set(text: bytes | None, shingle: int = WORDS) -> np.ndarray:
+    """Ascending hashes of the different shingles of UTF-8 ``text``; a shorter text is one."""
+    words = text.lower().split() if text else []
+    if not words:
+        return np.zeros(0, dtype=np.uint64)
+    grams = zip(*(words[i:] for i in range(shingle))) if len(words) >= shingle else iter([words])
+    count = max(1, len(words) - shingle + 1)
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, map(b" ".join, grams), repeat(SEED)), dtype=np.uint64, count=count))
+
+
+def _set_fingerprint(hashes: np.ndarray, families: int) -> list[int]:
+    """A fingerprint of each hash family, in which each shingle counts once."""
+    ones = np.zeros((families, 64), dtype=np.int64)
+    for at in range(0, len(hashes), _CHUNK):
+        for family in range(families):
+            part = hashes[at : at + _CHUNK] if not family else mix(hashes[at : at + _CHUNK], family)
+            ones[family] += np.unpackbits(np.ascontiguousarray(part).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
+    return np.packbits(ones * 2 > len(hashes), axis=1, bitorder="little").view(np.int64)[:, 0].tolist()
+
+
+def similar(sets: list[np.ndarray], least: float = SIMILARITY) -> tuple[list[int], list[int]]:
+    """Links (numbers of ``sets``) that connect just what pairs of a Jaccard similarity of
+    ``least`` or more connect. Empty sets are copies of each other."""
+    sizes = np.array([len(x) for x in sets], dtype=np.int64)
+    empty = np.flatnonzero(sizes == 0).tolist()
+    a, b = empty[:1] * (len(empty) - 1), empty[1:]
+    names, flat = np.unique(np.concatenate([*sets, np.zeros(0, dtype=np.uint64)]), return_inverse=True)
+    before = np.r_[0, np.cumsum(sizes)]
+    mark, todo = np.zeros(len(names) + 1, dtype=bool), sizes > 0
+    for start in range(len(sets)):
+        front = [start] if todo[start] else []
+        todo[start] = False
+        while front:
+            x = front.pop()
+            # only sets of a fitting size can reach the similarity
+            left = np.flatnonzero(todo & (sizes >= least * sizes[x] * (1 - 1e-9)) & (sizes[x] >= least * sizes * (1 - 1e-9)))
+            if not len(left):
+                continue
+            own_ids = flat[before[x] : before[x + 1]]
+            mark[own_ids] = True
+            hits = np.r_[0, np.cumsum(mark[flat])] if len(left) * 4 > len(sets) else None
+            both = hits[before[left + 1]] - hits[before[left]] if hits is not None else np.array([np.count_nonzero(mark[flat[before[i] : before[i + 1]]]) for i in left])
+            mark[own_ids] = False
+            near = left[both >= least * (sizes[left] + sizes[x] - both) * (1 - 1e-9)]
+            todo[near] = False
+            front += near.tolist()
+            a += [x] * len(near)
+            b += near.tolist()
+    return a, b
 
 
-def near_copies(docs: DataFrame, families: int = FAMILIES, share: float = SHARE, shingle: int = SHINGLE, block: int = BLOCK) -> DataFrame:
-    """(doc_id, component_id) for each row of ``docs`` (doc_id, text): groups of documents
-    whose fingerprints differ in at most ``share`` of all bits, for near copies of a
-    similarity of about 0.8 or more.
+def _verify_texts(least: float, shingle: int):
+    def whole(rows: list[tuple]) -> tuple[list, list]:
+        a, b = similar([shingle_set(text, shingle) for _, text in rows], least)
+        return [rows[i][0] for i in a], [rows[i][0] for i in b]
 
-    A pair that near meets with a probability that rises with its similarity (about 0.9 at
-    0.8, over 0.99 at 0.9); copies always do. Nulls, empty texts, repeated rows and ids are
-    treated as in ``near_duplicates``.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit, rows = None, []
+        for batch in batches:
+            a: list[int] = []
+            b: list[int] = []
+            for at, node, text in zip(batch.column("unit").to_pylist(), batch.column("node").to_pylist(), binary_column(batch, "text")):
+                if at != unit:
+                    x, y = whole(rows)
+                    a, b, unit, rows = a + x, b + y, at, []
+                rows.append((node, text))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        a, b = whole(rows)
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return run
+
+
+def _paired(members: DataFrame, key: str) -> DataFrame:
+    """``members`` (with ``node`` and ``blocks``, the number of blocks of its ``key``) in a
+    unit for each pair of blocks of a key."""
+    cut = members.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return cut.withColumn("unit", F.xxhash64(key, F.least("block", "other"), F.greatest("block", "other"))).drop("block", "other", "blocks")
+
+
+def near_copies(docs: DataFrame, families: int = MEET_FAMILIES, share: float = MEET_SHARE, shingle: int = WORDS, block: int = BLOCK, least: float = SIMILARITY) -> DataFrame:
+    """(doc_id, component_id) for each row of ``docs`` (doc_id, text): groups of documents that
+    pairs of a similarity of ``least`` or more connect, which is the Jaccard similarity of
+    their sets of shingles of ``shingle`` words.
+
+    Fingerprints only make candidates: they link what shares two of six groups of bits of any
+    family and differs in at most ``share`` of all bits. Documents of each group of candidates
+    are then compared with each other by their shingles, so no link has a lesser similarity.
+    A pair becomes a candidate with a probability that rises with its similarity; copies
+    always do. Nulls, empty texts, repeated rows and ids are treated as in
+    ``near_duplicates``.
     """
     names = [f"f{j}" for j in range(families)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [wide_fingerprint(t, families, shingle) for t in binary_column(batch, "text")]
-            values = np.array(found, dtype=np.uint64).reshape(-1, families).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(np.ascontiguousarray(values[:, j])) for j in range(families))], ["doc_id", *names])
-
-    schema = "doc_id long, " + ", ".join(f"{n} long" for n in names)
-    fps = materialise(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(own("simhash", run), schema), "wide-simhash")
-    nodes = fps.groupBy(*names).agg(F.min("doc_id").alias("least")).withColumn("node", F.xxhash64(*names))
+            sets = [shingle_set(t, shingle) for t in binary_column(batch, "text")]
+            values = np.array([_set_fingerprint(x, families) for x in sets], dtype=np.int64).reshape(-1, families)
+            node = np.array([xxhash.xxh3_64_intdigest(x.tobytes()) for x in sets], dtype=np.uint64).view(np.int64)
+            columns = [batch.column("doc_id"), batch.column("place"), pa.array(node), pa.array([len(x) for x in sets], pa.int64())]
+            yield pa.RecordBatch.from_arrays([*columns, *(pa.array(np.ascontiguousarray(values[:, j])) for j in range(families))], ["doc_id", "place", "node", "size", *names])
+
+    schema = "doc_id long, place long, node long, size long, " + ", ".join(f"{n} long" for n in names)
+    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64(F.col("doc_id").cast("long"), "text").alias("place"), "text")
+    fps = materialise(rows.mapInArrow(own("simhash", run), schema), "wide-simhash")
+    nodes = fps.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("place").alias("place"), F.first("size").alias("size"), *(F.first(n).alias(n) for n in names))
     nodes = materialise(nodes, "wide-simhash-nodes")
-    cells = [F.xxhash64(F.lit(j), F.lit(g), _embedding(n).bitwiseAND(F.lit(m))) for j, n in enumerate(names) for g, m in enumerate(_group_masks(2))]
-    points = nodes.select("node", *names, F.explode(F.array(*cells)).alias("cell"))
+    cells = [F.xxhash64(F.lit(j), F.lit(g), F.col(n).bitwiseAND(F.lit(m))) for j, n in enumerate(names) for g, m in enumerate(_group_masks(2))]
+    points = nodes.select("node", F.explode(F.array(*cells)).alias("cell"))
     crowded = points.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = points.join(crowded, "cell").withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
-    shared = shared.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    units = shared.select("node", *names, "cell", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    units = units.select(F.xxhash64("cell", F.least("block", "other"), F.greatest("block", "other")).alias("unit"), "node", *names)
+    shared = points.join(crowded, "cell").select("node", "cell", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    units = _paired(materialise(shared, "wide-simhash-shared"), "cell").select("unit", "node").join(nodes.select("node", *names), "node")
     limit = int(share * 64 * families)
-    found = units.repartition("unit").sortWithinPartitions("unit").mapInPandas(own("simhash", _verify_wide(limit, families)), "a long, b long")
+    met = units.select("unit", "node", *names).repartition("unit").sortWithinPartitions("unit").mapInPandas(own("simhash", _verify_wide(limit, families)), "a long, b long")
+    met = materialise(connected_components(met), "wide-simhash-met")
+    # the texts of each group of candidates meet, in pairs of blocks where there are many
+    asked = nodes.select("node", "place", "size").join(met, "node")
+    crowds = asked.groupBy("root").agg(F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("size") / _UNIT_SHINGLES)).cast("int").alias("blocks"))
+    asked = asked.join(materialise(crowds, "wide-simhash-crowds"), "root").select("node", "place", "root", "blocks")
+    texts = rows.select("place", "text").join(asked, "place").dropDuplicates(["node"])
+    texts = _paired(texts.select("node", "root", "blocks", "text"), "root").select("unit", "node", "text")
+    found = texts.repartition("unit").sortWithinPartitions("unit").mapInArrow(own("simhash", _verify_texts(least, shingle)), "a long, b long")
     roots = materialise(connected_components(found), "wide-simhash-roots").withColumnRenamed("node", "member")
-    rooted = nodes.join(roots, nodes.node == roots.member, "left").select(*names, "least", F.coalesce("root", "node").alias("root"))
+    rooted = nodes.join(roots, nodes.node == roots.member, "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     rooted = materialise(rooted, "wide-simhash-rooted")
-    least = materialise(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "wide-simhash-least")
-    return fps.join(rooted.join(least, "root").select(*names, "component_id"), names).select("doc_id", "component_id")
+    ids = materialise(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "wide-simhash-least")
+    return fps.select("doc_id", "node").join(rooted.join(ids, "root").select("node", "component_id"), "node").select("doc_id", "component_id")

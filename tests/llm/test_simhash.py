@@ -115,3 +115,51 @@ def test_near_copies_of_high_similarity(docs):
     assert got[1000] == got[1001] == {1000} and got[1002] == got[0] == {0} and got[None] == {3}
     assert all(got[d] <= set(own) for own in groups for d in own)
     assert simhash.near_copies(docs([])).count() == 0
+
+
+def passages(r, words, similarity, kind):
+    """A copy of ``words`` that differs in one passage, of about that similarity of shingles."""
+    n, word = len(words), lambda: f"w{r.randrange(10**6)}"
+    if kind == "appended":
+        return [*words, *(word() for _ in range(int((n - 4) / similarity - (n - 4))))]
+    size = int((n - 4) * (1 - similarity)) if kind == "removed" else int((n - 4) * (1 - similarity) / (1 + similarity)) - 4
+    at = r.randrange(1, n - size)
+    return [*words[:at], *(word() for _ in range(size if kind == "replaced" else 0)), *words[at + size :]]
+
+
+def test_near_copies_with_other_passages_against_all_pairs(docs):
+    r = random.Random(21)
+    rows = []
+    for similarity in (0.7, 0.76, 0.81, 0.85, 0.9, 0.95):
+        for kind in ("appended", "removed", "replaced"):
+            for _ in range(12):
+                words = [f"w{r.randrange(10**6)}" for _ in range(300)]
+                rows += [(len(rows), " ".join(words)), (len(rows) + 1, " ".join(passages(r, words, similarity, kind)))]
+    # one fingerprint, hardly a shingle in common
+    rows += [(len(rows), "a " * 500), (len(rows) + 1, "a " * 500 + "b c d e f g h")]
+    got = {x.doc_id: x.component_id for x in simhash.near_copies(docs(rows), block=16).collect()}
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (t.split() for _, t in rows)]
+    near = [i for i in range(0, len(rows), 2) if len(sets[i] & sets[i + 1]) >= 0.8 * len(sets[i] | sets[i + 1])]
+    assert 140 > len(near) > 130
+    linked = [i for i in range(0, len(rows), 2) if got[i] == got[i + 1]]
+    assert set(linked) <= set(near) and len(linked) >= 0.97 * len(near)
+    assert all(got[i] == i for i in range(0, len(rows), 2))
+
+
+def test_similar_sets_against_all_pairs():
+    r = random.Random(4)
+    sets = []
+    for _ in range(40):
+        own = r.sample(range(10_000), r.choice([0, 1, 5, 40]))
+        sets += [np.array(sorted({*own[r.randrange(3) :], *r.sample(range(10_000), r.randrange(4))}), dtype=np.uint64) for _ in range(4)]
+
+    def roots(links):
+        root = list(range(len(sets)))
+        for i, j in links:
+            a, b = root[i], root[j]
+            root = [min(a, b) if x in (a, b) else x for x in root]
+        return root
+
+    close = lambda x, y: 10 * len(x & y) >= 8 * len(x | y)
+    plain = [set(x.tolist()) for x in sets]
+    assert roots(zip(*simhash.similar(sets))) == roots((i, j) for i, j in combinations(range(len(sets)), 2) if close(plain[i], plain[j]))
