@@ -37,13 +37,15 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near copies (a similarity of about 0.8 or more on
-    shingles of five words): that of the smallest doc_id (a hash of the text stands for a null
-    one)."""
-    keyed = _keyed(docs, F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")))
+    """Keep one document of each group that pairs of near copies connect (a similarity of 0.8
+    or more on shingles of five words): that of the smallest doc_id (a hash of the text stands
+    for a null one), and of the smallest hash of doc_id and text where ids repeat."""
+    keyed = _keyed(docs, F.xxhash64("doc_id", "text"))
     groups = simhash.near_copies(keyed.select(F.col("key").alias("doc_id"), F.col("doc.text").alias("text")))
-    first = groups.where("doc_id = component_id").select(F.col("doc_id").alias("key")).distinct()
-    return keyed.join(first, "key", "left_semi").dropDuplicates(["key"]).select("doc.*")
+    groups = groups.select(F.col("doc_id").alias("key"), "component_id").distinct()
+    named = keyed.select("key", F.coalesce(F.col("doc.doc_id").cast("long"), F.xxhash64("doc.text")).alias("id"))
+    first = named.join(groups, "key").groupBy("component_id").agg(F.min(F.struct("id", "key")).alias("first"))
+    return keyed.join(first.select("first.key"), "key", "left_semi").dropDuplicates(["key"]).select("doc.*")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -37,3 +37,11 @@ def test_passages_against_all_pairs(spark, docs):
             rows.append((len(rows), " ".join(passages(r, text.split(), similarity, r.choice(["appended", "removed", "replaced"])))))
     got = cp.near_dedup(spark, docs(rows), "").collect()
     assert sorted((x.doc_id, x.text) for x in got) == near_stage(rows)
+
+
+def test_repeated_ids_with_different_texts(spark, docs):
+    a, b, c, d = texts(9, 4)
+    rows = [(1, c), (1, d), (5, a), (5, b), (2, b + " more"), (7, a + " more"), (7, a)]
+    frame = docs(rows)
+    got = sorted((x.doc_id, x.text) for x in cp.near_dedup(spark, frame.unionAll(frame), "").collect())
+    assert got == sorted([(1, c), (1, d), (5, a), (2, b + " more")])
