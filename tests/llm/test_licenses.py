@@ -47,3 +47,21 @@ def test_templates_with_changed_words(docs):
 
 def test_empty(docs):
     assert licenses.scan(docs([])).count() == 0
+
+
+def test_a_changed_dropped_or_new_word_at_every_place(docs):
+    rows, want = [], {}
+    for text, label in licenses.TEMPLATES:
+        words = text.split()
+        if len(words) < licenses.LONG:
+            continue
+        for i in range(len(words)):
+            two = [w if j not in (i, (i + 4) % len(words)) else "new" for j, w in enumerate(words)]
+            for changed in ([*words[:i], "new", *words[i + 1 :]], [*words[:i], *words[i + 1 :]], [*words[:i], "new", *words[i:]], two):
+                want[len(rows)] = label
+                rows.append((len(rows), " ".join(["lorem", "ipsum"] * 9 + changed + ["dolor"] * 9)))
+        many = [w if j % 3 else "new" for j, w in enumerate(words)]
+        want[len(rows)] = None
+        rows.append((len(rows), " ".join(many)))
+    got = {r.doc_id: {s.label for s in r.spans if s.score >= 0.8 and 0 <= s.first < s.end} for r in licenses.scan(docs(rows)).collect()}
+    assert [d for d, label in want.items() if (label in got[d] if label else not got[d]) is False] == []
