@@ -9,7 +9,9 @@ shuffle. A segment that occurs twice is repeated throughout. A group of one diff
 segment is settled. Only groups with different segments, one of them met once, send one
 copy of each segment to a shard, whose suffixes are sorted by induction over queues that
 spill to disk (``induced``); windows that are neighbours there and agree for ``length``
-bytes (by a 64-bit hash of them all) are repeated.
+bytes (by a 64-bit hash of them all) are repeated. A shard has to fit in memory, so a group
+of more than ``HOT`` shards' bytes is not sorted in one: each of its windows is dealt by the
+same hash of its bytes, and windows that meet are repeated.
 
 What was found goes back to the segments' places, and each document is cut once.
 """
@@ -33,6 +35,8 @@ LENGTH = 400
 GRAM = 32
 #: Bytes of text that a shard's suffix array holds, about.
 SHARD_BYTES = 3 << 20
+#: Groups of more bytes than so many shards are dealt out by window.
+HOT = 4
 #: Texts are read in parts of this size at most, one gram and window over the cut.
 _PART = 8 << 20
 _PLACE = 24
@@ -179,6 +183,52 @@ def _sort_shards(length: int, spill_bytes: int):
     return run
 
 
+_WINDOWS = "w long, h long, c long, n int, copies long, at int"
+
+
+def _deal_windows(length: int):
+    """A hash of each window of pieces, with its number in the piece."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashed = xxhash.xxh3_64_intdigest
+        for whole in batches:
+            for start in range(0, whole.num_rows, 256):
+                batch = whole.slice(start, 256)
+                n = batch.column("n").to_numpy()
+                views = [memoryview(x) for x in batch.column("data").to_pylist()]
+                w = np.fromiter((hashed(v[i : i + length]) for v, k in zip(views, n.tolist()) for i in range(k)), dtype=np.uint64, count=int(n.sum()))
+                at = np.arange(len(w)) - np.repeat(np.cumsum(n, dtype=np.int64) - n, n)
+                own_row = pa.array(np.repeat(np.arange(len(n)), n))
+                yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), *(batch.column(x).take(own_row) for x in ("h", "c", "n", "copies")), pa.array(at, pa.int32())], ["w", "h", "c", "n", "copies", "at"])
+
+    return run
+
+
+def _join_windows():
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ranges = []
+            for n, places in zip(batch.column("n").to_pylist(), batch.column("places").to_pylist()):
+                mask = np.zeros(n, dtype=bool)
+                mask[places] = True
+                ranges.append(_ranges(mask))
+            kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
+            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in ("h", "c", "n")), pa.array(ranges, kind)], ["h", "c", "n", "ranges"])
+
+    return run
+
+
+_FOUND = "h long, c long, n int, ranges array<struct<a: int, b: int>>"
+
+
+def _repeated_by_window(pieces: DataFrame, length: int) -> DataFrame:
+    """(h, c, n, ranges) as shards give them, of pieces dealt by window."""
+    windows = materialise(pieces.mapInArrow(own("suffixes", _deal_windows(length)), _WINDOWS), "segments-windows")
+    twice = windows.groupBy("w").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("w")
+    met = windows.where("copies = 1").join(twice, "w").groupBy("h", "c", "n").agg(F.collect_list("at").alias("places"))
+    return met.mapInArrow(own("suffixes", _join_windows()), _FOUND)
+
+
 def _cut():
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -225,11 +275,20 @@ def dedup_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard_b
     open_ = materialise(open_, "segments-repeated")
     total = open_.where("open").agg(F.sum(F.col("n") + length - 1)).first()[0] or 0
     shards = max(1, -(-total // shard_bytes))
-    asked = open_.where("open").withColumn("shard", F.pmod(F.xxhash64("h"), F.lit(shards)))
-    asked = asked.groupBy("k", "th").agg(F.collect_list(F.struct("shard", "h", "c", "n", "copies", "start")).alias("rows"))
-    pieces = rows.select("k", "th", "text").dropna(subset=["text"]).join(asked, ["k", "th"]).select("text", "rows").mapInArrow(own("suffixes", _fetch(length)), _PIECES)
-    ordered = pieces.repartition("shard").sortWithinPartitions("shard")
-    found = ordered.mapInArrow(own("suffixes", _sort_shards(length, spill_bytes)), "h long, c long, n int, ranges array<struct<a: int, b: int>>")
+    hot = open_.where("open").groupBy("h").agg(F.sum(F.col("n") + length - 1).alias("bytes")).where(F.col("bytes") > HOT * shard_bytes).select("h")
+    hot = materialise(hot, "segments-hot")
+
+    def fetched(some: DataFrame) -> DataFrame:
+        asked = some.withColumn("shard", F.pmod(F.xxhash64("h"), F.lit(shards)))
+        asked = asked.groupBy("k", "th").agg(F.collect_list(F.struct("shard", "h", "c", "n", "copies", "start")).alias("rows"))
+        return rows.select("k", "th", "text").dropna(subset=["text"]).join(asked, ["k", "th"]).select("text", "rows").mapInArrow(own("suffixes", _fetch(length)), _PIECES)
+
+    some_hot = not hot.isEmpty()
+    cool = open_.where("open").join(hot, "h", "left_anti") if some_hot else open_.where("open")
+    ordered = fetched(cool).repartition("shard").sortWithinPartitions("shard")
+    found = ordered.mapInArrow(own("suffixes", _sort_shards(length, spill_bytes)), _FOUND)
+    if some_hot:
+        found = found.unionByName(_repeated_by_window(fetched(open_.where("open").join(hot, "h", "left_semi")), length))
     whole = open_.where("copies > 1").select(*key, F.array(F.struct(F.lit(0).alias("a"), F.col("n").alias("b"))).alias("ranges"))
     found = materialise(whole.unionByName(found), "segments-found")
     cut = places.join(found, key).select("k", "th", "start", F.explode("ranges").alias("r"))

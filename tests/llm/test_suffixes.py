@@ -81,3 +81,30 @@ def test_suffix_arrays_against_sorting():
 
 def test_empty(docs):
     assert suffixes.dedup_spans(docs([])).count() == 0
+
+
+def test_a_passage_of_many_documents_is_not_one_shard(docs, monkeypatch):
+    r = random.Random(6)
+    text = lambda n: "".join(r.choice("abcdefgh") for _ in range(n))
+    notice = text(34)
+    rows = [(i, text(60) + notice + text(60)) for i in range(120)]
+    rows += [(200 + i, text(9) + rows[i][1][40:100] + text(9)) for i in range(30)]
+    rows += [(300, rows[50][1]), (50, rows[50][1]), (301, notice * 3)]
+    sort, shard = suffixes._sort_shards, 500
+
+    def bounded(length, spill_bytes):
+        inner = sort(length, spill_bytes)
+
+        def run(batches):
+            batches, sizes = list(batches), {}
+            for batch in batches:
+                for h, data in zip(batch.column("h").to_pylist(), batch.column("data").to_pylist()):
+                    sizes[h] = sizes.get(h, 0) + len(data)
+            assert max(sizes.values(), default=0) <= suffixes.HOT * shard
+            yield from inner(iter(batches))
+
+        return run
+
+    monkeypatch.setattr(suffixes, "_sort_shards", bounded)
+    got = suffixes.dedup_spans(docs(rows), length=40, gram=8, shard_bytes=shard, spill_bytes=64).collect()
+    assert sorted(((x.doc_id, x.n_bytes, x.n_removed, x.n_spans, bytes(x.kept)) for x in got), key=repr) == slow(rows, 40)
