@@ -118,6 +118,7 @@ _sql("filter_like", "SELECT p_partkey, p_name FROM part WHERE p_name LIKE '%ring
 _sql("filter_regexp", "SELECT p_partkey FROM part WHERE p_brand REGEXP '^Brand#1[0-9]$' AND p_name NOT REGEXP 'widget'", "SELECT p_partkey FROM part WHERE regexp_matches(p_brand, '^Brand#1[0-9]$') AND NOT regexp_matches(p_name, 'widget')")
 _sql("exists_corr", "SELECT c_custkey FROM customer c WHERE EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 400000)")
 _sql("scalar_subquery", "SELECT o_orderkey, ROUND(o_totalprice - (SELECT AVG(o_totalprice) FROM orders), 2) AS above FROM orders WHERE o_orderkey < 100")
+_sql("scalar_subquery_all", "SELECT o_orderkey, ROUND(o_totalprice - (SELECT AVG(o_totalprice) FROM orders), 2) AS above FROM orders")
 _sql("bit_ops", "SELECT o_orderkey, o_orderkey & 12 AS a, o_orderkey | 3 AS b, o_orderkey ^ 5 AS c, o_orderkey << 2 AS d, o_orderkey >> 1 AS e, ~o_orderkey AS f FROM orders", "SELECT o_orderkey, o_orderkey & 12 AS a, o_orderkey | 3 AS b, xor(o_orderkey, 5) AS c, o_orderkey << 2 AS d, o_orderkey >> 1 AS e, -o_orderkey - 1 AS f FROM orders")
 _sql("arith_ops", "SELECT l_orderkey, l_linenumber, l_quantity / (l_linenumber - 1) AS q, l_orderkey DIV 7 AS d, l_orderkey MOD 7 AS m, l_orderkey % (l_linenumber - 1) AS z, -l_linenumber AS neg FROM lineitem", "SELECT l_orderkey, l_linenumber, l_quantity / nullif(l_linenumber - 1, 0) AS q, l_orderkey // 7 AS d, l_orderkey % 7 AS m, l_orderkey % nullif(l_linenumber - 1, 0) AS z, -l_linenumber AS neg FROM lineitem")
 _sql("date_interval", "SELECT o_orderkey, o_orderdate + INTERVAL 3 DAY AS a, o_orderdate - INTERVAL 2 MONTH AS b, INTERVAL '1 2' DAY_HOUR + o_orderdate AS c FROM orders", "SELECT o_orderkey, o_orderdate + INTERVAL 3 DAY AS a, o_orderdate - INTERVAL 2 MONTH AS b, o_orderdate + INTERVAL 26 HOUR AS c FROM orders")
@@ -137,12 +138,14 @@ _sql("join_left", "SELECT c_custkey, o_orderkey FROM customer LEFT OUTER JOIN or
 _sql("join_right", "SELECT o_orderkey, c_custkey FROM orders RIGHT JOIN customer ON c_custkey = o_custkey AND o_orderstatus = 'P'")
 _sql("join_left_using", "SELECT k, n_name, s FROM (SELECT n_nationkey AS k, n_name FROM nation) a LEFT JOIN (SELECT s_nationkey AS k, COUNT(*) AS s FROM supplier GROUP BY s_nationkey) b USING (k)")
 _sql("join_cross", "SELECT r_name, n_name FROM region CROSS JOIN nation WHERE n_nationkey < 7")
+_sql("join_cross_all", "SELECT r_name, n_name FROM region CROSS JOIN nation")
 _sql("join_natural", "SELECT k, a, b FROM (SELECT n_regionkey AS k, n_name AS a FROM nation) x NATURAL JOIN (SELECT r_regionkey AS k, r_name AS b FROM region) y")
 _sql("join_straight", "SELECT STRAIGHT_JOIN n_name, r_name FROM nation STRAIGHT_JOIN region ON n_regionkey = r_regionkey", "SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey")
 _sql("join_comma", "SELECT s_name, n_name FROM supplier, nation WHERE s_nationkey = n_nationkey")
 _sql("join_nested", "SELECT c_name, n_name, r_name FROM customer JOIN (nation JOIN region ON n_regionkey = r_regionkey) ON c_nationkey = n_nationkey WHERE c_acctbal > 5000")
 _sql("join_odbc", "SELECT n_name, r_name FROM {OJ nation LEFT JOIN region ON n_regionkey = r_regionkey} WHERE {d '2024-01-01'} < {ts '2024-01-02 00:00:00'}", "SELECT n_name, r_name FROM nation LEFT JOIN region ON n_regionkey = r_regionkey")
 _sql("join_lateral", "SELECT c.c_custkey, t.most FROM customer c, LATERAL (SELECT MAX(o.o_totalprice) AS most FROM orders o WHERE o.o_custkey = c.c_custkey) AS t WHERE c.c_custkey < 300", "SELECT c_custkey, (SELECT MAX(o_totalprice) FROM orders WHERE o_custkey = c_custkey) AS most FROM customer WHERE c_custkey < 300")
+_sql("join_lateral_all", "SELECT c.c_custkey, t.most FROM customer c, LATERAL (SELECT MAX(o.o_totalprice) AS most FROM orders o WHERE o.o_custkey = c.c_custkey) AS t", "SELECT c_custkey, (SELECT MAX(o_totalprice) FROM orders WHERE o_custkey = c_custkey) AS most FROM customer")
 _sql("semi_join", "SELECT s_suppkey FROM supplier WHERE s_suppkey IN (SELECT l_suppkey FROM lineitem WHERE l_quantity > 49)")
 _sql("anti_join", "SELECT p_partkey FROM part p WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p.p_partkey AND l_quantity > 45)")
 _sql("join_self", "SELECT a.n_name AS x, b.n_name AS y FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey")

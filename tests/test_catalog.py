@@ -49,3 +49,14 @@ def test_query(spark, duck, name):
 
 def test_flagship(spark, duck):
     assert catalog.flagship(spark, FOLDER).count() > 0
+
+
+@pytest.mark.parametrize("name, table", [("join_lateral_all", "customer"), ("scalar_subquery_all", "orders")])
+def test_all_keys(spark, duck, name, table):
+    [(want,)] = duck.execute(f"SELECT COUNT(*) FROM {table}").fetchall()
+    assert catalog.queries()[name](spark, FOLDER).count() == want
+
+
+def test_all_pairs(spark, duck):
+    [(want,)] = duck.execute("SELECT (SELECT COUNT(*) FROM region) * (SELECT COUNT(*) FROM nation)").fetchall()
+    assert catalog.queries()["join_cross_all"](spark, FOLDER).count() == want
