@@ -8,16 +8,19 @@ are first counted by group and by content, and copies of a segment combine befor
 shuffle. A segment that occurs twice is repeated throughout. A group of one different
 segment is settled. Only groups with different segments, one of them met once, send one
 copy of each segment to a shard, whose suffixes are sorted by induction over queues that
-spill to disk (``induced``); windows that are neighbours there and agree for ``length``
-bytes (by a 64-bit hash of them all) are repeated. A shard has to fit in memory, so a group
-of more than ``HOT`` shards' bytes is not sorted in one: each of its windows is dealt by the
-same hash of its bytes, and windows that meet are repeated.
+spill to disk (``induced``); windows that are neighbours there and have ``length`` bytes in
+common, by the prefixes carried along, are repeated. A shard may be far larger than memory:
+its text, ranks and queues lie in scratch files of the task. So that no single task sorts
+what a third of all documents share, a group of more than ``HOT`` shards' bytes goes to no
+shard: each of its windows is dealt by a 128-bit hash of its bytes, and windows that meet
+are repeated.
 
 What was found goes back to the segments' places, and each document is cut once.
 """
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,9 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import binary_column, materialise, own, text_batches
-from .induced import SPILL_BYTES, suffix_array
+from .induced import MEMORY, repeated_starts
 from .mph import mix
-from .words import powers
 
 LENGTH = 400
 GRAM = 32
@@ -43,7 +45,6 @@ _PLACE = 24
 _NO_ID = -(2**63)
 _BYTE_HASH = mix(np.arange(1, 257, dtype=np.uint64), 5)
 _BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
 
 
 def _gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
@@ -130,30 +131,55 @@ def _fetch(length: int):
     return run
 
 
-def repeated_windows(pieces: list[bytes], length: int, spill_bytes: int = SPILL_BYTES) -> list[np.ndarray]:
-    """For each piece, which of its windows stands anywhere else in the pieces."""
-    text = np.frombuffer(b"\0".join([*pieces, b""]), dtype=np.uint8).astype(np.uint16) + np.uint16(2)
-    sizes = np.array([len(p) + 1 for p in pieces], dtype=np.int64)
-    ends = np.cumsum(sizes) - 1
-    text[ends] = 1
-    text = np.append(text, np.uint16(0))
-    values = mix(np.arange(1, 259, dtype=np.uint64), 9)[text]
-    total = np.r_[np.uint64(0), np.cumsum(values * powers(_BASE, len(text)), dtype=np.uint64)]
-    back = powers(_INVERSE, len(text) + 1)
-    prefix_hash = lambda a, b: (total[b] - total[a]) * back[a]
-    order = suffix_array(text, length, prefix_hash, spill_bytes)
-    inside = np.zeros(len(text), dtype=bool)
-    for a, b in zip((ends - sizes + 1).tolist(), (ends - length + 1).tolist()):
-        inside[a:b] = True
-    order = order[inside[order]].astype(np.int64)
-    agree = np.zeros(0, dtype=bool)
-    if len(order) > 1:
-        hashes = prefix_hash(order, order + length)
-        agree = hashes[1:] == hashes[:-1]
-    found = np.zeros(len(text), dtype=bool)
-    found[order[1:][agree]] = True
-    found[order[:-1][agree]] = True
-    return [found[a : b - length + 1] for a, b in zip((ends - sizes + 1).tolist(), ends.tolist())]
+class _Shard:
+    """The pieces of one shard: their bytes as symbols in a scratch file, and for each piece
+    its key, its copies and where it begins."""
+
+    def __init__(self, number: int):
+        self.number, self.file, self.size = number, tempfile.TemporaryFile(), 0
+        self.columns: list[list[np.ndarray]] = [[] for _ in range(5)]
+
+    def add(self, batch: pa.RecordBatch) -> None:
+        pieces = batch.column("data").to_pylist()
+        sizes = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces)) + 1
+        symbols = np.frombuffer(b"\0".join([*pieces, b""]), dtype=np.uint8).astype(np.uint16) + np.uint16(2)
+        symbols[np.cumsum(sizes) - 1] = 1
+        self.file.write(symbols.data)
+        begins = self.size + np.cumsum(sizes) - sizes
+        for have, x in zip(self.columns, (*(batch.column(c).to_numpy() for c in ("h", "c", "n", "copies")), begins)):
+            have.append(x)
+        self.size += len(symbols)
+
+    def settle(self, length: int, memory: int) -> Iterator[pa.RecordBatch]:
+        """Runs of repeated windows of the pieces that occur once."""
+        self.file.write(np.zeros(1, dtype=np.uint16).data)
+        self.file.flush()
+        if 2 * self.size > memory // 8:
+            text = np.memmap(self.file, dtype=np.uint16, mode="r", shape=(self.size + 1,))
+        else:
+            self.file.seek(0)
+            text = np.frombuffer(self.file.read(), dtype=np.uint16)
+        self.file.close()
+        found = repeated_starts(text, length, memory)
+        h, c, n, copies, begin = (np.concatenate(x) for x in self.columns)
+        at = 0
+        while at < len(h):
+            to = max(at + 1, int(np.searchsorted(begin, begin[at] + _PART // 8)))
+            some, base = slice(at, to), int(begin[at])
+            end = int(begin[to]) if to < len(h) else self.size
+            sizes = np.diff(np.append(begin[some], end))
+            once = np.where(copies[some] == 1, n[some], 0)
+            window = np.arange(end - base) - np.repeat(begin[some] - base, sizes) < np.repeat(once, sizes)  # not over a piece's end
+            edge = np.flatnonzero(np.diff(np.r_[False, found[base:end] & window, False].astype(np.int8)))
+            a, b = edge[0::2] + base, edge[1::2] + base
+            piece = np.searchsorted(begin[some], a, "right") - 1
+            a, b = a - begin[some][piece], b - begin[some][piece]
+            offsets = np.r_[0, np.cumsum(np.bincount(piece, minlength=to - at))]
+            runs = pa.StructArray.from_arrays([pa.array(a, pa.int32()), pa.array(b, pa.int32())], ["a", "b"])
+            ranges = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), runs)
+            out = pa.RecordBatch.from_arrays([pa.array(h[some]), pa.array(c[some]), pa.array(n[some]), ranges], ["h", "c", "n", "ranges"])
+            yield out.filter(pa.array(np.diff(offsets) > 0))
+            at = to
 
 
 def _ranges(mask: np.ndarray) -> list[dict]:
@@ -162,44 +188,40 @@ def _ranges(mask: np.ndarray) -> list[dict]:
 
 
 def _sort_shards(length: int, spill_bytes: int):
-    def settle(rows: list[tuple]) -> pa.RecordBatch:
-        masks = repeated_windows([r[4] for r in rows], length, spill_bytes)
-        out = [(h, c, n, _ranges(m)) for (h, c, n, copies, _), m in zip(rows, masks) if copies == 1 and m.any()]
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))]
-        return pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)], ["h", "c", "n", "ranges"])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, rows = None, []
+        shard: _Shard | None = None
         for batch in batches:
-            for at, *row in zip(*(batch.column(i).to_pylist() for i in range(6))):
-                if at != shard and rows:
-                    yield settle(rows)
-                    rows = []
-                shard = at
-                rows.append(row)
-        if rows:
-            yield settle(rows)
+            number = batch.column("shard").to_numpy()
+            cuts = np.flatnonzero(np.r_[True, number[1:] != number[:-1], True]).tolist() if len(number) else []
+            for a, b in zip(cuts, cuts[1:]):
+                if shard is None or shard.number != number[a]:
+                    if shard is not None:
+                        yield from shard.settle(length, spill_bytes)
+                    shard = _Shard(int(number[a]))
+                shard.add(batch.slice(a, b - a))
+        if shard is not None:
+            yield from shard.settle(length, spill_bytes)
 
     return run
 
 
-_WINDOWS = "w long, h long, c long, n int, copies long, at int"
+_WINDOWS = "w long, v long, h long, c long, n int, copies long, at int"
 
 
 def _deal_windows(length: int):
     """A hash of each window of pieces, with its number in the piece."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashed = xxhash.xxh3_64_intdigest
+        hashed = xxhash.xxh3_128_digest
         for whole in batches:
             for start in range(0, whole.num_rows, 256):
                 batch = whole.slice(start, 256)
                 n = batch.column("n").to_numpy()
                 views = [memoryview(x) for x in batch.column("data").to_pylist()]
-                w = np.fromiter((hashed(v[i : i + length]) for v, k in zip(views, n.tolist()) for i in range(k)), dtype=np.uint64, count=int(n.sum()))
+                w = np.frombuffer(b"".join(hashed(v[i : i + length]) for v, k in zip(views, n.tolist()) for i in range(k)), dtype=np.int64).reshape(-1, 2)
                 at = np.arange(len(w)) - np.repeat(np.cumsum(n, dtype=np.int64) - n, n)
                 own_row = pa.array(np.repeat(np.arange(len(n)), n))
-                yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), *(batch.column(x).take(own_row) for x in ("h", "c", "n", "copies")), pa.array(at, pa.int32())], ["w", "h", "c", "n", "copies", "at"])
+                yield pa.RecordBatch.from_arrays([pa.array(w[:, 0].copy()), pa.array(w[:, 1].copy()), *(batch.column(x).take(own_row) for x in ("h", "c", "n", "copies")), pa.array(at, pa.int32())], ["w", "v", "h", "c", "n", "copies", "at"])
 
     return run
 
@@ -224,8 +246,8 @@ _FOUND = "h long, c long, n int, ranges array<struct<a: int, b: int>>"
 def _repeated_by_window(pieces: DataFrame, length: int) -> DataFrame:
     """(h, c, n, ranges) as shards give them, of pieces dealt by window."""
     windows = materialise(pieces.mapInArrow(own("suffixes", _deal_windows(length)), _WINDOWS), "segments-windows")
-    twice = windows.groupBy("w").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("w")
-    met = windows.where("copies = 1").join(twice, "w").groupBy("h", "c", "n").agg(F.collect_list("at").alias("places"))
+    twice = windows.groupBy("w", "v").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("w", "v")
+    met = windows.where("copies = 1").join(twice, ["w", "v"]).groupBy("h", "c", "n").agg(F.collect_list("at").alias("places"))
     return met.mapInArrow(own("suffixes", _join_windows()), _FOUND)
 
 
@@ -252,7 +274,7 @@ def _cut():
     return run
 
 
-def dedup_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard_bytes: int = SHARD_BYTES, spill_bytes: int = SPILL_BYTES) -> DataFrame:
+def dedup_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard_bytes: int = SHARD_BYTES, spill_bytes: int = MEMORY) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, spans, kept) for each row of ``docs`` (doc_id,
     text): the UTF-8 bytes that no string of ``length`` bytes which starts anywhere else
     covers, and the maximal [start, end) runs of those that were cut.

@@ -1,12 +1,12 @@
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from shardloom.llm import suffixes
-from shardloom.llm.induced import suffix_array
-from shardloom.llm.words import powers
+from shardloom.llm.induced import SYMBOLS, InductionQueue, Level, Scratch, repeated_starts
 
 
 def slow(rows, length):
@@ -69,14 +69,64 @@ def test_parts_of_long_texts(monkeypatch):
     assert groups(whole) == groups(cut) and sum(cut[1]) == len(data) - 39
 
 
-def test_suffix_arrays_against_sorting():
-    r = random.Random(1)
-    for _ in range(150):
-        text = np.array([r.choice([1, 2, 3, 9][: r.randint(1, 4)]) for _ in range(r.randint(1, 60))] + [0], dtype=np.uint16)
-        total = np.r_[np.uint64(0), np.cumsum((text + np.uint64(7)) * powers(suffixes._BASE, len(text)), dtype=np.uint64)]
-        back = powers(suffixes._INVERSE, len(text) + 1)
-        got = suffix_array(text, 1000, lambda a, b: (total[b] - total[a]) * back[a], r.choice([1, 1 << 30]))
-        assert got.tolist() == sorted(range(len(text)), key=lambda i: text[i:].tolist())
+def sorted_suffixes(text, cap):
+    symbols = text.tolist()
+    order = sorted(range(len(symbols)), key=lambda i: symbols[i:])
+    common = [0] * len(order)
+    for k in range(1, len(order)):
+        a, b = order[k - 1], order[k]
+        while symbols[a + common[k]] == symbols[b + common[k]]:
+            common[k] += 1
+    return order, [min(c, cap) for c in common]
+
+
+@pytest.mark.parametrize("memory, chunk", [(64, 1), (64, 5), (1000, 16), (1 << 20, 1 << 18)])
+def test_suffixes_and_prefixes_against_sorting(memory, chunk):
+    r = np.random.default_rng(chunk)
+    for trial in range(120):
+        n, few = int(r.integers(1, 120)), r.integers(1, 5, 6)
+        words = r.integers(1, 5, (4, 7))
+        kinds = (r.integers(1, 4, n), np.tile(few, n)[:n], np.full(n, 257), r.integers(1, 258, n), np.repeat(r.integers(1, 4, n), r.integers(1, 6, n))[:n], words[r.integers(0, 4, n // 7 + 1)].ravel())
+        text, cap = np.append(kinds[trial % 6], 0).astype(np.uint16), int(r.choice([3, 10, 60_000]))
+        level = Level(text, 9, np.arange(SYMBOLS + 1), cap, Scratch(memory), chunk)
+        order, common = level.sort()
+        assert (order.tolist(), common.tolist()) == sorted_suffixes(text, cap)
+
+
+def test_a_shard_far_larger_than_its_memory():
+    """Two megabytes of text, sorted with 128 KB for arrays and queues, and with plenty."""
+    r = np.random.default_rng(3)
+    text = np.append(r.integers(2, 12, 1 << 20), 0).astype(np.uint16)
+    for a, b in ((1000, 500_000), (77_777, 900_000), (910_000, 300_000)):
+        text[b : b + 3000] = text[a : a + 3000]
+    text[600_000:600_900] = 5
+    tracemalloc.start()
+    small = repeated_starts(text, 400, 1 << 17, 1 << 12)
+    held = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert isinstance(small, np.memmap) and held < text.nbytes
+    assert np.array_equal(small, repeated_starts(text, 400))
+    windows = np.flatnonzero(small)
+    assert {1000, 3600, 500_000, 502_600, 77_777, 900_000, 910_000, 600_000, 600_500} <= set(windows.tolist())
+    assert len(windows) == 6 * 2601 + 501
+
+
+def test_a_queue_that_spills_keeps_the_order():
+    queue, r = InductionQueue(3, np.int32, 200), random.Random(2)
+    wanted = [[], [], []]
+    for i in range(60):
+        at, n = r.randrange(3), r.randint(1, 9)
+        items = np.arange(n, dtype=np.int32) + 100 * i
+        queue.push(at, items, items.astype(np.uint64), items.astype(np.uint16))
+        wanted[at] += items.tolist()
+        if i % 7 == 0 and (got := queue.pop(at, 4)):
+            assert got[0].tolist() == wanted[at][:4] and got[1].tolist() == wanted[at][:4]
+            del wanted[at][:4]
+    assert queue.spills > 3
+    for at in range(3):
+        got = queue.pop(at, 1000)
+        assert got[0].tolist() == wanted[at] and queue.pop(at, 1) is None
+    queue.close()
 
 
 def test_empty(docs):
