@@ -8,10 +8,12 @@ three of the six can differ for linked fingerprints, each link shares all cells
 least one choice of three groups (20 choices, one grid of 16 axes each). Inside a cell the
 Hamming distance is verified exactly.
 
-``near_copies`` looks further than three bits: it takes several fingerprints of a document
-(one hash family each), meets those that share two of the six groups of any of them, and
-links candidates by the Hamming distance of all together. The texts of each group of
-candidates then meet, and their similarity is verified on the shingles themselves.
+``near_copies`` looks further than three bits: documents are near copies if their sets of
+shingles of five words have a Jaccard similarity of 0.8 or more. Each has a fingerprint of
+several hash families; candidates share a cell of sampled bits in any of several tables
+(cells have more bits, and there are more tables, the more documents there are, so the pairs
+that meet by chance grow in proportion to the documents) and few differing bits. The
+shingles themselves decide.
 
 Only distinct fingerprints enter the grid. A cell that holds many is cut into blocks by a
 hash and its pairs of blocks are verified as separate units of bounded size; a unit gives
@@ -20,6 +22,7 @@ a spanning forest of its links, never all its pairs.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations, repeat
 
@@ -40,34 +43,34 @@ DISTANCE = 3
 #: Fingerprints of a cell that one unit compares with as many others at most.
 BLOCK = 512
 #: Shingles of one document whose bits are counted at once.
-_CHUNK = 1 << 15
+_CHUNK = 255 * 16
 
 
-def wide_fingerprint(text: bytes | None, families: int, shingle: int = SHINGLE) -> list[int]:
-    """Unsigned fingerprints of UTF-8 ``text``, one of each hash family (the first is that of
-    the shingles' own hashes); 0 where it has no word or is null."""
+def _grams(text: bytes | None, shingle: int) -> np.ndarray:
+    """XXH64 of each shingle of UTF-8 ``text``, repeats included; a shorter text is one."""
     words = text.lower().split() if text else []
     if not words:
-        return [0] * families
+        return np.zeros(0, dtype=np.uint64)
     grams = zip(*(words[i:] for i in range(shingle))) if len(words) >= shingle else iter([words])
     count = max(1, len(words) - shingle + 1)
-    hashes = np.fromiter(
-        map(xxhash.xxh64_intdigest, map(b" ".join, grams), repeat(SEED)), dtype=np.uint64, count=count
-    )
-    out = []
-    for family in range(families):
-        ones = np.zeros(64, dtype=np.int64)
-        for at in range(0, count, _CHUNK):
-            part = hashes[at : at + _CHUNK] if not family else mix(hashes[at : at + _CHUNK], family)
-            bits = np.unpackbits(np.ascontiguousarray(part).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            ones += bits.sum(axis=0, dtype=np.int32)
-        out.append(int(np.packbits(ones * 2 > count, bitorder="little").view(np.uint64)[0]))
-    return out
+    return np.fromiter(map(xxhash.xxh64_intdigest, map(b" ".join, grams), repeat(SEED)), dtype=np.uint64, count=count)
+
+
+def _majority(hashes: np.ndarray, families: int = 1) -> np.ndarray:
+    """The bits set in over half the ``hashes``, for each family of hashes made of them."""
+    ones = np.zeros(64 * families, dtype=np.int64)
+    for at in range(0, len(hashes), _CHUNK):
+        part = hashes[at : at + _CHUNK]
+        words = np.stack([part if not family else mix(part, family) for family in range(families)], axis=1)
+        bits = np.unpackbits(words.view(np.uint8), axis=1, bitorder="little")
+        for a in range(0, len(bits), 255):  # a byte holds as many
+            ones += np.add.reduce(bits[a : a + 255], axis=0, dtype=np.uint8)
+    return np.packbits(ones.reshape(families, 64) * 2 > len(hashes), axis=1, bitorder="little").view(np.uint64)[:, 0]
 
 
 def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
     """The unsigned fingerprint of UTF-8 ``text``; 0 where it has no word or is null."""
-    return wide_fingerprint(text, 1, shingle)[0]
+    return int(_majority(_grams(text, shingle))[0])
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -81,16 +84,28 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(own("simhash", run), "doc_id long, fp long")
 
 
-def _group_masks(chosen: int = 3) -> list[int]:
-    """A 64-bit mask for each choice of three (or two) of the six groups of segments."""
+def _group_masks() -> list[int]:
+    """A 64-bit mask for each choice of three of the six groups of segments."""
     cuts = [0, 5, 10, 15, 20, 26, 32]
     groups = [sum(3 << (2 * s) for s in range(cuts[g], cuts[g + 1])) for g in range(6)]
-    masks = [sum(c) for c in combinations(groups, chosen)]
+    masks = [sum(c) for c in combinations(groups, 3)]
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
+_EVEN = np.uint64(0x5555555555555555)
+
+
+def embed(fp: np.ndarray) -> np.ndarray:
+    """Each two-bit segment's count of set bits, in unary (0, 1 or 3), so that the Manhattan
+    distance of two vectors of counts is the number of bits in which these words differ."""
+    upper = fp >> np.uint64(1)
+    return (fp | upper) & _EVEN | (fp & upper & _EVEN) << np.uint64(1)
+
+
 def forest(values: np.ndarray, distance: int) -> tuple[list[int], list[int]]:
-    """Links that connect what is linked among ``values``."""
+    """Links that connect what is linked among ``values``: what is near in the grid's metric
+    (a lower bound) is verified on the bits."""
+    grid = embed(values)
     todo = np.ones(len(values), dtype=bool)
     a: list[int] = []
     b: list[int] = []
@@ -100,8 +115,10 @@ def forest(values: np.ndarray, distance: int) -> tuple[list[int], list[int]]:
         todo[start] = False
         front = [start]
         while front:
-            x = values[front.pop()]
-            near = np.flatnonzero(todo & (np.bitwise_count(values ^ x) <= distance))
+            at = front.pop()
+            x = values[at]
+            near = np.flatnonzero(todo & (np.bitwise_count(grid ^ grid[at]) <= distance))
+            near = near[np.bitwise_count(values[near] ^ x) <= distance]
             if len(near):
                 todo[near] = False
                 front += near.tolist()
@@ -119,6 +136,8 @@ def _verify(distance: int):
         first = np.flatnonzero(np.r_[True, unit[1:] != unit[:-1]])
         size = np.diff(np.r_[first, len(unit)])
         two = first[size == 2]
+        grid = embed(fp)
+        two = two[np.bitwise_count(grid[two] ^ grid[two + 1]) <= distance]
         two = two[np.bitwise_count(fp[two] ^ fp[two + 1]) <= distance]
         a, b = fp[two].view(np.int64).tolist(), fp[two + 1].view(np.int64).tolist()
         for at, n in zip(first[size > 2].tolist(), size[size > 2].tolist()):
@@ -147,11 +166,11 @@ def _verify(distance: int):
 
 
 def _embedding(column: str) -> Column:
-    """Each segment's count of set bits, in its own two bits."""
-    even, upper = F.lit(0x5555555555555555), F.shiftrightunsigned(column, 1)
-    one = F.col(column).bitwiseXOR(upper).bitwiseAND(even)
-    two = F.shiftleft(F.col(column).bitwiseAND(upper).bitwiseAND(even), 1)
-    return one.bitwiseOR(two)
+    """``embed`` as an expression."""
+    even, upper = F.lit(int(_EVEN)), F.shiftrightunsigned(column, 1)
+    some = F.col(column).bitwiseOR(upper).bitwiseAND(even)
+    both = F.shiftleft(F.col(column).bitwiseAND(upper).bitwiseAND(even), 1)
+    return some.bitwiseOR(both)
 
 
 def links(fps: DataFrame, distance: int = DISTANCE, block: int = BLOCK) -> DataFrame:
@@ -166,7 +185,7 @@ def links(fps: DataFrame, distance: int = DISTANCE, block: int = BLOCK) -> DataF
     shared = shared.withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
     units = shared.select("fp", "cell", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     units = units.select(F.xxhash64("cell", F.least("block", "other"), F.greatest("block", "other")).alias("unit"), "fp")
-    return units.repartition("unit").sortWithinPartitions("unit").mapInPandas(own("simhash", _verify(distance)), "a long, b long")
+    return units.repartition("unit").sortWithinPartitions("unit", "fp").mapInPandas(own("simhash", _verify(distance)), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE, block: int = BLOCK) -> DataFrame:
@@ -248,39 +267,31 @@ def _verify_wide(limit: int, families: int):
     return run
 
 
-#: The rule of wide fingerprints by itself: hash families, and the share of all their bits in
-#: which near copies may differ.
-FAMILIES = 3
-SHARE = 0.15
-#: ``near_copies``: words of a shingle, least similarity of their sets, hash families of the
-#: candidates, and the share of all their bits in which candidates may differ (about 15 % do
-#: at a similarity of 0.8, with a deviation of 2 %; half at none).
+#: ``near_copies``: words of a shingle, and least similarity of their sets.
 WORDS = 5
 SIMILARITY = 0.8
+#: Hash families of 64 bits; those whose bits are compared in a cell, and the share of them in
+#: which candidates may differ (about 15 % do at a similarity of 0.8, with a deviation of
+#: 2.6 %; half at none).
 MEET_FAMILIES = 12
-MEET_SHARE = 0.22
+CHECKED = 3
+MEET_SHARE = 0.255
+#: The share of pairs of the least similarity that become candidates, and the share of bits
+#: in which such a pair agrees: 1 - arccos(2 s / (1 + s)) / pi.
+RECALL = 0.98
+AGREE = 0.8485
+#: Bits of a cell at least, and above the logarithm of the number of texts.
+_LEAST_BITS = 16
+_MORE_BITS = 3
 #: Shingles of a unit of texts, about.
 _UNIT_SHINGLES = 1 << 20
+#: Texts of a large group that all others are compared with.
+PIVOTS = 4
 
 
 def shingle_set(text: bytes | None, shingle: int = WORDS) -> np.ndarray:
     """Ascending hashes of the different shingles of UTF-8 ``text``; a shorter text is one."""
-    words = text.lower().split() if text else []
-    if not words:
-        return np.zeros(0, dtype=np.uint64)
-    grams = zip(*(words[i:] for i in range(shingle))) if len(words) >= shingle else iter([words])
-    count = max(1, len(words) - shingle + 1)
-    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, map(b" ".join, grams), repeat(SEED)), dtype=np.uint64, count=count))
-
-
-def _set_fingerprint(hashes: np.ndarray, families: int) -> list[int]:
-    """A fingerprint of each hash family, in which each shingle counts once."""
-    ones = np.zeros((families, 64), dtype=np.int64)
-    for at in range(0, len(hashes), _CHUNK):
-        for family in range(families):
-            part = hashes[at : at + _CHUNK] if not family else mix(hashes[at : at + _CHUNK], family)
-            ones[family] += np.unpackbits(np.ascontiguousarray(part).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
-    return np.packbits(ones * 2 > len(hashes), axis=1, bitorder="little").view(np.int64)[:, 0].tolist()
+    return np.unique(_grams(text, shingle))
 
 
 def similar(sets: list[np.ndarray], least: float = SIMILARITY) -> tuple[list[int], list[int]]:
@@ -336,12 +347,72 @@ def _verify_texts(least: float, shingle: int):
     return run
 
 
-def _paired(members: DataFrame, key: str) -> DataFrame:
-    """``members`` (with ``node`` and ``blocks``, the number of blocks of its ``key``) in a
-    unit for each pair of blocks of a key."""
-    cut = members.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return cut.withColumn("unit", F.xxhash64(key, F.least("block", "other"), F.greatest("block", "other"))).drop("block", "other", "blocks")
+def tables(n: int, families: int = MEET_FAMILIES, recall: float = RECALL) -> list[tuple[int, int, int, int]]:
+    """The tables for ``n`` texts: two families each, and a mask of sampled bits for both. A
+    cell has so many bits that fewer than one text in eight shares it by chance; there are
+    so many tables that a pair of the least similarity shares one with probability ``recall``."""
+    bits = max(_LEAST_BITS, math.ceil(math.log2(max(n, 2))) + _MORE_BITS)
+    count = math.ceil(math.log(1 - recall) / math.log(1 - AGREE**bits))
+    rng, out = np.random.default_rng(SEED), []
+    for _ in range(count):
+        a, b = rng.choice(families, 2, replace=False).tolist()
+        masks = [np.bitwise_or.reduce(np.uint64(1) << rng.choice(64, k, replace=False).astype(np.uint64)) for k in (bits // 2, bits - bits // 2)]
+        out.append((a, b, *(int(m.view(np.int64)) for m in masks)))
+    return out
+
+
+def _candidates(nodes: DataFrame, names: list[str], share: float, block: int) -> DataFrame:
+    """(node, root): groups of candidates. Texts of a cell are linked if they differ in few
+    bits; those of a cell of more than ``block`` are all linked to the least of them, which
+    is more than their bits say, and is left to the texts to decide."""
+    cells = [F.xxhash64(F.lit(t), F.col(names[a]).bitwiseAND(F.lit(x)), F.col(names[b]).bitwiseAND(F.lit(y))) for t, (a, b, x, y) in enumerate(tables(nodes.count(), len(names)))]
+    points = nodes.select("node", F.explode(F.array(*cells)).alias("cell"))
+    shared = points.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("least")).where("n > 1")
+    shared = materialise(points.join(shared, "cell"), "wide-simhash-shared")
+    stars = shared.where(F.col("n") > block).where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
+    checked = names[:CHECKED]
+    units = shared.where(F.col("n") <= block).select("node", F.col("cell").alias("unit")).join(nodes.select("node", *checked), "node")
+    limit = int(share * 64 * len(checked))
+    near = units.select("unit", "node", *checked).repartition("unit").sortWithinPartitions("unit", "node").mapInPandas(own("simhash", _verify_wide(limit, len(checked))), "a long, b long")
+    return materialise(connected_components(near.unionByName(stars)), "wide-simhash-met")
+
+
+def _pivot_links(shingle: int):
+    """Similarities of each member's text to the pivots of its group."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict = {}
+        for batch in batches:
+            out = []
+            for text, pivot, other in zip(binary_column(batch, "text"), batch.column("pivot").to_pylist(), binary_column(batch, "pivot_text")):
+                if pivot not in kept:
+                    if len(kept) >= 4 * PIVOTS:
+                        kept.clear()
+                    kept[pivot] = shingle_set(other, shingle)
+                x, y = shingle_set(text, shingle), kept[pivot]
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                out.append(both / max(1, len(x) + len(y) - both) if len(x) or len(y) else 1.0)
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("node", "root", "pivot")] + [pa.array(out, pa.float64())], ["node", "root", "pivot", "s"])
+
+    return run
+
+
+def _units(asked: DataFrame, block: int) -> DataFrame:
+    """(unit, node) of ``asked`` (node, size, root, and ``inner``: whether the node has to meet
+    only those that are not inner), so that all pairs of a root but inner ones meet in a unit:
+    each set is cut into blocks of about ``block`` texts, and pairs of blocks are units."""
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("size") / _UNIT_SHINGLES)).cast("int")
+    cut = materialise(asked.groupBy("root", "inner").agg(blocks.alias("blocks")), "wide-simhash-blocks")
+    outer = cut.where("not inner").select("root", F.col("blocks").alias("outer"))
+    inner = cut.where("inner").select(F.col("root").alias("r"), F.col("blocks").alias("inside"))
+    counts = outer.join(inner, outer.root == inner.r, "left").select("root", "outer", F.coalesce("inside", F.lit(0)).alias("inside"))
+    own_block = F.pmod(F.xxhash64("node"), F.when(F.col("inner"), F.col("inside")).otherwise(F.col("outer"))).cast("int")
+    met = asked.join(counts, "root").withColumn("block", own_block)
+    # an outer block meets the outer ones and the inner ones (counted from -1 down), an inner block the outer ones
+    low = F.when(F.col("inner"), F.lit(0)).otherwise(-F.col("inside"))
+    met = met.withColumn("other", F.explode(F.sequence(low, F.col("outer") - 1)))
+    mine = F.when(F.col("inner"), -F.col("block") - 1).otherwise(F.col("block"))
+    return met.select("node", F.xxhash64("root", F.least(mine, "other"), F.greatest(mine, "other")).alias("unit"))
 
 
 def near_copies(docs: DataFrame, families: int = MEET_FAMILIES, share: float = MEET_SHARE, shingle: int = WORDS, block: int = BLOCK, least: float = SIMILARITY) -> DataFrame:
@@ -349,21 +420,27 @@ def near_copies(docs: DataFrame, families: int = MEET_FAMILIES, share: float = M
     pairs of a similarity of ``least`` or more connect, which is the Jaccard similarity of
     their sets of shingles of ``shingle`` words.
 
-    Fingerprints only make candidates: they link what shares two of six groups of bits of any
-    family and differs in at most ``share`` of all bits. Documents of each group of candidates
-    are then compared with each other by their shingles, so no link has a lesser similarity.
-    A pair becomes a candidate with a probability that rises with its similarity; copies
-    always do. Nulls, empty texts, repeated rows and ids are treated as in
-    ``near_duplicates``.
+    Fingerprints only make candidates; the shingles of each group of candidates decide, so no
+    link has a lesser similarity, and inside a group of candidates none is lost. A pair of
+    the least similarity becomes a candidate with probability ``RECALL``, a closer one with a
+    higher one, and copies always do. In a group of more than ``block`` texts all are first
+    compared with a few pivots; the texts that the best pivot has links to are not compared
+    with each other, and with the others only where the triangle inequality of the Jaccard
+    distance leaves a link possible. Nulls, empty texts, repeated rows and ids are treated as
+    in ``near_duplicates``; other columns are ignored, texts of any length count as a whole.
     """
     names = [f"f{j}" for j in range(families)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(t, shingle) for t in binary_column(batch, "text")]
-            values = np.array([_set_fingerprint(x, families) for x in sets], dtype=np.int64).reshape(-1, families)
-            node = np.array([xxhash.xxh3_64_intdigest(x.tobytes()) for x in sets], dtype=np.uint64).view(np.int64)
-            columns = [batch.column("doc_id"), batch.column("place"), pa.array(node), pa.array([len(x) for x in sets], pa.int64())]
+            node, size, values = [], [], []
+            for text in binary_column(batch, "text"):
+                found = shingle_set(text, shingle)
+                node.append(xxhash.xxh3_64_intdigest(found.tobytes()))
+                size.append(len(found))
+                values.append(_majority(found, families).view(np.int64))
+            values = np.array(values, dtype=np.int64).reshape(-1, families)
+            columns = [batch.column("doc_id"), batch.column("place"), pa.array(np.array(node, dtype=np.uint64).view(np.int64)), pa.array(size, pa.int64())]
             yield pa.RecordBatch.from_arrays([*columns, *(pa.array(np.ascontiguousarray(values[:, j])) for j in range(families))], ["doc_id", "place", "node", "size", *names])
 
     schema = "doc_id long, place long, node long, size long, " + ", ".join(f"{n} long" for n in names)
@@ -371,21 +448,38 @@ def near_copies(docs: DataFrame, families: int = MEET_FAMILIES, share: float = M
     fps = materialise(rows.mapInArrow(own("simhash", run), schema), "wide-simhash")
     nodes = fps.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("place").alias("place"), F.first("size").alias("size"), *(F.first(n).alias(n) for n in names))
     nodes = materialise(nodes, "wide-simhash-nodes")
-    cells = [F.xxhash64(F.lit(j), F.lit(g), F.col(n).bitwiseAND(F.lit(m))) for j, n in enumerate(names) for g, m in enumerate(_group_masks(2))]
-    points = nodes.select("node", F.explode(F.array(*cells)).alias("cell"))
-    crowded = points.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = points.join(crowded, "cell").select("node", "cell", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-    units = _paired(materialise(shared, "wide-simhash-shared"), "cell").select("unit", "node").join(nodes.select("node", *names), "node")
-    limit = int(share * 64 * families)
-    met = units.select("unit", "node", *names).repartition("unit").sortWithinPartitions("unit").mapInPandas(own("simhash", _verify_wide(limit, families)), "a long, b long")
-    met = materialise(connected_components(met), "wide-simhash-met")
-    # the texts of each group of candidates meet, in pairs of blocks where there are many
+    met = _candidates(nodes, names, share, block)
     asked = nodes.select("node", "place", "size").join(met, "node")
-    crowds = asked.groupBy("root").agg(F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("size") / _UNIT_SHINGLES)).cast("int").alias("blocks"))
-    asked = asked.join(materialise(crowds, "wide-simhash-crowds"), "root").select("node", "place", "root", "blocks")
-    texts = rows.select("place", "text").join(asked, "place").dropDuplicates(["node"])
-    texts = _paired(texts.select("node", "root", "blocks", "text"), "root").select("unit", "node", "text")
-    found = texts.repartition("unit").sortWithinPartitions("unit").mapInArrow(own("simhash", _verify_texts(least, shingle)), "a long, b long")
+    crowds = materialise(asked.groupBy("root").agg(F.count(F.lit(1)).alias("n")), "wide-simhash-crowds")
+    asked = materialise(asked.join(crowds, "root").select("node", "place", "size", "root", (F.col("n") > block).alias("large")), "wide-simhash-asked")
+    text_of = lambda some: rows.select("place", "text").join(some, "place").dropDuplicates(["node"])
+    small = asked.where("not large").select("node", "size", "root", F.lit(False).alias("inner"))
+    links_ = []
+    if crowds.where(F.col("n") > block).isEmpty():
+        units = _units(small, block)
+    else:
+        large = asked.where("large")
+        pivots = large.groupBy("root", F.pmod(F.xxhash64("node"), F.lit(PIVOTS)).alias("i")).agg(F.min("node").alias("node"))
+        pivots = text_of(pivots.join(asked.select("node", "place"), "node")).select(F.col("root").alias("r"), F.col("node").alias("pivot"), F.col("text").alias("pivot_text"))
+        pivots = materialise(pivots, "wide-simhash-pivots")
+        members = text_of(large.select("node", "place", "root"))
+        told = members.join(pivots, members.root == pivots.r).select("node", "root", "text", "pivot", "pivot_text").mapInArrow(own("simhash", _pivot_links(shingle)), "node long, root long, pivot long, s double")
+        told = materialise(told, "wide-simhash-told")
+        near = F.col("s") >= least * (1 - 1e-9)
+        links_.append(told.where(near & (F.col("node") != F.col("pivot"))).select(F.col("node").alias("a"), F.col("pivot").alias("b")))
+        count = told.groupBy("root", "pivot").agg(F.sum(near.cast("long")).alias("links"), F.max(F.when(~near, F.col("s"))).alias("next"))
+        best = count.groupBy("root").agg(F.max(F.struct("links", "pivot", "next")).alias("best")).select(F.col("root").alias("r"), F.col("best.pivot").alias("p"), F.col("best.next").alias("next"))
+        best = materialise(best, "wide-simhash-best")
+        seen = told.join(best, (told.root == best.r) & (told.pivot == best.p)).where("next IS NOT NULL")
+        # d(x, p) >= d(y, p) - (1 - least) for the nearest y without a link to p
+        seen = seen.where(~near | (F.col("s") <= F.col("next") + (1 - least) + 1e-9)).select("node", "root", near.alias("inner"))
+        rest = seen.join(nodes.select("node", "size"), "node").select("node", "size", "root", "inner")
+        units = _units(small.unionByName(rest), block)
+    units = units.join(nodes.select("node", "place"), "node")
+    texts = rows.select("place", "text").join(units, "place").dropDuplicates(["unit", "node"]).select("unit", "node", "text")
+    found = texts.repartition("unit").sortWithinPartitions("unit", "node").mapInArrow(own("simhash", _verify_texts(least, shingle)), "a long, b long")
+    for more in links_:
+        found = found.unionByName(more)
     roots = materialise(connected_components(found), "wide-simhash-roots").withColumnRenamed("node", "member")
     rooted = nodes.join(roots, nodes.node == roots.member, "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     rooted = materialise(rooted, "wide-simhash-rooted")

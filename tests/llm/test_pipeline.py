@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline as cp
-from shardloom.llm import mixing, simhash
+from shardloom.llm import mixing
 
 from .test_langid import text
+from .test_near_stage import near_stage
 from .test_winnow import slow
 
 
@@ -32,26 +33,6 @@ def tables(spark, docs, folder, rows=None):
     return rows, bench
 
 
-def near_groups(rows):
-    """The smallest id of each component of near fingerprints, by all pairs."""
-    prints = np.array([simhash.wide_fingerprint(t.encode(), simhash.FAMILIES) for _, t in rows], dtype=np.uint64)
-    root = list(range(len(rows)))
-
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    for i in range(len(rows)):
-        near = np.bitwise_count(prints ^ prints[i]).sum(axis=1) <= int(simhash.SHARE * 64 * simhash.FAMILIES)
-        for j in np.flatnonzero(near).tolist():
-            root[find(i)] = find(j)
-    least = {}
-    for i, (d, _) in enumerate(rows):
-        least[find(i)] = min(d, least.get(find(i), d))
-    return set(least.values())
-
-
 def test_each_stage_against_brute_force(spark, docs, tmp_path):
     d = str(tmp_path)
     rows, bench = tables(spark, docs, d)
@@ -68,7 +49,7 @@ def test_each_stage_against_brute_force(spark, docs, tmp_path):
     assert gone == {400, 401, 402}
     one = step(1, kept)
     have = [(r.doc_id, r.text) for r in kept.collect()]
-    groups = near_groups([(d if d is not None else 10**9, t) for d, t in have])
+    groups = {d for d, _ in near_stage([(d if d is not None else 10**9, t) for d, t in have])}
     left = [(r.doc_id, r.text) for r in one.collect()]
     assert len(left) == len(groups) and {d for d, _ in left if d is not None} <= groups
     clean = step(2, one)

@@ -146,6 +146,40 @@ def test_near_copies_with_other_passages_against_all_pairs(docs):
     assert all(got[i] == i for i in range(0, len(rows), 2))
 
 
+def test_large_groups_against_all_pairs(docs):
+    """Groups of more texts than a block: most near a pivot, some only near some of those."""
+    r = random.Random(33)
+    word = lambda: f"w{r.randrange(10**6)}"
+    rows = []
+    for _ in range(3):
+        base = [word() for _ in range(150)]
+        for _ in range(40):
+            copy = list(base)
+            for _ in range(r.randrange(5)):
+                copy[r.randrange(len(copy))] = word()
+            if r.random() < 0.3:  # drifts away, step by step
+                copy = [word() for _ in range(r.choice([6, 10, 14, 20]))] + copy[10:]
+            rows.append((len(rows), " ".join(copy)))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for _, t in rows)]
+    root = list(range(len(rows)))
+    for i, j in combinations(range(len(rows)), 2):
+        if 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j]):
+            a, b = sorted((root[i], root[j]))
+            root = [a if x == b else x for x in root]
+    assert len(set(root)) > 6
+    for block in (4, 16):
+        assert {x.doc_id: x.component_id for x in simhash.near_copies(docs(rows), block=block).collect()} == dict(enumerate(root))
+
+
+def test_more_texts_have_larger_cells_and_more_tables():
+    """Pairs that meet by chance, a text: bounded, while a pair at the limit keeps its chance."""
+    for n in (10, 10**4, 10**6, 10**9):
+        found = simhash.tables(n)
+        bits = [sum((m & (1 << 64) - 1).bit_count() for m in t[2:]) for t in found]
+        assert len(set(bits)) == 1 and n / 2 ** bits[0] <= 1 / 8
+        assert 1 - (1 - simhash.AGREE ** bits[0]) ** len(found) >= simhash.RECALL
+
+
 def test_similar_sets_against_all_pairs():
     r = random.Random(4)
     sets = []
