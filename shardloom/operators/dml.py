@@ -1,14 +1,16 @@
-"""INSERT, UPDATE and DELETE as new versions of a table (copy on write).
+"""INSERT, UPDATE and DELETE (copy on write, file by file).
 
-Each function gives the table's name, its new rows, and the number of rows affected.
+INSERT adds files. UPDATE and DELETE first fix the identities of the rows they mean, then
+write only the files that hold such rows anew. Each gives the number of rows affected.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shardloom.plans.tokens import Group, Node, SqlError, Token, render, split
+from shardloom.sources.versions import FILE, ROW, touched
 
 
 def _find(nodes: list[Node], *words: str) -> int:
@@ -29,14 +31,34 @@ def _assignments(nodes: list[Node]) -> dict[str, list[Node]]:
     return out
 
 
-def insert(engine, nodes: list[Node], with_: str) -> tuple[str, DataFrame, int]:
+def _fresh(engine, table, nodes: list[Node]) -> tuple[DataFrame, list[str]]:
+    """Rows to insert, in the order in which they are given (``_ord``), and their columns."""
+    columns = [c for c in table.columns if c.lower() not in {g.lower() for g, _ in table.definition.generated}]
+    if nodes and isinstance(nodes[0], Group) and not any(n.upper == "SELECT" for n in nodes[0].nodes):
+        columns, nodes = [c[0].text for c in split(nodes[0].nodes)], nodes[1:]
+    defaults = {c.lower(): e for c, e in table.definition.defaults}
+    value = lambda c, v: defaults.get(c.lower(), "NULL") if len(v) in (1, 2) and v[0].upper == "DEFAULT" and all(isinstance(x, Group) for x in v[1:]) else engine._text(v)
+    if nodes[0].upper in ("VALUES", "VALUE"):
+        texts = []
+        for i, r in enumerate(n for n in nodes[1:] if isinstance(n, Group)):
+            values = split(r.nodes)
+            if len(values) != len(columns):
+                raise SqlError(f"{len(columns)} columns, {len(values)} values")
+            texts.append("(" + ", ".join([*(value(c, v) for c, v in zip(columns, values)), f"{i}L"]) + ")")
+        names = ", ".join([*(f"`{c}`" for c in columns), "_ord"])
+        return engine.spark.sql(f"SELECT * FROM VALUES {', '.join(texts)} AS _v({names})"), columns
+    if nodes[0].upper == "SET":
+        given = _assignments(nodes[1:])
+        return engine.spark.sql("SELECT " + ", ".join([*(f"{value(c, v)} AS `{c}`" for c, v in given.items()), "0L AS _ord"])), list(given)
+    return engine.spark.sql(engine._text(nodes)).toDF(*columns).withColumn("_ord", F.monotonically_increasing_id()), columns
+
+
+def insert(engine, nodes: list[Node], with_: str) -> int:
     """INSERT [IGNORE] [INTO] t [(cols)] {VALUES .. | SET .. | SELECT ..} [AS new]
-    [ON DUPLICATE KEY UPDATE ..]. The first column stands for the key."""
+    [ON DUPLICATE KEY UPDATE ..]. Without these clauses files are added and none is read."""
     ignore = any(n.upper == "IGNORE" for n in nodes[:3])
     nodes = _skip(nodes, "LOW_PRIORITY", "DELAYED", "HIGH_PRIORITY", "IGNORE", "INTO")
-    name, nodes = nodes[0].text, nodes[1:]
-    table = engine.tables[name.lower()]
-    current = table.df.select(*table.columns)
+    table, nodes = engine.table(nodes[0].text), nodes[1:]
     at = _find(nodes, "ON")
     update = None
     if at >= 0 and nodes[at + 1].upper == "DUPLICATE":
@@ -44,31 +66,104 @@ def insert(engine, nodes: list[Node], with_: str) -> tuple[str, DataFrame, int]:
     alias = "new"
     if (at := _find(nodes, "AS")) >= 0 and _find(nodes, "SELECT") < 0:
         alias, nodes = nodes[at + 1].text, nodes[:at]
-    columns = table.columns
-    if nodes and isinstance(nodes[0], Group) and not any(n.upper == "SELECT" for n in nodes[0].nodes):
-        columns, nodes = [c[0].text for c in split(nodes[0].nodes)], nodes[1:]
-    if nodes[0].upper in ("VALUES", "VALUE"):
-        rows = [n for n in nodes[1:] if isinstance(n, Group)]
-        texts = []
-        for r in rows:
-            values = ["NULL" if v and v[0].upper == "DEFAULT" and len(v) == 1 else engine._text(v) for v in split(r.nodes)]
-            if len(values) != len(columns):
-                raise SqlError(f"{len(columns)} columns, {len(values)} values")
-            texts.append("(" + ", ".join(values) + ")")
-        fresh = engine.spark.sql(f"SELECT * FROM VALUES {', '.join(texts)} AS _v({', '.join(f'`{c}`' for c in columns)})")
-    elif nodes[0].upper == "SET":
-        given = _assignments(nodes[1:])
-        columns = list(given)
-        fresh = engine.spark.sql("SELECT " + ", ".join(f"{engine._text(v)} AS `{c}`" for c, v in given.items()))
-    else:
-        fresh = engine.spark.sql(engine._text(nodes)).toDF(*columns)
-    kinds = {f.name.lower(): f.dataType for f in current.schema}
+    fresh, _ = _fresh(engine, table, nodes)
+    kinds = {f.name.lower(): f.dataType for f in table.schema}
     have = {c.lower(): c for c in fresh.columns}
-    fresh = fresh.select(*((F.col(f"`{have[c.lower()]}`") if c.lower() in have else F.lit(None)).cast(kinds[c.lower()]).alias(c) for c in table.columns))
-    n = fresh.count()
+    defaults = {c.lower(): e for c, e in table.definition.defaults}
+
+    def column(c: str):
+        if c.lower() in have:
+            return F.col(f"`{have[c.lower()]}`").cast(kinds[c.lower()]).alias(c)
+        return F.expr(defaults.get(c.lower(), "NULL")).cast(kinds[c.lower()]).alias(c)
+
+    fresh = _generated(table, fresh.select(*(column(c) for c in table.columns), "_ord"))
+    if (counter := table.definition.increments) is not None:
+        most = table.rows().agg(F.max(counter)).first()[0] or 0
+        number = F.row_number().over(Window.orderBy("_ord")) + F.lit(most)
+        fresh = fresh.withColumn(counter, F.coalesce(F.col(counter), number.cast(kinds[counter.lower()])))
+    _required(table, fresh)
     if update is None and not ignore:
-        return name, current.unionByName(fresh), n
-    return name, upsert(current, fresh, table.columns[0], {} if update is None else {c: _update_text(engine, v, table.columns, alias) for c, v in update.items()}), n
+        return table.append(fresh)
+    given = {} if update is None else {c: _update_text(engine, v, table.columns, alias) for c, v in update.items()}
+    fresh = engine.kept(fresh)
+    merge(table, fresh, given)
+    return fresh.count()
+
+
+def _generated(table, rows: DataFrame) -> DataFrame:
+    kinds = {f.name: f.dataType for f in table.schema}
+    for c, e in table.definition.generated:
+        rows = rows.withColumn(c, F.expr(e).cast(kinds[c]))
+    return rows
+
+
+def _required(table, rows: DataFrame) -> None:
+    """NOT NULL columns, and those of the key, take no null."""
+    for c in table.definition.required:
+        if not rows.where(F.col(f"`{c}`").isNull()).isEmpty():
+            raise SqlError(f"column {c} takes no null")
+
+
+def _folded(fresh: DataFrame, key: list[str], columns: list[str], update: dict[str, str]) -> DataFrame:
+    """One row for each key of ``fresh`` (``_ord`` orders its rows): ``_first`` is what is
+    inserted where the key is new, ``_rows`` what then meets the row that is there."""
+    row = F.struct(*(F.col(f"`{c}`") for c in columns))
+    one = F.struct("_ord", row.alias("r"))
+    if not update:  # IGNORE: the first row counts
+        return fresh.groupBy(*key).agg(F.min_by(row, "_ord").alias("_first"), F.array().alias("_rows"))
+    if not any("_old." in e for e in update.values()):  # the last row's values stand at the end
+        last = F.max_by(row, "_ord")
+        more = F.when(F.count(F.lit(1)) > 1, F.array(last))
+        return fresh.groupBy(*key).agg(F.min_by(row, "_ord").alias("_first"), more.alias("_more"), F.array(last).alias("_rows"))
+    rows = F.transform(F.sort_array(F.collect_list(one)), lambda x: x["r"])
+    return fresh.groupBy(*key).agg(F.min_by(row, "_ord").alias("_first"), rows.alias("_rows"))
+
+
+def _applied(start: str, rows: str, columns: list[str], kinds: dict, update: dict[str, str]):
+    """The row ``start`` after ``rows`` have met it one after the other."""
+    values = ", ".join(f"'{c}', CAST({update[c.lower()] if c.lower() in update else f'_old.`{c}`'} AS {kinds[c].simpleString()})" for c in columns)
+    return F.expr(f"aggregate({rows}, {start}, (_old, _new) -> named_struct({values}))")
+
+
+def _merged(current: DataFrame, fresh: DataFrame, key: list[str], columns: list[str], update: dict[str, str]) -> tuple[DataFrame, DataFrame]:
+    """Rows of ``current`` (whatever other columns it has) as they are after ``fresh`` has met
+    them, and the rows of new keys. Keys that hold a null are always new."""
+    kinds = {c: current.schema[c].dataType for c in columns}
+    whole = F.lit(True)
+    for c in key:
+        whole = whole & F.col(f"`{c}`").isNotNull()
+    folded = _folded(fresh.where(whole), key, columns, update)
+    names = {c: f"_key{i}" for i, c in enumerate(key)}
+    met = folded.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items()), *(c for c in folded.columns if c.startswith("_") and c not in names.values() and c not in key))
+    same = F.lit(True)
+    for c, n in names.items():
+        same = same & (current[f"`{c}`"] == met[n])
+    both = current.join(met, same, "left")
+    old = "named_struct(" + ", ".join(f"'{c}', `{c}`" for c in columns) + ")"
+    changed = both.withColumn("_now", F.when(F.col("_first").isNotNull() if update else F.lit(False), _applied(old, "_rows", columns, kinds, update)) if update else F.lit(None).cast(current.select(*(F.col(f"`{c}`") for c in columns)).schema))
+    now = [F.when(F.col("_now").isNotNull(), F.col(f"_now.`{c}`")).otherwise(F.col(f"`{c}`")).alias(c) for c in columns]
+    new = met.join(current.select(*(F.col(f"`{c}`") for c in key)), same, "left_anti")
+    if update:
+        rest = "coalesce(_more, array())" if "_more" in met.columns else "slice(_rows, 2, greatest(size(_rows) - 1, 0))"
+        start = "named_struct(" + ", ".join(f"'{c}', CAST(_first.`{c}` AS {kinds[c].simpleString()})" for c in columns) + ")"
+        new = new.select(_applied(start, rest, columns, kinds, update).alias("_first"))
+    new = new.select(*(F.col(f"_first.`{c}`").alias(c) for c in columns))
+    return changed.select(*now), new.unionByName(fresh.where(~whole).select(*(F.col(f"`{c}`") for c in columns)))
+
+
+def merge(table, fresh: DataFrame, update: dict[str, str]) -> None:
+    """INSERT IGNORE, or with ``update`` ON DUPLICATE KEY: only files with rows of a key of
+    ``fresh`` are written anew, and not even those for IGNORE."""
+    key, current = list(table.key), table.rows(identity=True)
+    keys = fresh.select(*(F.col(f"`{c}`").alias(f"_key{i}") for i, c in enumerate(key))).distinct()
+    same = F.lit(True)
+    for i, c in enumerate(key):
+        same = same & (current[f"`{c}`"] == keys[f"_key{i}"])
+    files = touched(current.join(keys, same, "left_semi"))
+    rows = table.of_files(files) if files else table.rows(identity=True).limit(0)
+    changed, new = _merged(rows.select(*(F.col(f"`{c}`") for c in table.columns)), fresh, key, table.columns, update)
+    added = table.write(_generated(table, new))
+    table.swap(files if update else set(), _generated(table, changed), added)
 
 
 def _update_text(engine, nodes: list[Node], columns: list[str], alias: str) -> str:
@@ -101,17 +196,15 @@ def _update_text(engine, nodes: list[Node], columns: list[str], alias: str) -> s
     return engine._text(owned(nodes))
 
 
-def upsert(current: DataFrame, fresh: DataFrame, key: str, update: dict[str, str]) -> DataFrame:
+def upsert(current: DataFrame, fresh: DataFrame, key: str | list[str], update: dict[str, str]) -> DataFrame:
     """Rows of ``fresh`` whose key is new are added; for others, the columns of ``update``
-    (SQL over _old and _new) change. One row of each key of ``fresh`` counts."""
-    fresh = fresh.dropDuplicates([key])
-    both = current.alias("_old").join(fresh.alias("_new"), F.col(f"_old.`{key}`") == F.col(f"_new.`{key}`"), "full_outer")
-    there, came = F.col(f"_old.`{key}`").isNotNull(), F.col(f"_new.`{key}`").isNotNull()
-    out = []
-    for c in current.columns:
-        changed = F.expr(update[c.lower()]) if c.lower() in update else F.col(f"_old.`{c}`")
-        out.append(F.when(there & came, changed).when(came, F.col(f"_new.`{c}`")).otherwise(F.col(f"_old.`{c}`")).alias(c))
-    return both.select(*out)
+    (SQL over _old and _new) change. Rows of one key of ``fresh`` count one after the other,
+    in the order of a column ``_ord`` if it has one; else of their values."""
+    key = [key] if isinstance(key, str) else list(key)
+    if "_ord" not in fresh.columns:
+        fresh = fresh.withColumn("_ord", F.struct(*(F.col(f"`{c}`") for c in current.columns)))
+    changed, new = _merged(current, fresh, key, current.columns, update)
+    return changed.unionByName(new)
 
 
 def _tail(nodes: list[Node]) -> tuple[list[Node], list[Node], list[Node], list[Node]]:
@@ -128,71 +221,122 @@ def _tail(nodes: list[Node]) -> tuple[list[Node], list[Node], list[Node], list[N
     return nodes[:end], where, order, limit
 
 
-def _marked(engine, table, where: list[Node], order: list[Node], limit: list[Node], alias: str, with_: str = "") -> DataFrame:
-    """The table's rows and whether each is meant (_hit)."""
-    condition = f"coalesce(({engine._text(where)}), false)" if where else "true"
-    rows = engine.spark.sql(f"{with_} SELECT `{alias}`.*, {condition} AS _hit FROM `{table.name}` AS `{alias}`")
-    if limit:
-        n = int(render(limit))
-        rows = rows.withColumn("_id", F.monotonically_increasing_id())
-        keys = [F.expr(engine._text([x for x in o if x.upper not in ("ASC", "DESC")])).desc() if any(x.upper == "DESC" for x in o) else F.expr(engine._text([x for x in o if x.upper != "ASC"])).asc() for o in split(order)]
-        # the first n of the meant rows; a top-k, not a sort of the table
-        first = rows.where("_hit").orderBy(*keys, "_id").limit(n).select(F.col("_id"), F.lit(True).alias("_first"))
-        first = F.broadcast(first) if n <= 10_000 else first
-        rows = rows.join(first, "_id", "left").withColumn("_hit", F.coalesce("_first", F.lit(False))).drop("_id", "_first")
-    return rows
+def _condition(engine, where: list[Node]) -> str:
+    return f"coalesce(({engine._text(where)}), false)" if where else "true"
+
+
+def _hits(engine, table, where: list[Node], order: list[Node], limit: list[Node], alias: str, with_: str = "") -> DataFrame:
+    """Identities of the rows that are meant, fixed before anything is written. Conditions on
+    shard keys and pushed filters keep the scan to the files that may hold such rows."""
+    with engine.identified(table):
+        rows = engine.spark.sql(f"{with_} SELECT `{alias}`.* FROM {engine.source(table, alias, where)} WHERE {_condition(engine, where)}")
+        if limit:
+            keys = [F.expr(engine._text([x for x in o if x.upper not in ("ASC", "DESC")])).desc() if any(x.upper == "DESC" for x in o) else F.expr(engine._text([x for x in o if x.upper != "ASC"])).asc() for o in split(order)]
+            rows = rows.alias(alias).orderBy(*keys, FILE, ROW).limit(int(render(limit)))  # a top-k, not a sort of the table
+        return engine.kept(rows.select(FILE, ROW))
+
+
+def _aliased(nodes: list[Node], name: str) -> str:
+    return next((n.text for n in nodes if n.upper != "AS"), name)
 
 
-def update(engine, nodes: list[Node], with_: str) -> tuple[str, DataFrame, int]:
-    """UPDATE t [alias] SET c = e, .. [WHERE] [ORDER BY] [LIMIT], or UPDATE t JOIN u ON .. SET .."""
+def _sources(engine, target: list[Node]) -> dict[str, str]:
+    """Alias to table name of the tables of a join."""
+    out: dict[str, str] = {}
+    words = ("JOIN", "INNER", "LEFT", "RIGHT", "OUTER", "CROSS", "STRAIGHT_JOIN", "NATURAL", "ON", "USING", "AS")
+    begin = True
+    for i, n in enumerate(target):
+        if isinstance(n, Group):
+            if begin:
+                out |= _sources(engine, n.nodes)
+            begin = False
+        elif n.upper in ("JOIN", "STRAIGHT_JOIN") or n.kind == "op" and n.text == ",":
+            begin = True
+        elif begin and n.kind in ("word", "name") and n.upper not in words:
+            rest = [x for x in target[i + 1 : i + 3] if x.upper != "AS"]
+            alias = rest[0].text if rest and not isinstance(rest[0], Group) and rest[0].kind in ("word", "name") and rest[0].upper not in (*words, "WHERE", "SET") else n.text
+            out[alias.lower()] = n.text
+            begin = False
+    return out
+
+
+def _met(engine, table, alias: str, target: list[Node], where: list[Node], values: dict[str, str], with_: str) -> DataFrame:
+    """Identities of rows of one table that a join meets, and the values for each (the least
+    of them where a row is met more than once)."""
+    with engine.identified(table):
+        columns = ", ".join([f"`{alias}`.{FILE} AS {FILE}", f"`{alias}`.{ROW} AS {ROW}", *(f"({v}) AS `_{c}`" for c, v in values.items())])
+        condition = f" WHERE {engine._text(where)}" if where else ""
+        rows = engine.spark.sql(f"{with_} SELECT {columns} FROM {engine._text(target)}{condition}").where(f"{FILE} IS NOT NULL")
+        if values:
+            rows = rows.groupBy(FILE, ROW).agg(F.min(F.struct(*(F.col(f"`_{c}`") for c in values))).alias("_v")).select(FILE, ROW, "_v.*")
+        else:
+            rows = rows.distinct()
+        return engine.kept(rows)
+
+
+def _rewrite(table, hits: DataFrame, given: dict[str, str] | None, alias: str) -> int:
+    """Write the files that hold ``hits`` anew: without them if ``given`` is None, else with
+    the values of ``given`` (SQL text by column) in them. Other files stay."""
+    files = touched(hits)
+    if not files:
+        return 0
+    rows = table.of_files(files)
+    told = hits.withColumnsRenamed({FILE: "_hit_file", ROW: "_hit_row"})
+    same = (rows[FILE] == told["_hit_file"]) & (rows[ROW] == told["_hit_row"])
+    if given is None:
+        table.swap(files, rows.join(told, same, "left_anti"))
+    else:
+        kinds = {f.name: f.dataType for f in table.schema}
+        both = rows.join(told, same, "left").alias(alias)
+        hit = F.col("_hit_file").isNotNull()
+        out = [F.when(hit, F.expr(given[c.lower()]).cast(kinds[c])).otherwise(F.col(f"`{alias}`.`{c}`")).alias(c) if c.lower() in given else F.col(f"`{alias}`.`{c}`").alias(c) for c in table.columns]
+        table.swap(files, _generated(table, both.select(*out)))
+    return hits.count()
+
+
+def update(engine, nodes: list[Node], with_: str) -> int:
+    """UPDATE t [alias] SET c = e, .. [WHERE] [ORDER BY] [LIMIT], or UPDATE t JOIN u ON .. SET ..
+    of columns of one or several of the tables."""
     nodes = _skip(nodes, "LOW_PRIORITY", "IGNORE")
     at = _find(nodes, "SET")
     target, rest = nodes[:at], nodes[at + 1 :]
     body, where, order, limit = _tail(rest)
-    name = target[0].text
-    table = engine.tables[name.lower()]
-    if _find(target, "JOIN") >= 0 or any(n.kind == "op" and n.text == "," for n in target):
-        return name, *_joined(engine, table, target, where, {c: engine._text(v) for c, v in _assignments(body).items()}, with_)
-    alias = next((n.text for n in target[1:] if n.upper != "AS"), name)
-    rows = _marked(engine, table, where, order, limit, alias, with_)
+    if _find(target, "JOIN", "STRAIGHT_JOIN") >= 0 or any(n.kind == "op" and n.text == "," for n in target):
+        sources = _sources(engine, target)
+        by_table: dict[str, dict[str, str]] = {}
+        for part in split(body):
+            eq = next(i for i, n in enumerate(part) if n.kind == "op" and n.text in ("=", ":="))
+            column = part[eq - 1].text.lower()
+            named = part[0].text.lower() if eq == 3 else None
+            owner = named or next((a for a, t in sources.items() if t.lower() in engine.tables and column in {c.lower() for c in engine.table(t).columns}), None)
+            if owner not in sources:
+                raise SqlError(f"no table has a column {column}")
+            by_table.setdefault(owner, {})[column] = engine._text(part[eq + 1 :])
+        met = [(a, engine.table(sources[a]), v, _met(engine, engine.table(sources[a]), a, target, where, v, with_)) for a, v in by_table.items()]
+        return sum(_rewrite(table, hits, {c: f"`_{c}`" for c in v}, "_t") for _, table, v, hits in met)
+    table = engine.table(target[0].text)
+    alias = _aliased(target[1:], target[0].text)
     given = {c: engine._text(v) for c, v in _assignments(body).items()}
-    kinds = dict(table.df.dtypes)
-    out = [F.when(F.col("_hit"), F.expr(given[c.lower()]).cast(kinds[c])).otherwise(F.col(f"`{c}`")).alias(c) if c.lower() in given else F.col(f"`{c}`") for c in table.columns]
-    return name, rows.alias(alias).select(*out), rows.where("_hit").count()
-
-
-def _joined(engine, table, target: list[Node], where: list[Node], given: dict[str, str] | None, with_: str) -> tuple[DataFrame, int]:
-    """Rows of the first table that a join meets are changed (or dropped if ``given`` is
-    None); the first column stands for the key, and one match of each key counts."""
-    key = table.columns[0]
-    alias = next((n.text for n in target[1:2] if n.kind == "name" or n.kind == "word" and n.upper not in ("JOIN", "INNER", "LEFT", "AS", "CROSS")), table.name)
-    condition = f" WHERE {engine._text(where)}" if where else ""
-    values = ", ".join([f"`{alias}`.`{key}` AS _key", *(f"({v}) AS `_{c}`" for c, v in (given or {}).items())])
-    met = engine.spark.sql(f"{with_} SELECT {values} FROM {engine._text(target)}{condition}").dropDuplicates(["_key"])
-    rows = table.df.select(*table.columns)
-    n = rows.join(met, rows[key] == met["_key"], "left_semi").count()
-    if given is None:
-        return rows.join(met, rows[key] == met["_key"], "left_anti"), n
-    both = rows.join(met, rows[key] == met["_key"], "left")
-    kinds = dict(rows.dtypes)
-    return both.select(*(F.when(F.col("_key").isNotNull(), F.col(f"`_{c.lower()}`").cast(kinds[c])).otherwise(F.col(f"`{c}`")).alias(c) if c.lower() in given else F.col(f"`{c}`") for c in table.columns)), n
+    return _rewrite(table, _hits(engine, table, where, order, limit, alias, with_), given, alias)
 
 
-def delete(engine, nodes: list[Node], with_: str) -> tuple[str, DataFrame, int]:
-    """DELETE FROM t [WHERE] [ORDER BY] [LIMIT], DELETE t FROM t JOIN .., DELETE FROM t USING .."""
+def delete(engine, nodes: list[Node], with_: str) -> int:
+    """DELETE FROM t [WHERE] [ORDER BY] [LIMIT], DELETE t, .. FROM t JOIN .., DELETE FROM t, .. USING .."""
     nodes = _skip(nodes, "LOW_PRIORITY", "QUICK", "IGNORE")
     at, using = _find(nodes, "FROM"), _find(nodes, "USING")
     if at > 0 or using > 0:
-        name = nodes[0].text if at > 0 else nodes[1].text
+        named = nodes[:at] if at > 0 else nodes[1:using]
         target, where, _, _ = _tail(nodes[(at if at > 0 else using) + 1 :])
-        own = target[0].text if name.lower() not in engine.tables else name
-        table = engine.tables[own.lower()]
-        return own, *_joined(engine, table, target, where, None, with_)
+        sources = _sources(engine, target)
+        met = []
+        for part in split(named):
+            alias = part[0].text.lower()
+            alias = alias if alias in sources else next((a for a, t in sources.items() if t.lower() == alias), alias)
+            if alias not in sources:
+                raise SqlError(f"{alias} is no table of the join")
+            table = engine.table(sources[alias])
+            met.append((table, _met(engine, table, alias, target, where, {}, with_)))
+        return sum(_rewrite(table, hits, None, "_t") for table, hits in met)
     target, where, order, limit = _tail(nodes[1:])
-    name = target[0].text
-    table = engine.tables[name.lower()]
-    alias = next((n.text for n in target[1:] if n.upper != "AS"), name)
-    rows = _marked(engine, table, where, order, limit, alias, with_)
-    return name, rows.where(~F.col("_hit")).drop("_hit"), rows.where("_hit").count()
-
-
+    table = engine.table(target[0].text)
+    return _rewrite(table, _hits(engine, table, where, order, limit, _aliased(target[1:], target[0].text), with_), None, "_t")

@@ -24,6 +24,9 @@ ORDERS_TABLE = ShardingRule("orders", ("ds0",), tables=Level("o_orderkey", 4))
 ORDERS_DATABASE = ShardingRule("orders", ("ds0", "ds1"), database=Level("o_custkey", 2))
 ORDERS_BOTH = ShardingRule("orders", ("ds0", "ds1"), Level("o_custkey", 2), Level("o_orderkey", 4))
 LINES_TABLE = ShardingRule("lineitem", ("ds0",), tables=Level("l_orderkey", 4))
+#: Both dealt by the order's key, to the same number of buckets.
+ORDERS_BUCKETS = ShardingRule("orders", ("ds0",), tables=Level("o_orderkey", 2), buckets=4)
+LINES_BUCKETS = ShardingRule("lineitem", ("ds0",), tables=Level("l_orderkey", 2), buckets=4)
 
 
 def _named(sql: str) -> list[str]:
@@ -150,7 +153,7 @@ _sql("semi_join", "SELECT s_suppkey FROM supplier WHERE s_suppkey IN (SELECT l_s
 _sql("anti_join", "SELECT p_partkey FROM part p WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p.p_partkey AND l_quantity > 45)")
 _sql("join_self", "SELECT a.n_name AS x, b.n_name AS y FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey")
 _sql("join_range", "SELECT p_partkey, r_name FROM part JOIN region ON p_size BETWEEN r_regionkey * 10 AND r_regionkey * 10 + 4")
-_sql("join_colocated", "SELECT o_orderkey, COUNT(*) AS n, ROUND(SUM(l_extendedprice), 2) AS total FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey", rules={"orders": ORDERS_TABLE, "lineitem": LINES_TABLE})
+_sql("join_colocated", "SELECT o_orderkey, COUNT(*) AS n, ROUND(SUM(l_extendedprice), 2) AS total FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey", rules={"orders": ORDERS_BUCKETS, "lineitem": LINES_BUCKETS})
 
 # -- aggregation: A1-A31, M1-M6, M11
 
@@ -366,7 +369,11 @@ def _shard_mod(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "orders").select("o_orderkey", shard_column(F.col("o_orderkey"), 4).alias("shard"), shard_column(F.col("o_totalprice"), 3).alias("by_price"))
 
 
-@_frame("shard_crc32mod")
+#: The checksum of the key as eight bytes, bit by bit.
+_CRC32 = """SELECT o_orderkey, CAST(xor(c, 4294967295) % 4 AS INT) AS shard FROM (SELECT o_orderkey, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(64), lambda i: CAST(i AS BIGINT))), lambda c, i: xor(CASE WHEN (xor(c, CASE WHEN i % 8 = 0 THEN (o_orderkey >> CAST(56 - 8 * (i // 8) AS INT)) & 255 ELSE 0 END) & 1) = 1 THEN 3988292384 ELSE 0 END, xor(c, CASE WHEN i % 8 = 0 THEN (o_orderkey >> CAST(56 - 8 * (i // 8) AS INT)) & 255 ELSE 0 END) >> 1)) AS c FROM orders)"""
+
+
+@_frame("shard_crc32mod", _CRC32)
 def _shard_crc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "orders").select("o_orderkey", shard_column(F.col("o_orderkey"), 4, "crc32mod").alias("shard"))
 
@@ -389,6 +396,7 @@ def _stored(key: str, statement: str, oracle: str = "") -> None:
 
 
 _stored("shard_prune_point", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_custkey = 42 AND o_orderkey IN (1, 2, 3, 77, 4003)")
+_stored("shard_prune_rows", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderkey IN (1, 2, 3, 77, 403)")
 _stored("shard_prune_db_only", "SELECT o_orderkey FROM orders WHERE 7 = o_custkey")
 _stored("shard_prune_tbl_only", "SELECT o_orderkey, o_custkey FROM orders o WHERE o.o_orderkey <=> 9", "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey = 9")
 _stored("shard_prune_none", "SELECT COUNT(*) AS n FROM orders WHERE o_orderkey = 9 OR o_custkey = 7")
@@ -466,6 +474,36 @@ _writes(
     "SELECT s_suppkey FROM supplier",
     "SELECT s_suppkey FROM supplier WHERE s_nationkey NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 2)",
 )
+_writes(
+    "delete_join_composite",
+    "DELETE l FROM lineitem l JOIN part ON l_partkey = p_partkey WHERE p_size > 40 AND l_linenumber <> 1",
+    "SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem",
+    "SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem LEFT JOIN part ON l_partkey = p_partkey WHERE NOT (coalesce(p_size, 0) > 40 AND l_linenumber <> 1)",
+)
+_writes(
+    "update_join_composite",
+    "UPDATE lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey SET l.l_quantity = l.l_quantity + 100, o.o_orderstatus = 'U' WHERE l.l_linenumber = 2 AND o.o_orderstatus = 'F'",
+    "SELECT l_orderkey, l_linenumber, l_quantity, o_orderstatus FROM lineitem JOIN orders ON l_orderkey = o_orderkey",
+    "WITH u AS (SELECT DISTINCT o_orderkey AS k FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_linenumber = 2 AND o_orderstatus = 'F') SELECT l_orderkey, l_linenumber, l_quantity + CASE WHEN l_linenumber = 2 AND o_orderstatus = 'F' THEN 100 ELSE 0 END AS l_quantity, CASE WHEN k IS NOT NULL THEN 'U' ELSE o_orderstatus END AS o_orderstatus FROM lineitem JOIN orders ON l_orderkey = o_orderkey LEFT JOIN u ON k = o_orderkey",
+)
+_writes(
+    "upsert_composite",
+    "CREATE TABLE stock (k BIGINT, part INT, n INT DEFAULT 7, twice INT AS (n * 2), PRIMARY KEY (k, part)); INSERT INTO stock (k, part, n) SELECT s_suppkey, s_nationkey % 3, 1 FROM supplier; INSERT INTO stock (k, part) VALUES (1, 99), (2, 99); INSERT INTO stock (k, part, n) SELECT s_suppkey, 1, 10 FROM supplier ON DUPLICATE KEY UPDATE n = n + VALUES(n); INSERT INTO stock (k, part, n) VALUES (1, 99, 5), (1, 99, 6), (3, 98, 1), (3, 98, 2) ON DUPLICATE KEY UPDATE n = n + VALUES(n)",
+    "SELECT k, part, n, twice FROM stock",
+    "SELECT k, part, n, n * 2 AS twice FROM (SELECT s_suppkey AS k, CAST(s_nationkey % 3 AS INT) AS part, CAST(CASE WHEN s_nationkey % 3 = 1 THEN 11 ELSE 1 END AS INT) AS n FROM supplier UNION ALL SELECT s_suppkey, 1, 10 FROM supplier WHERE s_nationkey % 3 <> 1 UNION ALL SELECT * FROM (VALUES (1, 99, 18), (2, 99, 7), (3, 98, 3)))",
+)
+_writes(
+    "rollback_restores",
+    "BEGIN; DELETE FROM nation WHERE n_regionkey = 1; SAVEPOINT one; UPDATE nation SET n_name = 'x'; ROLLBACK TO one; COMMIT; START TRANSACTION; DELETE FROM nation; INSERT INTO nation VALUES (99, 'y', 0); ROLLBACK",
+    "SELECT n_nationkey, n_name, n_regionkey FROM nation",
+    "SELECT n_nationkey, n_name, n_regionkey FROM nation WHERE n_regionkey <> 1",
+)
+_writes(
+    "update_limit",
+    "UPDATE lineitem SET l_quantity = 0 WHERE l_linenumber = 3 ORDER BY l_extendedprice DESC, l_orderkey LIMIT 7",
+    "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem",
+    "SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = 3 AND r <= 7 THEN 0 ELSE l_quantity END AS l_quantity FROM (SELECT *, row_number() OVER (PARTITION BY l_linenumber ORDER BY l_extendedprice DESC, l_orderkey) AS r FROM lineitem)",
+)
 _writes(
     "multi_statement",
     "SET @r = 2; CREATE TABLE mine AS SELECT * FROM nation WHERE n_regionkey = @r; CREATE VIEW v AS SELECT n_name FROM mine; PREPARE p FROM 'SELECT COUNT(*) FROM region WHERE r_regionkey < ?'; EXECUTE p USING @r",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from contextlib import ExitStack, contextmanager
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,59 +12,94 @@ from pyspark.sql import functions as F
 
 from shardloom.operators import dml
 from shardloom.plans.dialect import Normaliser
+from shardloom.plans.govern import chain
 from shardloom.plans.prune import key_values, predicate
-from shardloom.plans.tokens import Group, Node, SqlError, Token, scan, split, statements, tree
+from shardloom.plans.tokens import Group, Node, SqlError, Token, pieces, scan, split, tree
+from shardloom.session import forget_at_exit, shared_folder
 from shardloom.sources import layout
-from shardloom.sources.rules import ShardingRule
-
-FALLBACK_DIR = "/tmp/checkpoints/shardloom-tables"
-
+from shardloom.sources.rules import Level, ShardingRule
+from shardloom.sources.versions import FILE, ROW, Definition, State, Table
 
 @lru_cache(maxsize=512)
-def _scanned(sql: str) -> tuple[tuple[Token, ...], ...]:
-    return tuple(tuple(s) for s in statements(sql))
-
-
-class Logical:
-    """A logical table: its rows, and the rule by which they are sharded."""
-
-    def __init__(self, name: str, df: DataFrame, rule: ShardingRule | None):
-        self.name, self.df, self.rule = name, df, rule
-        self.columns = [c for c in df.columns if c not in ("_db", "_tbl")]
+def _scanned(sql: str) -> tuple[tuple[str, tuple[Token, ...]], ...]:
+    """The statements of a text, as they stand in it and as tokens."""
+    return tuple((p, tuple(scan(p))) for p in pieces(sql))
 
 
 class Engine:
-    """Runs statements. Reads are Spark queries over temp views; writes make a new version
-    of a table (copy on write) below ``folder``, which executors and driver share."""
+    """Runs statements. Reads are Spark queries over temp views; writes add files to a table
+    below ``folder``, which executors and driver share, and replace those they change.
+
+    ``guards`` see the text of each statement and may reject it; those that have a ``slot``
+    (concurrency control) hold it while the statement runs. ``layers`` wrap the whole
+    (``govern.chain``). A ``router`` says which endpoint a statement would go to, inside a
+    transaction the primary; ``metrics`` count and time statements by it. A query's time is
+    that of planning, since its rows are computed when they are asked for.
+    """
 
-    def __init__(self, spark: SparkSession, folder: str | None = None, guards: list[Callable[[str], None]] | None = None):
+    def __init__(self, spark: SparkSession, folder: str | None = None, guards: list | None = None, layers: list[Callable] | None = None, router=None, metrics=None, domain: str = "default"):
         self.spark = spark
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        self.folder = folder or (f"{shared}/tables" if shared else FALLBACK_DIR)
-        self.guards = guards or []
+        self.folder = folder or f"{shared_folder(spark)}/tables"
+        self.guards, self.layers = guards or [], layers or []
+        self.router, self.metrics, self.domain = router, metrics, domain
         self.prefix = f"t{uuid.uuid4().hex[:8]}"
-        self.tables: dict[str, Logical] = {}
-        self.variables: dict[str, object] = {}
+        self.tables: dict[str, Table] = {}
+        self.variables: dict[str, object] = {"version": "8.0.0-shardloom", "autocommit": 1}
         self.prepared: dict[str, str] = {}
         self.found_rows: int | None = None
+        self.row_count = -1
+        self.server: str | None = None
+        self.began: dict[str, tuple[Table, State]] | None = None
+        self.savepoints: dict[str, dict[str, tuple[Table, State]]] = {}
 
     # -- tables
 
-    def add(self, name: str, df: DataFrame, rule: ShardingRule | None = None, stored: bool = False) -> None:
-        """Register ``df`` under a name. With a rule, rows are given shard columns; ``stored``
-        deals them to one folder for each shard, so that pruned shards are not read."""
+    def add(self, name: str, df: DataFrame, rule: ShardingRule | None = None, stored: bool = True, definition: Definition = Definition(), key: list[str] | None = None) -> None:
+        """Register ``df`` under a name, with its ``key`` if it has one. With a rule, rows are
+        dealt to a folder for each shard, so that pruned shards are not read; without
+        ``stored`` the shard columns are only computed."""
         if rule is not None and not set(rule.levels) <= set(df.columns):
-            if stored:
-                path = f"{self.folder}/{name}-{uuid.uuid4().hex}"
-                layout.write_sharded(df, rule, path)
-                df = layout.read_sharded(self.spark, path)
-            else:
-                df = layout.with_shards(df, rule)
-        table = Logical(name, df, rule)
+            df = layout.stored(df, rule, self.folder) if stored else layout.with_shards(df, rule)
+        if key:
+            definition = Definition(tuple(key))
+        table = Table(self.spark, name, df, rule, self.folder, definition)
         self.tables[name.lower()] = table
-        if rule is not None:
-            df.createOrReplaceTempView(f"{self.prefix}_{name.lower()}")
-        df.select(*table.columns).createOrReplaceTempView(name)
+        self._show_rows(table)
+
+    def table(self, name: str) -> Table:
+        if name.lower() not in self.tables:
+            raise SqlError(f"there is no table {name}")
+        return self.tables[name.lower()]
+
+    def _show_rows(self, table: Table, identity: bool = False) -> None:
+        df = table.rows(identity)
+        names = [*table.columns, *((FILE, ROW) if identity else ())]
+        if table.rule is not None:
+            df.createOrReplaceTempView(f"{self.prefix}_{table.name.lower()}")
+        df.select(*(F.col(f"`{c}`") for c in names)).createOrReplaceTempView(table.name)
+
+    @contextmanager
+    def identified(self, table: Table):
+        """Inside, the table's view has the identity of its rows as well."""
+        columns = table.columns
+        self._show_rows(table, True)
+        table.columns = [*columns, FILE, ROW]
+        try:
+            yield
+        finally:
+            table.columns = columns
+            self._show_rows(table)
+
+    def source(self, table: Table, alias: str, where: list[Node]) -> str:
+        """A table in a FROM clause, pruned by its conditions."""
+        return self._from_table(table.name, alias, where, None, 1)
+
+    def kept(self, df: DataFrame) -> DataFrame:
+        """``df`` as written, so that all that follows sees the same rows."""
+        path = f"{self.folder}/kept-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        forget_at_exit(self.spark, path)
+        return self.spark.read.schema(df.schema).parquet(path)
 
     def use(self, folder: str, *names: str) -> Engine:
         """Register unsharded tables of a folder of Parquet tables."""
@@ -92,15 +128,32 @@ class Engine:
 
     def normalise(self, sql: str) -> str:
         """The Spark SQL text of one statement."""
-        [tokens] = _scanned(sql)
+        [(_, tokens)] = _scanned(sql)
         return self._text(tree(list(tokens)))
 
     def _text(self, nodes: list[Node]) -> str:
-        return Normaliser(self.variables, self._from_table).text(nodes)
+        return Normaliser(self.variables, self._from_table).text(self._known(nodes))
+
+    def _known(self, nodes: list[Node]) -> list[Node]:
+        """Calls that ask for the session's own values become these."""
+        values = {"ROW_COUNT": self.row_count, "FOUND_ROWS": self.found_rows or 0, "LAST_INSERT_ID": self.variables.get("last_insert_id", 0), "CONNECTION_ID": 1}
+        out: list[Node] = []
+        skip = False
+        for i, n in enumerate(nodes):
+            follow = nodes[i + 1] if i + 1 < len(nodes) else None
+            if skip:
+                skip = False
+            elif n.upper in values and isinstance(follow, Group) and not follow.nodes:
+                out.append(Token("raw", f"CAST({values[n.upper]} AS BIGINT)"))
+                skip = True
+            else:
+                out.append(Group(self._known(n.nodes)) if isinstance(n, Group) else n)
+        return out
 
     def query(self, sql: str, args: list | None = None) -> DataFrame:
         """One statement that returns rows. Parameters are bound before pruning."""
-        return self._run(self._bind(list(scan(sql)), args or []))
+        [(text, tokens)] = _scanned(sql)
+        return self._through(text, list(tokens), args or [])
 
     @staticmethod
     def _bind(tokens: list[Token], args: list) -> list[Token]:
@@ -127,14 +180,67 @@ class Engine:
     def execute(self, sql: str, args: list | None = None) -> DataFrame | None:
         """Run statements in order; gives the rows of the last one that has any."""
         out = None
-        for tokens in _scanned(sql):
-            got = self._run(self._bind(list(tokens), args or []))
+        for text, tokens in _scanned(sql):
+            got = self._through(text, list(tokens), args or [])
             out = got if got is not None else out
         return out
 
+    def _through(self, text: str, tokens: list[Token], args: list) -> DataFrame | None:
+        """A statement through layers, guards, the router and metrics."""
+
+        def service(text: str) -> DataFrame | None:
+            with ExitStack() as held:
+                for guard in self.guards:
+                    if hasattr(guard, "slot"):
+                        held.enter_context(guard.slot(text))
+                    else:
+                        guard(text)
+                if self.router is not None:
+                    self.server = self.router.route(text, self.in_transaction).name
+                if self.metrics is not None:
+                    held.enter_context(self.metrics.timed(self.domain, (text.split() or [""])[0].upper(), self.server or "spark"))
+                return self._run(self._bind(tokens, args))
+
+        return chain(self.layers, service)(text)
+
+    # -- transactions
+
+    @property
+    def in_transaction(self) -> bool:
+        return self.began is not None
+
+    def _snapshot(self) -> dict[str, tuple[Table, State]]:
+        return {n: (t, t.state) for n, t in self.tables.items()}
+
+    def _restore(self, saved: dict[str, tuple[Table, State]]) -> None:
+        for name in set(self.tables) - set(saved):
+            self.spark.catalog.dropTempView(self.tables[name].name)
+        self.tables = {n: t for n, (t, _) in saved.items()}
+        for table, state in saved.values():
+            table.state = state
+            self._show_rows(table)
+
+    def _transaction(self, words: list[str], nodes: list[Node]) -> None:
+        """BEGIN, COMMIT, ROLLBACK, SAVEPOINT. Files never change, so a snapshot of the tables'
+        states is all that a transaction keeps. One session at a time may write a table."""
+        if words[0] in ("BEGIN", "START"):
+            self.began, self.savepoints = self._snapshot(), {}
+        elif words[0] == "SAVEPOINT":
+            self.savepoints[nodes[1].text.lower()] = self._snapshot()
+        elif words[0] == "RELEASE":
+            if self.savepoints.pop(nodes[-1].text.lower(), None) is None:
+                raise SqlError(f"there is no savepoint {nodes[-1].text}")
+        elif words[0] == "ROLLBACK" and "TO" in words:
+            if nodes[-1].text.lower() not in self.savepoints:
+                raise SqlError(f"there is no savepoint {nodes[-1].text}")
+            self._restore(self.savepoints[nodes[-1].text.lower()])
+        else:
+            if words[0] == "ROLLBACK" and self.began is not None:
+                self._restore(self.began)
+            again = "CHAIN" in words and "NO" not in words or str(self.variables.get("autocommit")) in ("0", "OFF", "False")
+            self.began, self.savepoints = (self._snapshot() if again else None), {}
+
     def _run(self, tokens: list[Token]) -> DataFrame | None:
-        for guard in self.guards:
-            guard(" ".join(t.text for t in tokens))
         nodes = tree(tokens)
         first, second = nodes[0].upper, nodes[1].upper if len(nodes) > 1 else ""
         if first == "SELECT" or first in ("WITH", "VALUES", "TABLE") or isinstance(nodes[0], Group):
@@ -155,10 +261,14 @@ class Engine:
             return None
         if first == "SET":
             return self._set(nodes[1:])
-        if first in ("BEGIN", "COMMIT", "ROLLBACK") or first == "START":
-            return None  # each statement replaces a table's version as a whole
+        if first in ("BEGIN", "COMMIT", "ROLLBACK", "START", "SAVEPOINT", "RELEASE"):
+            return self._transaction([n.upper for n in nodes], nodes)
         if first == "CREATE":
+            self.began = None  # definitions commit
             return self._create(nodes)
+        if first == "DROP" and second in ("TABLE", "VIEW"):
+            self.began = None
+            return self._drop(nodes)
         if first == "SHOW":
             return self._show(nodes)
         raise SqlError(f"{first or nodes[0]} is no statement of this engine")
@@ -194,24 +304,37 @@ class Engine:
     # -- writes
 
     def _write(self, nodes: list[Node], with_: str) -> DataFrame:
-        verb = nodes[0].upper
-        maker = {"INSERT": dml.insert, "UPDATE": dml.update, "DELETE": dml.delete}[verb]
-        name, rows, affected = maker(self, nodes[1:], with_)
-        table = self.tables[name.lower()]
-        self._replace(table, rows)
-        return self.spark.createDataFrame([(affected,)], "affected_rows long")
-
-    def _replace(self, table: Logical, rows: DataFrame) -> None:
-        """A new version of a table, written as a whole before it is seen."""
-        path = f"{self.folder}/{table.name}-{uuid.uuid4().hex}"
-        rows = rows.select(*(F.col(f"`{c}`").cast(table.df.schema[c].dataType).alias(c) for c in table.columns))
-        if table.rule is not None:
-            layout.write_sharded(rows, table.rule, path)
-        else:
-            rows.write.parquet(path)
-        schema = table.df.select(*table.columns).schema
-        df = self.spark.read.parquet(path) if table.rule is not None else self.spark.read.schema(schema).parquet(path)
-        self.add(table.name, df.select(*table.columns, *(table.rule.levels if table.rule else ())), table.rule)
+        maker = {"INSERT": dml.insert, "UPDATE": dml.update, "DELETE": dml.delete}[nodes[0].upper]
+        if self.began is None and str(self.variables.get("autocommit")) in ("0", "OFF", "False"):
+            self.began = self._snapshot()
+        before = self._snapshot()
+        try:
+            self.row_count = maker(self, nodes[1:], with_)
+        except BaseException:
+            self._restore(before)  # a statement counts as a whole or not at all
+            raise
+        for table, state in before.values():
+            if table.state is not state:
+                self._show_rows(table)
+        return self.spark.createDataFrame([(self.row_count,)], "affected_rows long")
+
+    def vacuum(self) -> int:
+        """Delete files below the tables' own folders that no table's state or open transaction
+        has. Gives their number. Queries that were planned before may still need them."""
+        held = {f for saved in (self._snapshot(), self.began or {}, *self.savepoints.values()) for _, state in saved.values() for f in state.own}
+        n = 0
+        for table, _ in self._snapshot().values():
+            home = self.spark._jvm.org.apache.hadoop.fs.Path(table.home)
+            fs = home.getFileSystem(self.spark._jsc.hadoopConfiguration())
+            if not fs.exists(home):
+                continue
+            files = fs.listFiles(home, True)
+            while files.hasNext():
+                place = files.next().getPath()
+                if place.getName().endswith(".parquet") and not any(f.endswith(place.toUri().getRawPath()) for f in held):
+                    fs.delete(place, False)
+                    n += 1
+        return n
 
     # -- session and definitions
 
@@ -246,47 +369,115 @@ class Engine:
             return None
         like = next((i for i, n in enumerate(nodes) if n.upper == "LIKE"), -1)
         if like > 0:
-            source = self.tables[nodes[like + 1].text.lower()]
-            self.add(name, source.df.select(*source.columns).limit(0), source.rule)
-        elif at > 0:
-            self.add(name, self.spark.sql(self._text(nodes[at + (nodes[at].upper == "AS") :])))
-            self._replace(self.tables[name.lower()], self.tables[name.lower()].df)
+            source = self.table(nodes[like + 1].text)
+            self.add(name, source.rows().limit(0), source.rule, definition=source.definition)
+        elif at > 0 and not any(isinstance(n, Group) for n in nodes[:at]):
+            self.add(name, self.kept(self.spark.sql(self._text(nodes[at + (nodes[at].upper == "AS") :]))))
         else:
-            own = Normaliser()
-            columns = []
-            body = next(n for n in nodes if isinstance(n, Group))
-            for c in split(body.nodes):
-                if c[0].upper in ("PRIMARY", "KEY", "INDEX", "UNIQUE", "CONSTRAINT", "FOREIGN", "FULLTEXT", "SPATIAL", "CHECK"):
-                    continue
-                kind_ = "DECIMAL(20,0)" if len(c) > 2 and any(n.upper == "UNSIGNED" for n in c) and c[1].upper == "BIGINT" else _column_type(own, c[1:])
-                columns.append(f"`{c[0].text}` {kind_}")
-            self.add(name, self.spark.createDataFrame([], ", ".join(columns)))
+            at = next(i for i, n in enumerate(nodes) if isinstance(n, Group))
+            columns, definition = self._definition(nodes[at].nodes)
+            self.add(name, self.spark.createDataFrame([], columns), self._partitions(name, nodes[at + 1 :]), stored=False, definition=definition)
+        return None
+
+    def _definition(self, body: list[Node]) -> tuple[str, Definition]:
+        """Columns of CREATE TABLE as a schema, and what else is said of them."""
+        own, columns = Normaliser(), []
+        primary: list[str] = []
+        unique: list[str] = []
+        defaults, required, generated, increments = [], [], [], None
+        for c in split(body):
+            words = [n.upper for n in c]
+            groups = [n for n in c if isinstance(n, Group)]
+            if words[0] in ("PRIMARY", "KEY", "INDEX", "UNIQUE", "CONSTRAINT", "FOREIGN", "FULLTEXT", "SPATIAL", "CHECK"):
+                if groups and ("PRIMARY" in words or "UNIQUE" in words):
+                    names = [x[0].text for x in split(groups[0].nodes)]
+                    primary, unique = (names, unique) if "PRIMARY" in words else (primary, unique or names)
+                continue
+            column = c[0].text
+            kind = "DECIMAL(20,0)" if "UNSIGNED" in words and words[1] == "BIGINT" else _column_type(own, c[1:])
+            columns.append(f"`{column}` {kind}")
+            if "PRIMARY" in words:
+                primary = [column]
+            elif "UNIQUE" in words:
+                unique = unique or [column]
+            if "NOT" in words and words[words.index("NOT") + 1 : words.index("NOT") + 2] == ["NULL"]:
+                required.append(column)
+            if "DEFAULT" in words:
+                begin = words.index("DEFAULT") + 1
+                end = next((i for i in range(begin + 1, len(c)) if words[i] in ("NOT", "NULL", "COMMENT", "PRIMARY", "UNIQUE", "KEY", "ON", "AUTO_INCREMENT", "COLLATE", "CHECK")), len(c))
+                defaults.append((column, self._text(c[begin:end])))
+            if "AS" in words:
+                generated.append((column, self._text(c[words.index("AS") + 1].nodes)))
+            if "AUTO_INCREMENT" in words or words[1] == "SERIAL":
+                increments = column
+        required = [c for c in dict.fromkeys([*primary, *required]) if c != increments]
+        key = tuple(primary or unique)
+        return ", ".join(columns), Definition(key, tuple(defaults), tuple(required), tuple(generated), increments)
+
+    @staticmethod
+    def _partitions(name: str, rest: list[Node]) -> ShardingRule | None:
+        """PARTITION BY HASH or KEY of one column deals rows to folders; other kinds of
+        partitions leave the layout as it is."""
+        words = [n.upper for n in rest]
+        if "PARTITION" not in words or "PARTITIONS" not in words or not ("HASH" in words or "KEY" in words):
+            return None
+        of = rest[words.index("HASH" if "HASH" in words else "KEY") + 1]
+        count = int(rest[words.index("PARTITIONS") + 1].text)
+        if isinstance(of, Group) and len(of.nodes) == 1 and of.nodes[0].kind in ("word", "name"):
+            return ShardingRule(name, tables=Level(of.nodes[0].text, count))
         return None
 
+    def _drop(self, nodes: list[Node]) -> None:
+        rest = [n for n in nodes[2:] if n.upper not in ("IF", "EXISTS", "RESTRICT", "CASCADE")]
+        quiet = any(n.upper == "EXISTS" for n in nodes)
+        for part in split(rest):
+            name = part[0].text
+            if self.tables.pop(name.lower(), None) is None and nodes[1].upper == "TABLE" and not quiet:
+                raise SqlError(f"there is no table {name}")
+            self.spark.catalog.dropTempView(name)
+
     def _show(self, nodes: list[Node]) -> DataFrame:
         words = [n.upper for n in nodes]
+        if "PROCESSLIST" in words:
+            tracker = self.spark.sparkContext.statusTracker()
+            rows = [(i, "job", f"{len(tracker.getJobInfo(i).stageIds)} stages") for i in tracker.getActiveJobsIds() if tracker.getJobInfo(i)]
+            return self.spark.createDataFrame(rows, "id int, command string, info string")
+        if "GRANTS" in words:
+            user = self.spark.sql("SELECT current_user() AS u").first().u
+            return self.spark.createDataFrame([(f"GRANT ALL PRIVILEGES ON *.* TO '{user}'",)], "grants string")
+        if "ENGINES" in words:
+            return self.spark.createDataFrame([("parquet", "DEFAULT", "files that never change", "YES", "NO")], "engine string, support string, comment string, transactions string, xa string")
+        if "PRIVILEGES" in words:
+            rows = [(p, "Tables") for p in ("Select", "Insert", "Update", "Delete", "Create", "Drop")]
+            return self.spark.createDataFrame(rows, "privilege string, context string")
+        if "PLUGINS" in words or "EVENTS" in words or "TRIGGERS" in words or "FUNCTION" in words or "PROCEDURE" in words:
+            if "FUNCTION" in words:
+                return self.spark.sql("SHOW USER FUNCTIONS").selectExpr("function AS name")
+            return self.spark.createDataFrame([], "name string")
         if "TABLES" in words:
             rows = [(t.name,) for _, t in sorted(self.tables.items())]
             return self.spark.createDataFrame(rows, "name string")
         if "DATABASES" in words or "SCHEMAS" in words:
             return self.spark.sql("SHOW DATABASES").selectExpr("namespace AS name")
         if "COLUMNS" in words or "FIELDS" in words:
-            table = self.tables[nodes[next(i for i, w in enumerate(words) if w in ("FROM", "IN")) + 1].text.lower()]
-            return self.spark.createDataFrame([(f.name, f.dataType.simpleString()) for f in table.df.select(*table.columns).schema], "field string, type string")
+            table = self.table(nodes[next(i for i, w in enumerate(words) if w in ("FROM", "IN")) + 1].text)
+            return self.spark.createDataFrame([(f.name, f.dataType.simpleString()) for f in table.schema], "field string, type string")
         if "VARIABLES" in words:
             return self.spark.createDataFrame([(k, str(v)) for k, v in sorted(self.variables.items())], "variable_name string, value string")
         if "STATUS" in words:
             rows = [(t.name, "parquet", ",".join(t.rule.levels) if t.rule else None) for _, t in sorted(self.tables.items())]
             return self.spark.createDataFrame(rows, "name string, engine string, sharded_by string")
         if "INDEX" in words or "INDEXES" in words or "KEYS" in words:
-            return self.spark.createDataFrame([], "table string, key_name string")
+            table = self.table(nodes[next(i for i, w in enumerate(words) if w in ("FROM", "IN")) + 1].text)
+            rows = [(table.name, "PRIMARY", i + 1, c) for i, c in enumerate(table.definition.key)]
+            return self.spark.createDataFrame(rows, "table string, key_name string, seq int, column string")
         if "CHARSET" in words or "COLLATION" in words:
             return self.spark.createDataFrame([("utf8mb4", "utf8mb4_bin")], "charset string, collation string")
         if "WARNINGS" in words or "ERRORS" in words:
             return self.spark.createDataFrame([], "level string, code int, message string")
         if "CREATE" in words:
-            table = self.tables[nodes[-1].text.lower()]
-            ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in table.df.select(*table.columns).schema)
+            table = self.table(nodes[-1].text)
+            ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in table.schema)
             return self.spark.createDataFrame([(table.name, f"CREATE TABLE `{table.name}` ({ddl})")], "name string, ddl string")
         raise SqlError(f"SHOW {' '.join(words[1:])} is not supported")
 

@@ -121,6 +121,13 @@ class CircuitBreak:
             if re.search(p, sql, flags):
                 raise QueryRejected(f"circuit break: {p}")
 
+    def layer(self, service: Callable) -> Callable:
+        def run(sql: str):
+            self(sql)
+            return service(sql)
+
+        return run
+
 
 @dataclass
 class ConcurrencyControl:
@@ -149,6 +156,15 @@ class ConcurrencyControl:
             self._begun.append(now)
             return True
 
+    def layer(self, service: Callable) -> Callable:
+        """A service of statements behind this control, for ``chain`` and the engine."""
+
+        def run(sql: str):
+            with self.slot(sql):
+                return service(sql)
+
+        return run
+
     def leave(self) -> None:
         with self._lock:
             if self._begun:
@@ -164,6 +180,11 @@ class ConcurrencyControl:
                 self.leave()
 
 
+def route_shards(shards: list[tuple[str, int]], groups: dict[str, Router], sql: str, in_transaction: bool = False) -> dict[tuple[str, int], Node]:
+    """The endpoint of each (node group, shard): read/write splitting inside each group."""
+    return {s: groups[s[0]].route(sql, in_transaction) for s in shards}
+
+
 def chain(layers: list[Callable], service: Callable) -> Callable:
     """A service behind layers: each takes the next service and gives one."""
     for layer in reversed(layers):
@@ -195,6 +216,18 @@ class Metrics:
                 self.total[key] += 1
                 self.seconds[key].append(time.perf_counter() - began)
 
+    def layer(self, domain: str, server: Callable[[str], str] = lambda sql: "spark") -> Callable:
+        """A layer that counts and times the statements of a service by their first word."""
+
+        def of(service: Callable) -> Callable:
+            def run(sql: str):
+                with self.timed(domain, (sql.split() or [""])[0].upper(), server(sql)):
+                    return service(sql)
+
+            return run
+
+        return of
+
     def exposition(self) -> str:
         """Prometheus text."""
         lines = []

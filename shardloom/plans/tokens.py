@@ -138,15 +138,19 @@ def split(nodes: list[Node], mark: str = ",") -> list[list[Node]]:
     return out if len(out) > 1 or out[0] else []
 
 
-def statements(sql: str) -> list[list[Token]]:
-    """The statements of a text, cut at semicolons."""
-    out: list[list[Token]] = [[]]
-    for t in scan(sql):
-        if t.kind == "op" and t.text == ";":
-            out.append([])
-        else:
-            out[-1].append(t)
-    return [s for s in out if s]
+def pieces(sql: str) -> list[str]:
+    """The statements of a text as they stand in it, cut at semicolons."""
+    out, begin, at = [], 0, 0
+    while at < len(sql):
+        m = _RULES.match(sql, at)
+        if not m:
+            raise SqlError(f"can't read {sql[at : at + 20]!r}")
+        if m.lastgroup == "op" and m.group(0) == ";":
+            out.append(sql[begin:at])
+            begin = m.end()
+        at = m.end()
+    out.append(sql[begin:])
+    return [p.strip() for p in out if scan(p)]
 
 
 def render(nodes: list[Node]) -> str:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import SparkSession
 
 #: Settings that the engine's semantics rely on; a session may set others freely.
@@ -28,6 +30,29 @@ def session(master: str | None = None, **more: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+#: Used only by local sessions (tests, notebooks) that name no shared folder.
+LOCAL_FOLDER = "/tmp/checkpoints/shardloom"
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share (``spark.checkpoint.dir``). Only a
+    session without executors of their own may do without the setting."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(LOCAL_FOLDER)
+    return LOCAL_FOLDER
+
+
+def forget_at_exit(spark: SparkSession, path: str) -> None:
+    """Have a working table deleted when the application ends."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+
+
 def load(spark: SparkSession, folder: str, name: str):
     """One table of a folder of Parquet tables."""
     return spark.read.parquet(f"{folder}/{name}.parquet")

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shardloom.plans.govern import route_shards
 from shardloom.sources.rules import ShardingRule
 
 
@@ -15,6 +16,14 @@ def read_endpoint(spark: SparkSession, url: str, table: str, **options: str) ->
     return spark.read.format("jdbc").options(url=url, dbtable=table, **options).load()
 
 
+def read_groups(spark: SparkSession, groups: dict, urls: dict[str, str], rule: ShardingRule, sql: str = "SELECT", in_transaction: bool = False, read=read_endpoint, **options: str) -> DataFrame:
+    """``read_shards`` where each of the rule's nodes is a group of endpoints: the router of a
+    group (``groups``, by node) says which endpoint answers, ``urls`` has each one's address."""
+    nodes = [rule.nodes[db % len(rule.nodes)] for db in range(rule.database.count if rule.database else 1)]
+    chosen = route_shards([(node, db) for db, node in enumerate(nodes)], groups, sql, in_transaction)
+    return read_shards(spark, [urls[chosen[node, db].name] for db, node in enumerate(nodes)], rule, read, **options)
+
+
 def read_shards(spark: SparkSession, urls: list[str], rule: ShardingRule, read=read_endpoint, **options: str) -> DataFrame:
     """All shards of a rule: the union of its physical tables with their shard columns, so a
     partition predicate leaves out the tables it excludes before they are asked.

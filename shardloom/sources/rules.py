@@ -49,12 +49,15 @@ class Level:
 
 @dataclass(frozen=True)
 class ShardingRule:
-    """A logical table with a database level, a table level, or both."""
+    """A logical table with a database level, a table level, or both. With ``buckets``, the rows
+    of each shard are also dealt by a hash of the innermost key, so that tables of the same
+    number of buckets join on these keys without being shuffled."""
 
     table: str
     nodes: tuple[str, ...] = ("ds0",)
     database: Level | None = None
     tables: Level | None = None
+    buckets: int = 0
 
     def __post_init__(self) -> None:
         if self.database is None and self.tables is None:
@@ -65,6 +68,10 @@ class ShardingRule:
         """The partition column of each level."""
         return {k: v for k, v in (("_db", self.database), ("_tbl", self.tables)) if v is not None}
 
+    @property
+    def inner_key(self) -> str:
+        return (self.tables or self.database).column
+
     def physical_name(self, db: int, tbl: int | None = None) -> str:
         """``<node>.<table>_<NNNNN>``; a rule without a table level keeps the table's name."""
         name = self.table if self.tables is None else f"{self.table}_{tbl or 0:05d}"
@@ -110,7 +117,7 @@ def from_mapping(data: dict) -> Config:
     rules = []
     for r in data.get("sharding", []):
         nodes = tuple(r.get("nodes", ["ds0"]))
-        rules.append(ShardingRule(r["table"], nodes, _level(r.get("database"), len(nodes)), _level(r.get("tables"))))
+        rules.append(ShardingRule(r["table"], nodes, _level(r.get("database"), len(nodes)), _level(r.get("tables")), int(r.get("buckets", 0))))
     return Config(rules, data.get("guards", {}), data.get("node", []))
 
 

@@ -6,7 +6,11 @@ from pyspark.sql import functions as F
 
 from shardloom.operators import partition, window
 from shardloom.plans import govern
+from shardloom.plans.engine import Engine
 from shardloom.plans.govern import READ, READWRITE, Node
+from shardloom.plans.tokens import SqlError
+from shardloom.sources import endpoints
+from shardloom.sources.rules import Level, ShardingRule
 from shardloom.streaming import monitors
 
 
@@ -93,3 +97,65 @@ def test_partitions_and_frames(spark):
     assert (got[4].sum_, got[4].count_, got[4].min_, got[4].max_) == (80, 2, 10, 70) and got[0].sum_ == 30
     with pytest.raises(ValueError):
         window.exclude_current(df, ["g"], [F.col("i")], -1, 1, "v", "others")
+
+
+def test_governance_of_an_engine(spark):
+    metrics = govern.Metrics()
+    router = govern.Router([Node("primary"), Node("replica", role=READ)])
+    control, seen = govern.ConcurrencyControl(["(?i)^select"], most=1), []
+    outer = lambda service: lambda sql: (seen.append(sql), service(sql))[1]
+    engine = Engine(spark, guards=[govern.CircuitBreak(["a=1 and b='x'"]), control], layers=[outer], router=router, metrics=metrics, domain="d")
+    engine.add("t", spark.createDataFrame([(1, "a")], "a int, b string"))
+    assert engine.query("SELECT a FROM t").first().a == 1 and engine.server == "replica"
+    with pytest.raises(govern.QueryRejected):
+        engine.query("SELECT a FROM t WHERE a=1 and b='x'")
+    with control.slot("select"), pytest.raises(govern.QueryRejected):
+        engine.query("SELECT a FROM t")
+    engine.execute("BEGIN; SELECT a FROM t; DELETE FROM t; ROLLBACK")
+    assert engine.server == "primary" and not engine.in_transaction and engine.query("SELECT COUNT(*) AS n FROM t").first().n == 1
+    assert seen[:2] == ["SELECT a FROM t", "SELECT a FROM t WHERE a=1 and b='x'"] and "DELETE FROM t" in seen
+    assert metrics.total["d", "SELECT", "replica"] == 2 and metrics.total["d", "DELETE", "primary"] == 1
+
+
+def test_groups_of_endpoints_behind_shards(spark):
+    rule = ShardingRule("t", ("g0", "g1"), Level("k", 2))
+    groups = {g: govern.Router([Node(f"{g}-rw"), Node(f"{g}-r", role=READ)]) for g in rule.nodes}
+    urls = {n: f"jdbc:{n}" for g in rule.nodes for n in (f"{g}-rw", f"{g}-r")}
+    asked = []
+
+    def read(_, url, table):
+        asked.append((url, table))
+        return spark.createDataFrame([(len(asked),)], "k long")
+
+    assert endpoints.read_groups(spark, groups, urls, rule, read=read).count() == 2
+    endpoints.read_groups(spark, groups, urls, rule, "SELECT 1", True, read)
+    assert asked == [("jdbc:g0-r", "t"), ("jdbc:g1-r", "t"), ("jdbc:g0-rw", "t"), ("jdbc:g1-rw", "t")]
+
+
+def test_transactions(spark):
+    engine = Engine(spark)
+    engine.add("t", spark.createDataFrame([(1, 1), (1, 2), (2, 1)], "k int, n int"))
+    count = lambda: engine.query("SELECT COUNT(*) AS n FROM t").first().n
+    engine.execute("SET autocommit = 0; DELETE FROM t WHERE n = 2")
+    assert engine.in_transaction and count() == 2
+    engine.execute("ROLLBACK; SET autocommit = 1")
+    assert count() == 3
+    engine.execute("BEGIN; SAVEPOINT s; INSERT INTO t VALUES (3, 3); ROLLBACK TO SAVEPOINT s; RELEASE SAVEPOINT s; DELETE FROM t WHERE k = 2; COMMIT; ROLLBACK")
+    assert count() == 2
+    with pytest.raises(SqlError):
+        engine.execute("ROLLBACK TO s")
+
+
+def test_tables_as_they_are_defined(spark):
+    engine = Engine(spark)
+    engine.execute("CREATE TABLE w (id BIGINT NOT NULL AUTO_INCREMENT, a INT NOT NULL, b VARCHAR(9) DEFAULT 'none', c INT GENERATED ALWAYS AS (a * 2) STORED, PRIMARY KEY (id), UNIQUE KEY u (a)) PARTITION BY HASH(a) PARTITIONS 3")
+    engine.execute("INSERT INTO w (a, b) VALUES (5, 'x'), (6, DEFAULT); INSERT INTO w (a) VALUES (7)")
+    assert sorted(map(tuple, engine.query("SELECT id, a, b, c FROM w").collect())) == [(1, 5, "x", 10), (2, 6, "none", 12), (3, 7, "none", 14)]
+    engine.execute("UPDATE w SET a = a + 1 WHERE id = 3")
+    assert engine.query("SELECT c FROM w WHERE a = 8").first().c == 16
+    with pytest.raises(SqlError):
+        engine.execute("INSERT INTO w (b) VALUES ('y')")
+    assert [r.column for r in engine.query("SHOW KEYS FROM w").collect()] == ["id"]
+    engine.execute("DROP TABLE w; DROP TABLE IF EXISTS w")
+    for form in ("PROCESSLIST", "GRANTS", "ENGINES", "PRIVILEGES", "FUNCTION STATUS"):
+        assert engine.query(f"SHOW {form}").columns
