@@ -12,25 +12,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no shared folder (tests, notebooks).
-FALLBACK_DIR = "/tmp/checkpoints/shardloom"
-
+from shardloom.session import forget_at_exit, shared_folder
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables, read by Spark so that any store works."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share (``spark.checkpoint.dir``)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(FALLBACK_DIR)
-    return FALLBACK_DIR
-
-
 def materialise(df: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
@@ -38,7 +26,7 @@ def materialise(df: DataFrame, label: str, partition_by: list[str] | None = None
     and makes what follows see one fixed set of rows.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
@@ -47,14 +35,9 @@ def materialise(df: DataFrame, label: str, partition_by: list[str] | None = None
     return spark.read.schema(df.schema).parquet(path)
 
 
-def forget_at_exit(spark: SparkSession, path: str) -> None:
-    """Have a working table deleted when the application ends."""
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
-
-
-#: Rows of an Arrow batch, so that a batch of long texts stays small on both sides.
+#: Rows and bytes of an Arrow batch that an operator works on at once; one row may be larger.
 BATCH_ROWS = 2000
+BATCH_BYTES = 8 << 20
 #: What workers keep between tasks; only the operator that ran last keeps anything.
 _kept: list[dict] = []
 _last = ""
@@ -74,29 +57,42 @@ def _enter(name: str) -> None:
         _last = name
 
 
-def _trim() -> None:
+def trim() -> None:
     """Give freed memory back to the system, where the allocators can."""
     pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim:
-        trim(0)
+    release = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if release:
+        release(0)
+
+
+def bounded(batches: Iterator) -> Iterator:
+    """Arrow batches in slices of bounded rows and bytes; anything else as it comes."""
+    for batch in batches:
+        if not isinstance(batch, pa.RecordBatch):
+            yield batch
+            continue
+        each = max(1, batch.nbytes // max(1, batch.num_rows))
+        rows = max(1, min(BATCH_ROWS, BATCH_BYTES // each))
+        at = 0
+        while at < batch.num_rows:
+            some = batch.slice(at, rows)
+            while some.num_rows > 1 and some.nbytes > 2 * BATCH_BYTES:
+                some = some.slice(0, some.num_rows // 2)
+            yield some
+            at += some.num_rows
 
 
 def own(name: str, run: Callable) -> Callable:
     """``run`` as a task of an operator: Python workers serve many operators in turn, and
-    what one leaves in them would count against the next."""
-    spark = SparkSession.getActiveSession()
-    if spark is not None:
-        key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-        if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
-            spark.conf.set(key, str(BATCH_ROWS))
+    what one leaves in them would count against the next. Batches are bounded here, so no
+    setting of the session has to be changed."""
 
     def task(batches: Iterator) -> Iterator:
         _enter(name)
         try:
-            yield from run(batches)
+            yield from run(bounded(batches))
         finally:
-            _trim()
+            trim()
 
     return task
 

@@ -33,7 +33,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import forget_at_exit, kept, materialise, own, range_bounds, range_bucket, shared_dir, text_batches
+from shardloom.session import forget_at_exit, shared_folder
+
+from ._common import kept, materialise, own, range_bounds, range_bucket, text_batches, trim
 
 END_ID = 1
 LIMIT = 16
@@ -43,7 +45,7 @@ MOST_PARTS = 8192
 #: Payload bytes after which a block is closed; a block has at least one whole document.
 BLOCK_BYTES = 1 << 20
 #: Words and other pieces kept by a worker in each of two generations.
-CACHE = 300_000
+CACHE = 150_000
 _LONG_PIECE = 64
 
 
@@ -184,14 +186,15 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> tuple[DataF
     dtype = encoder(tokenizer).dtype
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(tokenizer)
+        encoder_ = encoder(tokenizer)
         for whole in batches:
-            for batch in text_batches(whole, 6 << 20):
-                ids = own(batch.column("text").cast(pa.string()), end_id)
+            for batch in text_batches(whole, 4 << 20):
+                ids = encoder_(batch.column("text").cast(pa.string()), end_id)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids], ["doc_id", "ids"])
-                pa.default_memory_pool().release_unused()
+                del ids
+                trim()
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(own("huffman", run), "doc_id long, ids binary"), dtype
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(own("huffman-encode", run), "doc_id long, ids binary"), dtype
 
 
 def counts(tokens: DataFrame, dtype: np.dtype) -> dict[int, int]:
@@ -434,7 +437,7 @@ def round_trip(docs: DataFrame, tokenizer: str, end_id: int = END_ID, limit: int
     gives an empty result.
     """
     spark = docs.sparkSession
-    path = f"{shared_dir(spark)}/token-files-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/token-files-{uuid.uuid4().hex}"
     write(docs, path, tokenizer, end_id, limit, block_bytes)
     forget_at_exit(spark, path)
     forget_at_exit(spark, f"{path}-codes")
