@@ -4,8 +4,9 @@ A model holds, for each language, smoothed log probabilities of byte n-grams has
 fixed number of cells. A document is cut into units of consecutive n-grams; each unit comes
 from one language. Expectation-maximisation estimates the document's language proportions
 from the units' likelihoods. The set of languages is selected by penalised likelihood: of
-the leading one, two, ... languages of the full estimate, the set whose log likelihood less
-``penalty`` times half the log of the number of units for each language is largest.
+the leading one, two, ... languages of the full estimate, the set grows as long as its log
+likelihood, less ``PENALTY`` times half the log of the number of units for each language,
+rises. Equal shares go to the language that comes first by code point.
 
 N-grams of the training rows are counted on the executors (one row per language, cell and
 task) and summed by Spark; the driver sees languages x cells counts, whatever the input.
@@ -29,9 +30,9 @@ CELLS = 1 << 15
 UNIT = 24
 #: Training rows of each language, about: a documented bound for a classifier's sample.
 SAMPLE = 4000
-#: Languages that a model may have.
+#: Languages that a model may have: its table (cells x languages) is sent to all executors.
+#: More than these are refused, none is left out.
 MOST_LANGUAGES = 200
-MOST_IN_SET = 3
 PENALTY = 2.0
 ROUNDS = 12
 UNKNOWN = "und"
@@ -95,33 +96,42 @@ class Model:
         begin = np.cumsum(n_units) - n_units
         base = np.add.reduceat(top, begin)
 
-        def fit(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        def fit(mask: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Shares and log likelihoods of some texts over the languages of their masks."""
+            sizes = n_units[rows]
+            own_prob = prob if len(rows) == len(texts) else prob[np.repeat(begin[rows] - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))]
+            first = np.cumsum(sizes) - sizes
             share = mask / mask.sum(axis=1, keepdims=True)
             for _ in range(ROUNDS):
-                own = prob * np.repeat(share, n_units, axis=0)
+                own = own_prob * np.repeat(share, sizes, axis=0)
                 total = own.sum(axis=1, keepdims=True) + 1e-300
-                share = np.add.reduceat(own / total, begin, axis=0) / n_units[:, None]
-            total = (prob * np.repeat(share, n_units, axis=0)).sum(axis=1) + 1e-300
-            return share, base + np.add.reduceat(np.log(total), begin)
-
-        k = len(self.langs)
-        full, _ = fit(np.ones((len(texts), k)))
-        rank = np.argsort(np.argsort(-full, axis=1, kind="stable"), axis=1)
-        best, score = full, np.full(len(texts), -np.inf)
-        for size in range(1, min(k, MOST_IN_SET) + 1):
-            share, found = fit((rank < size).astype(np.float64))
-            found = found - PENALTY * size * np.log(n_units + 1.0) / 2
-            better = found > score
-            best, score = np.where(better[:, None], share, best), np.maximum(score, found)
+                share = np.add.reduceat(own / total, first, axis=0) / sizes[:, None]
+            total = (own_prob * np.repeat(share, sizes, axis=0)).sum(axis=1) + 1e-300
+            return share, base[rows] + np.add.reduceat(np.log(total), first)
+
+        k, rows = len(self.langs), np.arange(len(texts))
+        best, _ = fit(np.ones((len(texts), k)), rows)
+        rank = np.argsort(np.argsort(-best, axis=1, kind="stable"), axis=1)
+        score = np.full(len(texts), -np.inf)
+        for size in range(1, k + 1):
+            share, found = fit((rank[rows] < size).astype(np.float64), rows)
+            found = found - PENALTY * size * np.log(n_units[rows] + 1.0) / 2
+            better = found > score[rows]
+            rows, share = rows[better], share[better]
+            if not len(rows):
+                break
+            best[rows], score[rows] = share, found[better]
         lead = best.argmax(axis=1)
         return lead.tolist(), np.clip(best[np.arange(len(texts)), lead], 0, 1).tolist(), best
 
 
 def train(rows: DataFrame, sample: int = SAMPLE) -> Model:
     """A model from ``rows`` (text, lang, key); nulls are left out. Of each language about
-    ``sample`` rows are used, those of the smallest hashes of ``key``."""
-    rows = rows.where("text IS NOT NULL AND lang IS NOT NULL").select(F.col("lang").cast("string").alias("lang"), "text", F.pmod(F.xxhash64("key"), F.lit(1 << 20)).alias("at"))
-    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()}
+    ``sample`` rows are used, those of the smallest hashes of ``key`` and text."""
+    rows = rows.where("text IS NOT NULL AND lang IS NOT NULL").select(F.col("lang").cast("string").alias("lang"), "text", F.pmod(F.xxhash64("key", "text"), F.lit(1 << 20)).alias("at"))
+    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy("lang").limit(MOST_LANGUAGES + 1).collect()}
+    if len(sizes) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
     if not sizes:
         return Model([], np.zeros((CELLS, 0)))
     langs = sorted(sizes)
@@ -153,7 +163,9 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` (with a column text) and lang_pred, score, lang_shares: the leading language
     of each row's whole text, its proportion (0 to 1), and the proportions of all languages
     of the selected set. A null text, or one without a letter, has ``und``, 0.0 and none; so
-    has every text if the model knows no language. Columns of these names are replaced.
+    has every text if the model knows no language. Columns of these names are replaced, other
+    columns pass through. Repeated rows each get a row. A text counts as a whole, however
+    long it is. An empty table gives an empty result.
     """
     langs, logp = model.langs, model.logp
     kept = [c for c in docs.columns if c not in ("lang_pred", "score", "lang_shares")]
