@@ -21,7 +21,7 @@ from itertools import product
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import materialise
@@ -137,23 +137,40 @@ def sizes(docs: DataFrame):
     return docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), size.alias("size"), order.alias("order"))
 
 
+def ranked(slim: DataFrame) -> DataFrame:
+    """``slim`` (order, row) with ``rank``: a row's number among rows of an equal order. Ranks
+    are counted inside each part of the table as it was written (a row's upper bits) and go on
+    from part to part, so copies that are a third of all rows meet in no single task."""
+    parted = slim.withColumn("_part", F.shiftright("row", 33))
+    inside = F.row_number().over(Window.partitionBy("order", "_part").orderBy("row"))
+    sizes = parted.groupBy("order", "_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("order").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = sizes.select("order", "_part", F.coalesce(before, F.lit(0)).alias("_before"))
+    return parted.withColumn("_inside", inside).join(sizes, ["order", "_part"]).withColumn("rank", F.col("_before") + F.col("_inside") - 1).drop("_part", "_inside", "_before")
+
+
 def mix(docs: DataFrame, share: float = SHARE, most: float = MOST, block: int = BLOCK) -> DataFrame:
     """(doc_id, source, order, size, source_size, target, copies, taken) for each row of
     ``docs`` (doc_id, text, source).
 
     A null text has size 0. Sources without a word have target 0. Rows of equal doc_id are
-    documents of their own; a null doc_id and a null source are allowed. Other columns are
-    ignored. An empty table gives an empty result. ``order`` is a hash of the row.
+    documents of their own; a null doc_id and a null source are allowed. Equal rows are
+    interchangeable: how many of them are taken is the same in each run. Other columns are
+    ignored; texts count as a whole, however long. An empty table gives an empty result.
+    ``order`` is a hash of the row. The driver holds one row for each source.
     """
     spark = docs.sparkSession
     slim = materialise(sizes(docs).withColumn("row", F.monotonically_increasing_id()), "mixing-sizes")
+    slim = materialise(ranked(slim), "mixing-ranks")
     total = {r.source: r.n for r in slim.groupBy("source").agg(F.sum("size").alias("n")).collect()}  # one for each source
     target = targets(total, share, most)
     rate = {s: target[s] / total[s] if total[s] else 0.0 for s in total}
     table = [(s, total[s], float(target[s]), int(rate[s]), rate[s] - int(rate[s])) for s in total]
     plan = F.broadcast(spark.createDataFrame(table, "s string, source_size long, target double, base int, p double"))
     planned = slim.join(plan, slim["source"].eqNullSafe(plan["s"])).drop("s")
-    open_ = planned.select(*(F.col(a).alias(f"_{a}") for a in ("source", "row", "size", "order", "p")))
+    # copies of a row fly in different blocks: which of them is taken makes no difference
+    place = F.xxhash64("order", "rank").alias("_order")
+    open_ = planned.select(*(F.col(a).alias(f"_{a}") for a in ("source", "row", "size")), place, F.col("p").alias("_p"))
     chosen = choose(open_, block).select(F.col("_row").alias("row"), F.col("_p").cast("int").alias("once"))
     copies = F.col("base") + F.col("once")
     return planned.join(chosen, "row").select(
