@@ -123,14 +123,33 @@ def long_of_hex(column):
     return F.lpad(F.lower(F.hex(column)), 16, "0")
 
 
+def _quantiles(df: DataFrame, column: str, n: int) -> list[int]:
+    at = [i / n for i in range(1, n)]
+    return (df.agg(F.percentile_approx(column, at, max(10_000, 10 * n)).alias("p")).first().p or []) if at else []
+
+
 def range_bounds(df: DataFrame, column: str, n: int) -> list[int]:
     """At most n - 1 ascending values that cut a long ``column`` into ranges of about equal
     row counts (a sketch: every row counts, no row is dropped)."""
-    at = [i / n for i in range(1, n)]
-    if not at:
-        return []
-    found = df.agg(F.percentile_approx(column, at, max(10_000, 10 * n)).alias("p")).first().p
-    return sorted(set(found or []))
+    return sorted(set(_quantiles(df, column, n)))
+
+
+def range_part(df: DataFrame, column: str, tie: str, n: int) -> Callable:
+    """A function (column, tie) of names to the number of a row's range, n about in all, in
+    ascending order of ``column`` and then of ``tie`` (a hash of 31 bits): a value that fills
+    several ranges is cut by its ties, so no value has to fit in one range."""
+    found = _quantiles(df, column, n)
+    bounds = sorted(set(found))
+    times = {v: found.count(v) for v in bounds if found.count(v) > 1}
+    wide = max(times.values(), default=1) + 1
+
+    def part(column: str, tie: str):
+        inside = F.lit(0) if not times else F.lit(wide - 1)
+        for v, k in times.items():
+            inside = F.when(F.col(column) == v, F.shiftright(F.col(tie) * k, 31).cast("int")).otherwise(inside)
+        return range_bucket(column, bounds) * wide + inside
+
+    return part
 
 
 def range_bucket(column: str, bounds: list[int]):

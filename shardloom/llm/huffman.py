@@ -11,7 +11,7 @@ that Spark reaches will do. A row is an independent block of whole documents in
 doc_id order: ``part`` and ``block`` (its place), ``start`` (ids before it in its part),
 ``doc_id``, ``n_tokens`` and ``n_bytes`` of each document, ``payload`` (each document's
 codes, most significant bit first, padded to a byte) and ``checkpoints`` (little-endian
-unsigned 32-bit bit offsets of every 256th token from its document's first bit, the first
+unsigned 64-bit bit offsets of every 256th token from its document's first bit, the first
 left out). The folder ``<path>-codes`` has the code length of each id; canonical codes
 follow from it. Decoding is driven by one table of ``limit`` bits, and runs through all
 checkpoints of a block side by side.
@@ -20,6 +20,7 @@ checkpoints of a block side by side.
 from __future__ import annotations
 
 import gc
+import json
 import os
 import re
 import uuid
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 
 from shardloom.session import forget_at_exit, shared_folder
 
-from ._common import kept, materialise, own, range_bounds, range_bucket, text_batches, trim
+from ._common import kept, materialise, own, range_part, text_batches, trim
 
 END_ID = 1
 LIMIT = 16
@@ -78,11 +79,56 @@ class _Generations:
             self.old, self.new = self.new, {}
 
 
+#: What a tokenizer has to do before its merges for ``PieceEncoder`` to be right (fixed values).
+_NORMALIZER = {
+    "type": "Sequence",
+    "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}],
+}
+_PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
+
+def splits_at_spaces(path: str) -> bool:
+    """Whether a tokenizer's file says that it folds case and white space, cuts words from all
+    else, marks the ends of words, and has no special token but of the form ``<|..|>``."""
+    with open(path, encoding="utf-8") as source:
+        said = json.load(source)
+    special = all(re.fullmatch(r"<\|\w+\|>", t["content"]) and not (t["lstrip"] or t["rstrip"] or t["normalized"]) for t in said["added_tokens"])
+    model = said["model"]
+    plain = model["type"] == "BPE" and model["end_of_word_suffix"] == "</w>" and not model["dropout"] and not model["continuing_subword_prefix"] and not model.get("ignore_merges")
+    return special and plain and said["normalizer"] == _NORMALIZER and said["pre_tokenizer"] == _PRE_TOKENIZER
+
+
+class WholeEncoder:
+    """Encodes whole texts, with any tokenizer."""
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self._batch = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
+        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+
+    def __call__(self, texts: pa.StringArray, end: int) -> pa.BinaryArray:
+        out: list[bytes] = []
+        for at in range(0, len(texts), 64):
+            some = [t or "" for t in texts[at : at + 64].to_pylist()]
+            out += [np.array([*e.ids, end], dtype=self.dtype).tobytes() for e in self._batch(some, add_special_tokens=False)]
+        return pa.array(out, pa.binary())
+
+
 class PieceEncoder:
     """Encodes texts with a tokenizer that never joins characters across a space or line
-    feed, so each distinct piece between them is encoded once and looked up after that. A
-    word with punctuation after it is put together from the two; many new words are encoded
-    in one call and cut where the tokenizer marks a word's end.
+    feed (``splits_at_spaces``), so each distinct piece between them is encoded once and
+    looked up after that: the same ids as ``WholeEncoder`` gives in less time. A word with
+    punctuation after it is put together from the two; many new words are encoded in one
+    call and cut where the tokenizer marks a word's end.
     """
 
     def __init__(self, path: str, cache: int = CACHE):
@@ -172,12 +218,13 @@ class PieceEncoder:
         return pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(cuts.astype(np.int32)), pa.py_buffer(ids)])
 
 
-_encoders: dict[str, PieceEncoder] = kept()
+_encoders: dict[str, PieceEncoder | WholeEncoder] = kept()
 
 
-def encoder(path: str) -> PieceEncoder:
+def encoder(path: str) -> PieceEncoder | WholeEncoder:
+    """Whole texts are encoded, unless the tokenizer's file shows that pieces will do."""
     if path not in _encoders:
-        _encoders[path] = PieceEncoder(path)
+        _encoders[path] = PieceEncoder(path) if splits_at_spaces(path) else WholeEncoder(path)
     return _encoders[path]
 
 
@@ -322,10 +369,10 @@ def _code_batches(lengths: dict[int, int], dtype: np.dtype):
                 data, n_bytes, bit = codec.encode(ids, sizes)
                 ends, first = np.cumsum(n_bytes).tolist(), (np.cumsum(sizes) - sizes).tolist()
                 payload = [data[e - n : e].tobytes() for e, n in zip(ends, n_bytes.tolist())]
-                marks = [(bit[f + CHECKPOINT : f + n : CHECKPOINT] - bit[f]).astype("<u4").tobytes() for f, n in zip(first, sizes.tolist())]
+                marks = [(bit[f + CHECKPOINT : f + n : CHECKPOINT] - bit[f]).astype("<u8").tobytes() for f, n in zip(first, sizes.tolist())]
                 yield pa.RecordBatch.from_arrays(
-                    [whole.column("part").slice(at, to - at), whole.column("doc_id").slice(at, to - at), pa.array(sizes, pa.int32()), pa.array(payload, pa.binary()), pa.array(marks, pa.binary())],
-                    ["part", "doc_id", "n_tokens", "payload", "checkpoints"],
+                    [*(whole.column(c).slice(at, to - at) for c in ("part", "doc_id", "h")), pa.array(sizes, pa.int32()), pa.array(payload, pa.binary()), pa.array(marks, pa.binary())],
+                    ["part", "doc_id", "h", "n_tokens", "payload", "checkpoints"],
                 )
                 at = to
 
@@ -374,10 +421,13 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, limi
     tokens, dtype = encode(docs, tokenizer, end_id)
     tokens = materialise(tokens, "token-ids")
     lengths = code_lengths(counts(tokens, dtype), limit)
-    bounds = range_bounds(tokens, "doc_id", parts)
-    parted = tokens.select(range_bucket("doc_id", bounds).alias("part"), "doc_id", "ids")
-    coded = parted.mapInArrow(own("huffman", _code_batches(lengths, dtype)), "part int, doc_id long, n_tokens int, payload binary, checkpoints binary")
-    ordered = coded.repartition("part").sortWithinPartitions("part", "doc_id", "n_tokens", "payload")
+    # a doc_id that fills several ranges is cut by a hash of its ids, which then orders its rows
+    places = tokens.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("doc_id"), (F.xxhash64("ids").bitwiseAND(F.lit(0x7FFFFFFF))).alias("h"))
+    part = range_part(places, "doc_id", "h", parts)
+    parted = tokens.select("doc_id", "ids", F.xxhash64("ids").bitwiseAND(F.lit(0x7FFFFFFF)).alias("h"))
+    parted = parted.withColumn("k", F.coalesce("doc_id", F.lit(-(2**63)))).select(part("k", "h").alias("part"), "doc_id", "ids", "h")
+    coded = parted.mapInArrow(own("huffman", _code_batches(lengths, dtype)), "part int, doc_id long, h long, n_tokens int, payload binary, checkpoints binary")
+    ordered = coded.repartition("part").sortWithinPartitions("part", "doc_id", "h", "n_tokens", "payload").drop("h")
     ordered.mapInArrow(own("huffman", _blocks(block_bytes)), _BLOCKS).write.option("compression", "none").parquet(path)
     codes = docs.sparkSession.createDataFrame(sorted(lengths.items()), "id long, length int")
     codes.coalesce(1).write.parquet(f"{path}-codes")
@@ -400,7 +450,7 @@ def read(spark, path: str, with_ids: bool = False) -> DataFrame:
                 at = np.repeat(begin, runs)
                 later = np.ones(int(runs.sum()), dtype=bool)
                 later[first] = False
-                at[later] += np.frombuffer(row["checkpoints"], dtype="<u4")
+                at[later] += np.frombuffer(row["checkpoints"], dtype="<u8").astype(np.int64)
                 each = np.full(len(at), CHECKPOINT, dtype=np.int64)
                 each[first + runs - 1] = sizes - (runs - 1) * CHECKPOINT
                 ids = codec.decode(np.frombuffer(row["payload"], dtype=np.uint8), at, each).astype("<u4")

@@ -71,3 +71,38 @@ def test_cache_generations():
         assert small(one, 1) == large(one, 1)
     with pytest.raises(ValueError):
         huffman.code_lengths(dict.fromkeys(range(5), 1), 2)
+
+
+def test_pieces_give_what_whole_texts_give():
+    pieces, whole = huffman.PieceEncoder(PATH, cache=50), huffman.WholeEncoder(PATH)
+    some = pa.array(texts(11), pa.string())
+    assert pieces(some, 1).to_pylist() == whole(some, 1).to_pylist()
+
+
+def test_other_tokenizers_encode_whole_texts(docs, tmp_path):
+    other = public_tokenizers.path("byte_bpe_50k.json")
+    assert huffman.splits_at_spaces(PATH) and not huffman.splits_at_spaces(other)
+    assert isinstance(huffman.encoder(other), huffman.WholeEncoder)
+    tok = Tokenizer.from_file(other)
+    got = {r.doc_id: (r.n_tokens, r.ids_crc32) for r in huffman.round_trip(docs([(1, "two  words here"), (2, None)]), other, end_id=50256).collect()}
+    ids = np.array([*tok.encode("two  words here", add_special_tokens=False).ids, 50256], dtype="<u4")
+    assert got == {1: (len(ids), zlib.crc32(ids.tobytes())), 2: (1, zlib.crc32(np.array([50256], dtype="<u4").tobytes()))}
+    said = open(PATH, encoding="utf-8").read()
+    changed = tmp_path / "t.json"
+    changed.write_text(said.replace('"Lowercase"', '"NFKC"', 1), encoding="utf-8")
+    assert not huffman.splits_at_spaces(str(changed))
+
+
+def test_an_id_that_very_many_rows_have_is_in_several_parts(spark, docs):
+    r = random.Random(3)
+    rows = [(5, " ".join(r.choice("abcdefg") for _ in range(r.randint(1, 9)))) for _ in range(600)] + [(i, "x") for i in range(100)]
+    path = f"/tmp/checkpoints/hot-{r.random()}"
+    huffman.write(docs(rows), path, PATH)
+    parts = spark.read.parquet(path).selectExpr("part", "explode(doc_id) AS d").where("d = 5").groupBy("part").count().collect()
+    assert len(parts) > 5 and max(p["count"] for p in parts) < 200
+    got = huffman.read(spark, path).collect()
+    got.sort(key=lambda x: x.start)
+    assert [g.doc_id for g in got] == sorted(d for d, _ in rows)
+    assert all(a.start + a.n_tokens == b.start for a, b in zip(got, got[1:]))
+    want = sorted((d, zlib.crc32(np.array([*Tokenizer.from_file(PATH).encode(t, add_special_tokens=False).ids, 1], dtype="<u4").tobytes())) for d, t in rows)
+    assert sorted((g.doc_id, g.ids_crc32) for g in got) == want
