@@ -87,23 +87,28 @@ def _documents(known: np.ndarray | None, lengths: list[int], k: int, window: int
 
 
 def _extend(window: int):
+    """Runs of equal words of each document and the items that it may hold, along the shifts
+    at which they met."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, doc = None, []
         for batch in batches:
             out: list[list] = [[], [], [], []]
-            for uid, item_id, shift, words, item_words in zip(*(batch.column(i).to_pylist() for i in range(5))):
-                if uid != last:
-                    last, doc = uid, words.split(" ")
-                item = item_words.split(" ")
-                need, low, high = min(window, len(item)), max(0, -shift), min(len(item), len(doc) - shift)
-                run_at = low
-                for i in range(low, high + 1):
-                    if i < high and item[i] == doc[i + shift]:
-                        continue
-                    if i - run_at >= need:
-                        for have, x in zip(out, (uid, item_id, run_at + shift, i + shift)):
-                            have.append(x)
-                    run_at = i + 1
+            for uid, words, met in zip(batch.column("uid").to_pylist(), batch.column("words").to_pylist(), batch.column("met").to_pylist()):
+                doc = words.split(" ")
+                number: dict[str, int] = {}
+                text = np.fromiter((number.setdefault(w, len(number)) for w in doc), dtype=np.int64, count=len(doc))
+                for m in met:
+                    item = np.fromiter((number.get(w, -1) for w in m["item_words"].split(" ")), dtype=np.int64)
+                    need = min(window, len(item))
+                    for shift in m["shifts"]:
+                        low, high = max(0, -shift), min(len(item), len(text) - shift)
+                        if high - low < need:
+                            continue
+                        edge = np.flatnonzero(np.diff(np.r_[False, item[low:high] == text[low + shift : high + shift], False].astype(np.int8)))
+                        for a, b in zip((edge[0::2] + low).tolist(), (edge[1::2] + low).tolist()):
+                            if b - a >= need:
+                                for have, x in zip(out, (uid, m["item_id"], a + shift, b + shift)):
+                                    have.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.string() if i == 1 else pa.int64()) for i, x in enumerate(out)], ["uid", "item_id", "start", "end"])
 
     return run
@@ -117,7 +122,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k
     spans: disjoint [start, end) ranges of hit words, in order. Null texts have no words;
     benchmark rows without words or item_id match nothing. Rows of an equal doc_id each get
     a row; rows of an equal item_id count as one item with the windows of all. ``row`` tells
-    rows apart. Other columns are ignored. Empty tables give an empty result or no hits.
+    rows apart. Other columns are ignored. Texts count as a whole, however long they are or
+    often they repeat a phrase. Empty tables give an empty result or no hits.
     """
     if not 1 <= k <= window:
         raise ValueError("k must be from 1 to the window")
@@ -156,8 +162,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k
     probes = found.where(F.size("hits") > 0).select("uid", F.explode("hits").alias("hit")).select("uid", "hit.h", "hit.at")
     offsets = probes.join(prints.select("h", "item_id", "item_words", "item_at"), "h")
     # items that repeat a text share their comparison only if their id is equal too
-    offsets = offsets.select("uid", "item_id", (F.col("at") - F.col("item_at")).cast("long").alias("shift"), "item_words").distinct()
-    pairs = offsets.join(found.select("uid", "words"), "uid").select("uid", "item_id", "shift", "words", "item_words")
+    offsets = offsets.select("uid", "item_id", (F.col("at") - F.col("item_at")).cast("long").alias("shift"), "item_words")
+    # a text is sent once, with the shifts of each item: as many as it has words, at most
+    met = offsets.groupBy("uid", "item_id", "item_words").agg(F.collect_set("shift").alias("shifts"))
+    met = met.groupBy("uid").agg(F.collect_list(F.struct("item_id", "item_words", "shifts")).alias("met"))
+    pairs = met.join(found.select("uid", "words"), "uid").select("uid", "words", "met")
     hits = pairs.mapInArrow(own("winnow", _extend(window)), "uid long, item_id string, start long, end long")
     by_doc = hits.groupBy("uid").agg(F.sort_array(F.collect_set("item_id")).alias("items"), F.sort_array(F.collect_set(F.struct("start", "end"))).alias("ranges"))
     empty = F.array().cast("array<struct<start: bigint, end: bigint>>")

@@ -60,3 +60,24 @@ def test_empty_tables(spark, docs):
     assert winnow.decontaminate(docs([]), none).count() == 0
     row = winnow.decontaminate(docs([(1, "a b")]), none).first()
     assert (row.n_words, row.n_hit, row["items"]) == (2, 0, [])
+
+
+def test_a_phrase_that_repeats_sends_its_text_once(spark, docs, monkeypatch):
+    """Thousands of shifts, one row: the text of a document is not copied for each."""
+    extend = winnow._extend
+
+    def counted(window):
+        inner = extend(window)
+
+        def run(batches):
+            batches = list(batches)
+            assert sum(b.num_rows for b in batches) <= 3
+            yield from inner(iter(batches))
+
+        return run
+
+    monkeypatch.setattr(winnow, "_extend", counted)
+    bench = [(1, "a a a a a a a a a a a a"), (2, "b a a a a a a a a a a"), (3, "a b " * 8)]
+    rows = [(1, "a " * 3000), (2, "a b " * 1500), (3, "b " + "a " * 12 + "c")]
+    got = winnow.decontaminate(docs(rows), spark.createDataFrame(bench, "item_id long, text string")).collect()
+    assert sorted(((r.doc_id, r.n_words, r.n_hit, r["items"]) for r in got), key=repr) == slow(rows, bench)
