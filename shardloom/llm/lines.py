@@ -179,6 +179,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
 
         return rows.mapInArrow(own("lines", _rewrite(decide, min_chars)), schema)
 
+    keys = materialise(keys, "lines-keys")
     rows_of = keys.groupBy(sharded.alias("shard")).agg(F.count(F.lit(1)).alias("rows"))
     salted = rows_of.join(index.select("shard"), "shard").select("shard", F.ceil(F.col("rows") / PROBE_ROWS).cast("int").alias("salts"))
     probes = keys.withColumn("shard", sharded).join(salted, "shard")
