@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from shardloom.functions.mysql import FUNCTIONS, GET_FORMATS
+from shardloom.functions.mysql import FUNCTIONS, GET_FORMATS, json_extract
 from shardloom.plans.tokens import Group, Node, SqlError, Token, quote, render, split
 
 _NOT_FUNCTIONS = set(
@@ -209,6 +209,28 @@ class Normaliser:
         inner += [Token("word", "FROM"), *nodes[start + 1 : end], *nodes[end:stop]]
         return [*out, nodes[start], Group(inner), Token("word", "AS"), alias, *nodes[stop:]]
 
+    @staticmethod
+    def _mirrored(spec: list[Node]) -> list[Node]:
+        """The same frame of a window, walked from its other end."""
+        order = _find(spec, "ORDER")
+        if order < 0:
+            raise SqlError("FROM LAST asks for an order")
+        kind = next((i for i, n in enumerate(spec) if _is(n, "ROWS", "RANGE")), len(spec))
+        items = []
+        for item in split(spec[order + 2 : kind]):
+            down = _is(item[-1], "DESC")
+            items.append([*(item[:-1] if _is(item[-1], "ASC", "DESC") else item), Token("word", "ASC" if down else "DESC")])
+        flip = {"PRECEDING": "FOLLOWING", "FOLLOWING": "PRECEDING"}
+        turned = lambda bound: [Token("word", flip.get(n.upper, n.text)) if n.kind == "word" else n for n in bound]
+        frame = spec[kind:] or [Token("word", w) for w in ("RANGE", "UNBOUNDED", "PRECEDING")]
+        between = _is(frame[1], "BETWEEN")
+        cut = next((i for i, n in enumerate(frame) if _is(n, "AND")), len(frame))
+        low, high = frame[2 if between else 1 : cut], frame[cut + 1 :] or [Token("word", "CURRENT"), Token("word", "ROW")]
+        out = [*spec[:order], Token("word", "ORDER"), Token("word", "BY")]
+        for i, item in enumerate(items):
+            out += [Token("op", ","), *item] if i else item
+        return [*out, frame[0], Token("word", "BETWEEN"), *turned(high), Token("word", "AND"), *turned(low)]
+
     def _excluded(self, name: str, argument: str, spec: list[Node]) -> str:
         """An aggregate over a frame without the current row."""
         at = _find(spec, "EXCLUDE")
@@ -285,10 +307,12 @@ class Normaliser:
                 text = self._call(n, group, windowed)
                 if windowed:
                     between = [x for x in nodes[i + 2 : over]]
-                    if any(_is(x, "LAST") for x in between):
-                        raise SqlError("FROM LAST has no SQL form here; order the window the other way")
                     ignore = " IGNORE NULLS" if any(_is(x, "IGNORE") for x in between) else ""
                     window = nodes[over + 1]
+                    if any(_is(x, "LAST") for x in between):
+                        if not isinstance(window, Group):
+                            raise SqlError("FROM LAST asks for a window of its own")
+                        window = Group(self._mirrored(window.nodes))
                     spec = f"({self.text(window.nodes)})" if isinstance(window, Group) else window.text
                     out.append(_raw(f"({text}{ignore} OVER {spec})"))
                     i = over + 2
@@ -335,8 +359,15 @@ class Normaliser:
         if kind == "STRING" and len(nodes) > 1 and isinstance(nodes[1], Group):
             return f"left({text}, {self.text(nodes[1].nodes)})"
         if kind in ("BIGINT", "DECIMAL(20,0)"):
-            # numbers round, texts give their leading integer
-            return f"try_cast(round(try_cast({value} AS DOUBLE)) AS {kind})" if not value.isdigit() else text
+            if value.isdigit():
+                return text
+            # numbers round, exactly; texts give the integer they begin with, or 0
+            number = f"try_cast(round(try_cast({value} AS DECIMAL(38,9))) AS DECIMAL(38,0))"
+            leading = f"try_cast(nullif(regexp_extract(CAST({value} AS STRING), '^[ ]*([-+]?[0-9]+)', 1), '') AS DECIMAL(38,0))"
+            whole = f"coalesce({number}, {leading}, CASE WHEN {value} IS NOT NULL THEN 0 END)"
+            if kind == "BIGINT":
+                return f"try_cast({whole} AS BIGINT)"
+            return f"try_cast(CASE WHEN {whole} < 0 THEN {whole} + 18446744073709551616 ELSE {whole} END AS {kind})"
         return text
 
     def _type(self, nodes: list[Node]) -> str:
@@ -631,7 +662,8 @@ class Normaliser:
                 continue
             elif _op(n, "->", "->>"):
                 left = self._pop(out)
-                out.append(_raw(f"get_json_object({render(left)}, {quote(follow.text)})"))
+                find = json_extract if n.text == "->" else "get_json_object({}, {})".format
+                out.append(_raw(find(render(left), quote(follow.text))))
                 i += 2
                 continue
             elif n.kind == "op" and n.text in ("=", "<>", "!=", ">", ">=", "<", "<=") and _is(follow, "ANY", "SOME", "ALL") and i + 2 < len(nodes) and isinstance(nodes[i + 2], Group):
@@ -710,6 +742,18 @@ class Normaliser:
         nulls = f"(SELECT count(*) - count(_c) {source}) > 0"
         return f"(CASE WHEN (SELECT count(*) {source}) = 0 THEN {empty} WHEN {settles} WHEN {nulls} THEN NULL ELSE {test} END)"
 
+    @staticmethod
+    def _truth(nodes: list[Node]) -> str:
+        """A conjunction as a truth value; numbers count as true unless they are 0."""
+        parts, between = [[]], False
+        for n in nodes:
+            if n.upper == "AND" and not between:
+                parts.append([])
+                continue
+            between = n.upper == "BETWEEN" or between and n.upper != "AND"
+            parts[-1].append(n)
+        return "(" + " AND ".join(f"CAST(({render(p)}) AS BOOLEAN)" for p in parts) + ")"
+
     @staticmethod
     def _xor(nodes: list[Node]) -> list[Node]:
         at = _find(nodes, "XOR")
@@ -720,7 +764,7 @@ class Normaliser:
             b = at + 1
             while b < len(nodes) and not (nodes[b].upper in _BOUNDARIES | {"XOR"} or _op(nodes[b], ",")):
                 b += 1
-            text = f"(CAST(({render(nodes[a:at])}) AS BOOLEAN) <> CAST(({render(nodes[at + 1 : b])}) AS BOOLEAN))"
+            text = f"({Normaliser._truth(nodes[a:at])} <> {Normaliser._truth(nodes[at + 1 : b])})"
             nodes = [*nodes[:a], _raw(text), *nodes[b:]]
             at = _find(nodes, "XOR")
         return nodes

@@ -274,6 +274,9 @@ class Engine:
         raise SqlError(f"{first or nodes[0]} is no statement of this engine")
 
     def _select(self, nodes: list[Node]) -> DataFrame | None:
+        stop = next((i for i, n in enumerate(nodes) if n.upper == "FROM"), len(nodes))
+        if any(n.kind == "op" and n.text == ":=" for n in nodes[:stop]):
+            return self._assigned(nodes, stop)
         at = next((i for i, n in enumerate(nodes) if n.upper == "INTO"), -1)
         if any(n.upper == "SQL_CALC_FOUND_ROWS" for n in nodes):
             stop = next((i for i, n in enumerate(nodes) if n.upper == "LIMIT"), len(nodes))
@@ -301,6 +304,22 @@ class Engine:
                 self.variables[name.lstrip("@").lower()] = value
         return None
 
+    def _assigned(self, nodes: list[Node], stop: int) -> DataFrame:
+        """SELECT @a := e, ..: the rows, and in each variable its value in the last of them."""
+        names: dict[int, str] = {}
+        items: list[Node] = []
+        for i, item in enumerate(split(nodes[1:stop])):
+            if len(item) > 2 and item[0].kind == "var" and item[1].text == ":=":
+                names[i], item = item[0].text, item[2:]
+                if not any(n.upper == "AS" for n in item):
+                    item = [*item, Token("word", "AS"), Token("name", names[i])]
+            items += [Token("op", ","), *item] if i else item
+        df = self.kept(self.spark.sql(self._text([nodes[0], *items, *nodes[stop:]])))
+        for row in df.tail(1):
+            for i, name in names.items():
+                self.variables[name.lstrip("@").lower()] = row[i]
+        return df
+
     # -- writes
 
     def _write(self, nodes: list[Node], with_: str) -> DataFrame:

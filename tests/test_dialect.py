@@ -38,7 +38,7 @@ def test_rewrites(sql, want):
 
 def test_escapes_and_errors():
     assert unquote(r"'it''s \n \\ \% x'") == "it's \n \\ \\% x"
-    for bad in ("SELECT (1", "SELECT 1)", "SELECT CAST(a AS NOTHING)", "SELECT NTH_VALUE(a, 2) FROM LAST OVER (ORDER BY a)"):
+    for bad in ("SELECT (1", "SELECT 1)", "SELECT CAST(a AS NOTHING)", "SELECT NTH_VALUE(a, 2) FROM LAST OVER w"):
         with pytest.raises((SqlError, KeyError)):
             text(bad)
 
@@ -138,3 +138,34 @@ def test_frames(engine):
     for bad in ("SELECT SUM(k) OVER (ORDER BY k EXCLUDE TIES) FROM t", "SELECT *, SUM(k) OVER (ORDER BY k GROUPS 1 PRECEDING) FROM t"):
         with pytest.raises(SqlError):
             engine.query(bad)
+
+
+@pytest.mark.parametrize(
+    "sql, want",
+    [
+        ("1 XOR 1 AND 0", True), ("1 XOR 2", False), ("CAST('12abc' AS SIGNED)", 12), ("CAST(9007199254740993 + 0 AS SIGNED)", 9007199254740993), ("CAST('abc' AS SIGNED)", 0), ("CAST(NULL AS SIGNED)", None), ("CAST(-1 AS UNSIGNED)", 18446744073709551615),
+        ("JSON_EXTRACT('{\"a\": \"x\", \"b\": [1, 2]}', '$.a')", '"x"'), ("JSON_UNQUOTE('\"a\\\\nb\"')", "a\nb"), ("JSON_LENGTH('{\"a\": 1, \"b\": 2}')", 2), ("JSON_LENGTH('[1,2,3]')", 3), ("JSON_LENGTH('5')", 1),
+        ("JSON_CONTAINS('{\"a\": 1, \"b\": \"x\"}', '{\"b\": \"x\"}')", True), ("JSON_CONTAINS('{\"a\": 1}', '{\"a\": 2}')", False), ("JSON_CONTAINS('[1, 2]', '[2]')", True), ("JSON_TYPE('[1]')", "ARRAY"),
+        ("JSON_CONTAINS_PATH('{\"a\": 1}', 'one', '$.x', '$.a')", True), ("JSON_VALUE(JSON_SET('{\"a\": 1}', '$.b', 'z'), '$.b')", "z"), ("JSON_REMOVE('{\"a\": 1, \"b\": 2}', '$.a')", '{"b":2}'), ("JSON_REPLACE('{\"a\":1}', '$.b', 2)", '{"a":1}'),
+        ("JSON_MERGE_PATCH('{\"a\":1,\"b\":2}', '{\"b\":null,\"c\":3}')", '{"a":1,"c":3}'),
+        ("DATE_FORMAT('2024-01-05', '%D %w %U %u %V %v %X %x')", "5th 5 00 01 53 01 2023 2024"), ("DATE_FORMAT('2023-01-01', '%U|%u|%V|%v|%X|%x')", "01|00|01|52|2023|2022"), ("DATE_FORMAT('2024-12-30', '%v %x')", "01 2025"),
+        *[(f"WEEK('2024-01-01', {m})", w) for m, w in enumerate((0, 1, 53, 1, 1, 1, 1, 1))], *[(f"WEEK('2021-12-31', {m})", w) for m, w in enumerate((52, 52, 52, 52, 52, 52, 52, 52))], ("YEARWEEK('2023-01-01', 1)", 202252),
+        ("TIMEDIFF('10:00:00', '12:30:15')", "-02:30:15"), ("TIMEDIFF('2024-01-02 00:00:00', '2024-01-01 22:00:00')", "02:00:00"), ("ADDTIME('01:00:00', '00:30:30')", "01:30:30"), ("ADDTIME('2024-01-01 23:00:00', '02:00:00')", "2024-01-02 01:00:00"),
+        ("SEC_TO_TIME(3661)", "01:01:01"), ("TIME_TO_SEC('01:01:01')", 3661), ("MAKETIME(1, 2, 3)", "01:02:03"), ("PERIOD_ADD(202311, 3)", 202402), ("PERIOD_DIFF(202402, 202311)", 3), ("INET_ATON('10.0.5.9')", 167773449), ("INET_NTOA(167773449)", "10.0.5.9"),
+        ("ORD('é')", 50089), ("UNIX_TIMESTAMP('2024-01-05')", 1704412800), ("DATE_FORMAT(CONVERT_TZ('2024-01-01 12:00:00', '+00:00', '+05:30'), '%H:%i')", "17:30"), ("@@version", "8.0.0-shardloom"),
+    ],
+)
+def test_more_values(engine, sql, want):
+    assert one(engine, sql) == want
+
+
+def test_variables_of_a_select_and_counts_of_rows(engine):
+    assert engine.query("SELECT @x := 5, @y := k AS y FROM t WHERE k = 2").first().y == 2
+    assert engine.variables["x"] == 5 and engine.variables["y"] == 2
+    engine.execute("DELETE FROM t WHERE k < 3")
+    assert engine.query("SELECT ROW_COUNT() AS n").first().n == 2
+
+
+def test_from_the_last_row_of_a_frame(engine):
+    got = engine.query("SELECT k, NTH_VALUE(k, 2) FROM LAST OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS a, NTH_VALUE(k, 2) FROM LAST OVER (ORDER BY k) AS b FROM t ORDER BY k").collect()
+    assert [tuple(r) for r in got] == [(1, 2, None), (2, 2, 1), (3, 2, 2)]
