@@ -10,10 +10,10 @@ Hamming distance is verified exactly.
 
 ``near_copies`` looks further than three bits: documents are near copies if their sets of
 shingles of five words have a Jaccard similarity of 0.8 or more. Each has a fingerprint of
-several hash families; candidates share a cell of sampled bits in any of several tables
-(cells have more bits, and there are more tables, the more documents there are, so the pairs
-that meet by chance grow in proportion to the documents) and few differing bits. The
-shingles themselves decide.
+several hash families; candidates share a cell in any of several tables, and differ in few
+bits. Bits alone would need tables in proportion to the number of documents to the power of
+0.23, so a cell has two least hashes of shingles as well as sampled bits: texts meet that
+share shingles, and others do not meet by chance. The shingles themselves decide.
 
 Only distinct fingerprints enter the grid. A cell that holds many is cut into blocks by a
 hash and its pairs of blocks are verified as separate units of bounded size; a unit gives
@@ -270,19 +270,21 @@ def _verify_wide(limit: int, families: int):
 #: ``near_copies``: words of a shingle, and least similarity of their sets.
 WORDS = 5
 SIMILARITY = 0.8
-#: Hash families of 64 bits; those whose bits are compared in a cell, and the share of them in
-#: which candidates may differ (about 15 % do at a similarity of 0.8, with a deviation of
-#: 2.6 %; half at none).
-MEET_FAMILIES = 12
+#: Families of 64 fingerprint bits; those whose bits are compared in a cell, and the share of
+#: them in which candidates may differ (about 15 % do at a similarity of 0.8, with a deviation
+#: of 2.6 %; half at none); families of least hashes.
+MEET_FAMILIES = 4
 CHECKED = 3
 MEET_SHARE = 0.255
-#: The share of pairs of the least similarity that become candidates, and the share of bits
-#: in which such a pair agrees: 1 - arccos(2 s / (1 + s)) / pi.
-RECALL = 0.98
+LEAST_FAMILIES = 12
+#: The share of pairs of the least similarity that become candidates, were tables independent
+#: (as they share families, it is 0.985 on sets of 300 shingles, and 0.996 at a similarity of
+#: 0.85), and the share of bits in which such a pair agrees: 1 - arccos(2 s / (1 + s)) / pi.
+RECALL = 0.998
 AGREE = 0.8485
-#: Bits of a cell at least, and above the logarithm of the number of texts.
-_LEAST_BITS = 16
-_MORE_BITS = 3
+#: Fingerprint bits of a cell, at least; they grow with the logarithm of the number of texts.
+_LEAST_BITS = 6
+_FREE_BITS = 14
 #: Shingles of a unit of texts, about.
 _UNIT_SHINGLES = 1 << 20
 #: Texts of a large group that all others are compared with.
@@ -294,6 +296,13 @@ def shingle_set(text: bytes | None, shingle: int = WORDS) -> np.ndarray:
     return np.unique(_grams(text, shingle))
 
 
+def least_hashes(hashes: np.ndarray) -> np.ndarray:
+    """The least hash of each of several families; of no hashes, the largest number."""
+    if not len(hashes):
+        return np.full(LEAST_FAMILIES, 2**64 - 1, dtype=np.uint64)
+    return np.array([mix(hashes, 100 + j).min() for j in range(LEAST_FAMILIES)], dtype=np.uint64)
+
+
 def similar(sets: list[np.ndarray], least: float = SIMILARITY) -> tuple[list[int], list[int]]:
     """Links (numbers of ``sets``) that connect just what pairs of a Jaccard similarity of
     ``least`` or more connect. Empty sets are copies of each other."""
@@ -348,16 +357,19 @@ def _verify_texts(least: float, shingle: int):
 
 
 def tables(n: int, families: int = MEET_FAMILIES, recall: float = RECALL) -> list[tuple[int, int, int, int]]:
-    """The tables for ``n`` texts: two families each, and a mask of sampled bits for both. A
-    cell has so many bits that fewer than one text in eight shares it by chance; there are
-    so many tables that a pair of the least similarity shares one with probability ``recall``."""
-    bits = max(_LEAST_BITS, math.ceil(math.log2(max(n, 2))) + _MORE_BITS)
-    count = math.ceil(math.log(1 - recall) / math.log(1 - AGREE**bits))
-    rng, out = np.random.default_rng(SEED), []
-    for _ in range(count):
-        a, b = rng.choice(families, 2, replace=False).tolist()
-        masks = [np.bitwise_or.reduce(np.uint64(1) << rng.choice(64, k, replace=False).astype(np.uint64)) for k in (bits // 2, bits - bits // 2)]
-        out.append((a, b, *(int(m.view(np.int64)) for m in masks)))
+    """The tables for ``n`` texts: two families of least hashes, a family of fingerprint bits,
+    and a mask of the bits that are sampled. Texts of a similarity s have a family's least
+    hash in common with probability s, so a cell holds texts that share shingles, and its bits
+    part those that share few; there are so many tables that a pair of the least similarity
+    has a cell in common with probability ``recall``."""
+    bits = max(_LEAST_BITS, min(64, math.ceil(math.log2(max(n, 2))) - _FREE_BITS))
+    count = math.ceil(math.log(1 - recall) / math.log(1 - SIMILARITY**2 * AGREE**bits))
+    rng, pairs = np.random.default_rng(SEED), list(combinations(range(LEAST_FAMILIES), 2))
+    order = rng.permutation(len(pairs)).tolist()
+    out = []
+    for t in range(count):
+        mask = np.bitwise_or.reduce(np.uint64(1) << rng.choice(64, bits, replace=False).astype(np.uint64))
+        out.append((*pairs[order[t % len(pairs)]], t % families, int(mask.view(np.int64))))
     return out
 
 
@@ -365,7 +377,7 @@ def _candidates(nodes: DataFrame, names: list[str], share: float, block: int) ->
     """(node, root): groups of candidates. Texts of a cell are linked if they differ in few
     bits; those of a cell of more than ``block`` are all linked to the least of them, which
     is more than their bits say, and is left to the texts to decide."""
-    cells = [F.xxhash64(F.lit(t), F.col(names[a]).bitwiseAND(F.lit(x)), F.col(names[b]).bitwiseAND(F.lit(y))) for t, (a, b, x, y) in enumerate(tables(nodes.count(), len(names)))]
+    cells = [F.xxhash64(F.lit(t), f"m{a}", f"m{b}", F.col(names[f]).bitwiseAND(F.lit(x))) for t, (a, b, f, x) in enumerate(tables(nodes.count(), len(names)))]
     points = nodes.select("node", F.explode(F.array(*cells)).alias("cell"))
     shared = points.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("least")).where("n > 1")
     shared = materialise(points.join(shared, "cell"), "wide-simhash-shared")
@@ -422,14 +434,14 @@ def near_copies(docs: DataFrame, families: int = MEET_FAMILIES, share: float = M
 
     Fingerprints only make candidates; the shingles of each group of candidates decide, so no
     link has a lesser similarity, and inside a group of candidates none is lost. A pair of
-    the least similarity becomes a candidate with probability ``RECALL``, a closer one with a
+    the least similarity becomes a candidate with a probability of 0.985, a closer one with a
     higher one, and copies always do. In a group of more than ``block`` texts all are first
     compared with a few pivots; the texts that the best pivot has links to are not compared
     with each other, and with the others only where the triangle inequality of the Jaccard
     distance leaves a link possible. Nulls, empty texts, repeated rows and ids are treated as
     in ``near_duplicates``; other columns are ignored, texts of any length count as a whole.
     """
-    names = [f"f{j}" for j in range(families)]
+    names, mins = [f"f{j}" for j in range(families)], [f"m{j}" for j in range(LEAST_FAMILIES)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -438,15 +450,15 @@ def near_copies(docs: DataFrame, families: int = MEET_FAMILIES, share: float = M
                 found = shingle_set(text, shingle)
                 node.append(xxhash.xxh3_64_intdigest(found.tobytes()))
                 size.append(len(found))
-                values.append(_majority(found, families).view(np.int64))
-            values = np.array(values, dtype=np.int64).reshape(-1, families)
+                values.append(np.concatenate([_majority(found, families), least_hashes(found)]).view(np.int64))
+            values = np.array(values, dtype=np.int64).reshape(-1, len(names) + len(mins))
             columns = [batch.column("doc_id"), batch.column("place"), pa.array(np.array(node, dtype=np.uint64).view(np.int64)), pa.array(size, pa.int64())]
-            yield pa.RecordBatch.from_arrays([*columns, *(pa.array(np.ascontiguousarray(values[:, j])) for j in range(families))], ["doc_id", "place", "node", "size", *names])
+            yield pa.RecordBatch.from_arrays([*columns, *(pa.array(np.ascontiguousarray(x)) for x in values.T)], ["doc_id", "place", "node", "size", *names, *mins])
 
-    schema = "doc_id long, place long, node long, size long, " + ", ".join(f"{n} long" for n in names)
+    schema = "doc_id long, place long, node long, size long, " + ", ".join(f"{n} long" for n in names + mins)
     rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64(F.col("doc_id").cast("long"), "text").alias("place"), "text")
     fps = materialise(rows.mapInArrow(own("simhash", run), schema), "wide-simhash")
-    nodes = fps.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("place").alias("place"), F.first("size").alias("size"), *(F.first(n).alias(n) for n in names))
+    nodes = fps.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("place").alias("place"), F.first("size").alias("size"), *(F.first(n).alias(n) for n in names + mins))
     nodes = materialise(nodes, "wide-simhash-nodes")
     met = _candidates(nodes, names, share, block)
     asked = nodes.select("node", "place", "size").join(met, "node")
