@@ -21,8 +21,9 @@ def exclude_current(df: DataFrame, partition: list[str], order: list[Column], lo
     """sum_, count_, avg_, min_ and max_ of ``value`` over ROWS ``low`` to ``high`` without
     the current row, its peer group (``group``), or its peers but not itself (``ties``).
 
-    Sums and counts take the excluded rows off the frame; minima and maxima (of the current
-    row's exclusion) combine the frame's two halves.
+    Sums and counts take the excluded rows off the frame; minima and maxima combine the two
+    sides of what is excluded. Where peers are excluded, a side without a bound is the peer
+    groups before or after, and a side of k rows is looked through for other groups.
     """
     own = Window.partitionBy(*partition).orderBy(*order)
     frame = own.rowsBetween(low, high)
@@ -41,9 +42,26 @@ def exclude_current(df: DataFrame, partition: list[str], order: list[Column], lo
         df = df.withColumns({"_peer": F.dense_rank().over(own), "_row": F.row_number().over(own)})
         peers = Window.partitionBy(*partition, "_peer").orderBy("_row").rangeBetween(low, high)
         off, off_n = F.coalesce(F.sum(v).over(peers), F.lit(0)), F.count(v).over(peers)
-        if exclude == "ties":
+        if exclude == "ties" and low <= 0 <= high:  # the row itself is in the frame, and stays
             off, off_n = off - own_v, off_n - own_n
-        least = most = F.lit(None).cast(df.schema[value].dataType)
+        sides = [(low < 0, low == PRECEDING, own.rowsBetween(low, min(high, -1)), (PRECEDING, -1), high >= 0), (high > 0, high == FOLLOWING, own.rowsBetween(max(low, 1), high), (1, FOLLOWING), low <= 0)]
+        by_peer, values = Window.partitionBy(*partition).orderBy("_peer"), []
+        for present, endless, rows, range_, reaches in sides:
+            if not present:
+                continue
+            if endless and not reaches:
+                raise ValueError("a frame without a bound has to reach the current row")
+            if endless:
+                values.append((F.min(v).over(by_peer.rangeBetween(*range_)), F.max(v).over(by_peer.rangeBetween(*range_))))
+            else:
+                near = F.filter(F.collect_list(F.struct(F.col("_peer").alias("p"), v.alias("v"))).over(rows), lambda x: x["p"] != F.col("_peer"))
+                near = F.transform(near, lambda x: x["v"])
+                values.append((F.array_min(near), F.array_max(near)))
+        if exclude == "ties" and low <= 0 <= high:
+            values.append((v, v))
+        none = F.lit(None).cast(df.schema[value].dataType)
+        least = F.least(*(a for a, _ in values), none, none)
+        most = F.greatest(*(b for _, b in values), none, none)
     else:
         raise ValueError(f"no exclusion of {exclude!r}")
     count = (n - off_n).alias("count_")

@@ -130,6 +130,21 @@ _sql("case_when", "SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'done' WH
 _sql("fulltext_match", "SELECT doc_id, MATCH(text) AGAINST('the license version') AS score FROM documents WHERE MATCH(text) AGAINST('license') > 0", "SELECT doc_id, CAST(len(list_intersect(w, ['the', 'license', 'version'])) AS DOUBLE) AS score FROM (SELECT doc_id, regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}_]+') AS w FROM documents) WHERE list_contains(w, 'license')")
 _sql("fulltext_boolean", "SELECT doc_id FROM documents WHERE MATCH(text) AGAINST('+license -version' IN BOOLEAN MODE) > 0", "SELECT doc_id FROM (SELECT doc_id, regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}_]+') AS w FROM documents) WHERE list_contains(w, 'license') AND NOT list_contains(w, 'version')")
 _sql("prepared_query", "SELECT o_orderkey FROM orders WHERE o_custkey = ? AND o_orderstatus <> ?", "SELECT o_orderkey FROM orders WHERE o_custkey = 42 AND o_orderstatus <> 'F'", rules={"orders": ORDERS_BOTH}, args=[42, "F"])
+_sql("json_arrow_text", "SELECT n_nationkey, d->'$.a' AS quoted, d->>'$.a' AS plain, d->'$.b' AS n FROM (SELECT n_nationkey, CONCAT('{\"a\":\"', n_name, '\",\"b\":[', n_regionkey, ']}') AS d FROM nation) t", "SELECT n_nationkey, '\"' || n_name || '\"' AS quoted, n_name AS plain, '[' || n_regionkey || ']' AS n FROM nation")
+_sql(
+    "fn_json_objects",
+    """SELECT n_nationkey, JSON_LENGTH(d) AS n, JSON_CONTAINS(d, '{"k":3}') AS has, JSON_TYPE(JSON_EXTRACT(d, '$.name')) AS ty, JSON_UNQUOTE(JSON_EXTRACT(d, '$.name')) AS u, JSON_VALUE(JSON_SET(d, '$.k', n_regionkey), '$.k') AS s, JSON_REMOVE(d, '$.name') AS r,
+       JSON_MERGE_PATCH(d, '{"name":null}') AS p, JSON_CONTAINS_PATH(d, 'all', '$.k', '$.none') AS c FROM (SELECT n_nationkey, n_regionkey, CONCAT('{"k":', n_nationkey, ',"name":"', n_name, '"}') AS d FROM nation) t""",
+    """SELECT n_nationkey, 2 AS n, n_nationkey = 3 AS has, 'STRING' AS ty, n_name AS u, CAST(n_regionkey AS VARCHAR) AS s, '{"k":' || n_nationkey || '}' AS r, '{"k":' || n_nationkey || '}' AS p, false AS c FROM nation""",
+)
+_sql("filter_xor_numbers", "SELECT o_orderkey FROM orders WHERE o_orderkey % 2 XOR o_custkey % 3 AND o_totalprice > 100000", "SELECT o_orderkey FROM orders WHERE (o_orderkey % 2 <> 0) <> (o_custkey % 3 <> 0 AND o_totalprice > 100000)")
+_sql("cast_exact", "SELECT o_orderkey, CAST(o_orderkey + 9007199254740992 AS SIGNED) AS big, CAST(CONCAT(o_orderkey, 'abc') AS SIGNED) AS lead, CAST(-o_orderkey AS UNSIGNED) AS u FROM orders", "SELECT o_orderkey, o_orderkey + 9007199254740992 AS big, o_orderkey AS lead, CAST(18446744073709551616 - CAST(o_orderkey AS HUGEINT) AS DECIMAL(20,0)) AS u FROM orders WHERE o_orderkey > 0 UNION ALL SELECT o_orderkey, 9007199254740992, 0, 0 FROM orders WHERE o_orderkey = 0")
+_sql(
+    "win_exclude_peers_sql",
+    "SELECT o_orderkey, SUM(o_custkey) OVER (ORDER BY o_orderpriority RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW EXCLUDE GROUP) AS g, COUNT(*) OVER (PARTITION BY o_orderstatus ORDER BY o_orderpriority ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING EXCLUDE TIES) AS t FROM orders",
+    "SELECT o_orderkey, CAST(SUM(o_custkey) OVER (ORDER BY o_orderpriority RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW EXCLUDE GROUP) AS BIGINT) AS g, COUNT(*) OVER (PARTITION BY o_orderstatus ORDER BY o_orderpriority ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING EXCLUDE TIES) AS t FROM orders",
+)
+_sql("win_nth_from_last_sql", "SELECT o_orderkey, NTH_VALUE(o_totalprice, 2) FROM LAST OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN 1 PRECEDING AND UNBOUNDED FOLLOWING) AS v FROM orders", "SELECT o_orderkey, NTH_VALUE(o_totalprice, 2) OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 FOLLOWING) AS v FROM orders")
 _sql("json_arrow", "SELECT event_id, props->'$.k' AS a, props->>'$.k' AS b FROM events WHERE CAST(props->>'$.k' AS SIGNED) > 50", "SELECT event_id, json_extract_string(props, '$.k') AS a, json_extract_string(props, '$.k') AS b FROM events WHERE CAST(json_extract_string(props, '$.k') AS BIGINT) > 50")
 
 # -- joins: J1-J15
@@ -298,6 +313,24 @@ _sql(
     "SELECT p_partkey, hex(p_name) AS h, md5(p_name) AS m, sha256(p_name) AS s2, to_base64(encode(p_name)) AS b, p_name AS fb, bin(p_size) AS bn, printf('%o', p_size) AS oc, format('{:,.2f}', p_retailprice) AS f FROM part",
 )
 _sql("fn_string_hash", "SELECT p_partkey, SHA1(p_name) AS s, CRC32(p_name) AS c, PASSWORD(p_name) AS p, CHARSET(p_name) AS cs, SOUNDEX(p_name) AS sx FROM part", None)
+_sql("fn_hash", "SELECT p_partkey, SHA1(p_name) AS s, PASSWORD(p_name) AS p, MD5(p_name) AS m, SHA2(p_name, 256) AS t, CHARSET(p_name) AS cs FROM part", "SELECT p_partkey, sha1(p_name) AS s, '*' || upper(sha1(unhex(sha1(p_name)))) AS p, md5(p_name) AS m, sha256(p_name) AS t, 'utf8mb4' AS cs FROM part")
+_sql(
+    "fn_week_modes",
+    "SELECT o_orderkey, WEEK(o_orderdate, 0) AS w0, WEEK(o_orderdate, 1) AS w1, WEEK(o_orderdate, 2) AS w2, WEEK(o_orderdate, 3) AS w3, WEEK(o_orderdate, 5) AS w5, WEEK(o_orderdate, 7) AS w7, YEARWEEK(o_orderdate, 3) AS yw, DATE_FORMAT(o_orderdate, '%U-%u-%V-%v %X %x %w') AS f FROM orders",
+    """WITH o AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d, make_date(CAST(year(o_orderdate) - 1 AS INT), 12, 31) AS e FROM orders),
+       w AS (SELECT o_orderkey, d, CAST(strftime(d, '%U') AS INT) AS w0, CASE WHEN isoyear(d) < year(d) THEN 0 WHEN isoyear(d) > year(d) THEN week(d - 7) + 1 ELSE week(d) END AS w1,
+         CASE WHEN strftime(d, '%U') = '00' THEN CAST(strftime(e, '%U') AS INT) ELSE CAST(strftime(d, '%U') AS INT) END AS w2, week(d) AS w3, CAST(strftime(d, '%W') AS INT) AS w5,
+         CASE WHEN strftime(d, '%W') = '00' THEN CAST(strftime(e, '%W') AS INT) ELSE CAST(strftime(d, '%W') AS INT) END AS w7, CASE WHEN strftime(d, '%U') = '00' THEN year(d) - 1 ELSE year(d) END AS x FROM o)
+       SELECT o_orderkey, w0, CAST(w1 AS INT) AS w1, w2, CAST(w3 AS INT) AS w3, w5, w7, CAST(isoyear(d) * 100 + week(d) AS INT) AS yw,
+         printf('%02d-%02d-%02d-%02d %04d %04d %d', w0, w1, w2, w3, x, isoyear(d), dayofweek(d)) AS f FROM w""",
+)
+_sql(
+    "fn_time_of_day",
+    "SELECT o_orderkey, SEC_TO_TIME(o_orderkey % 86400) AS t, TIME_TO_SEC(SEC_TO_TIME(o_orderkey % 86400)) AS s, MAKETIME(o_orderkey % 24, o_orderkey % 60, 7) AS m, TIMEDIFF(DATE_ADD(o_orderdate, INTERVAL 90 MINUTE), o_orderdate) AS d, ADDTIME(SEC_TO_TIME(o_orderkey % 3600), '01:00:00') AS a, PERIOD_ADD(199811, o_orderkey % 30) AS p, PERIOD_DIFF(200002, 199811) AS q, INET_NTOA(o_orderkey) AS ip, INET_ATON(INET_NTOA(o_orderkey)) AS n FROM orders",
+    """WITH o AS (SELECT o_orderkey AS k, o_orderkey % 86400 AS s, o_orderkey % 3600 + 3600 AS a FROM orders)
+       SELECT k AS o_orderkey, printf('%02d:%02d:%02d', s // 3600, s // 60 % 60, s % 60) AS t, s, printf('%02d:%02d:07', k % 24, k % 60) AS m, '01:30:00' AS d, printf('%02d:%02d:%02d', a // 3600, a // 60 % 60, a % 60) AS a,
+         (1998 * 12 + 10 + k % 30) // 12 * 100 + (1998 * 12 + 10 + k % 30) % 12 + 1 AS p, 15 AS q, printf('%d.%d.%d.%d', k // 16777216, k // 65536 % 256, k // 256 % 256, k % 256) AS ip, k AS n FROM o""",
+)
 _sql(
     "fn_date_part",
     """SELECT o_orderkey, YEAR(o_orderdate) AS y, MONTH(o_orderdate) AS m, DAY(o_orderdate) AS d, HOUR(o_orderdate) AS h, MINUTE(o_orderdate) AS mi, SECOND(o_orderdate) AS s, QUARTER(o_orderdate) AS q,

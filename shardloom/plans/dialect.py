@@ -239,6 +239,8 @@ class Normaliser:
         over = lambda f, w: f"({f} OVER ({self.text(w)}))"
         if what == ["NO", "OTHERS"]:
             return over(call, spec)
+        if what in (["GROUP"], ["TIES"]) and name in ("SUM", "COUNT", "AVG"):
+            return self._without_peers(name, argument, spec, what == ["TIES"])
         if what != ["CURRENT", "ROW"] or name not in ("SUM", "COUNT", "AVG", "MIN", "MAX"):
             raise SqlError(f"EXCLUDE {' '.join(what)} of {name} has a DataFrame function and no SQL text")
         kind = next((i for i, n in enumerate(spec) if _is(n, "ROWS", "RANGE")), len(spec))
@@ -265,6 +267,24 @@ class Normaliser:
         total = f"({over(f'sum({argument})', spec)} - coalesce({argument}, 0))"
         return f"(CASE WHEN {count} > 0 THEN {total}{' / ' + count if name == 'AVG' else ''} END)"
 
+    def _without_peers(self, name: str, argument: str, spec: list[Node], own_stays: bool) -> str:
+        """An aggregate over a RANGE frame (or a whole partition) that holds all peers of the
+        current row, without these, or without them but the row itself."""
+        kind = next((i for i, n in enumerate(spec) if _is(n, "ROWS", "RANGE")), len(spec))
+        words = [n.upper for n in spec[kind:]]
+        whole = words[1:] == ["BETWEEN", "UNBOUNDED", "PRECEDING", "AND", "UNBOUNDED", "FOLLOWING"]
+        if words[:1] == ["ROWS"] and not whole or not whole and ("FOLLOWING" in words[:4] or words[-1:] == ["PRECEDING"] and "BETWEEN" in words):
+            raise SqlError("EXCLUDE GROUP and TIES have SQL text for RANGE frames that hold the current row; others are DataFrame functions")
+        peers = [*spec[:kind], *(Token("word", w) for w in ("RANGE", "BETWEEN", "CURRENT", "ROW", "AND", "CURRENT", "ROW"))]
+        own = ("1" if argument == "*" else f"CASE WHEN ({argument}) IS NULL THEN 0 ELSE 1 END") if own_stays else "0"
+        over = lambda call, w: f"({call} OVER ({self.text(w)}))"
+        count = f"({over(f'count({argument})', spec)} - {over(f'count({argument})', peers)} + {own})"
+        if name == "COUNT":
+            return count
+        left = f"coalesce({argument}, 0)" if own_stays else "0"
+        total = f"({over(f'sum({argument})', spec)} - coalesce({over(f'sum({argument})', peers)}, 0) + {left})"
+        return f"(CASE WHEN {count} > 0 THEN {total}{' / ' + count if name == 'AVG' else ''} END)"
+
     # -- calls
 
     def _args(self, group: Group) -> list[str]:

@@ -135,7 +135,7 @@ def test_frames(engine):
     assert [tuple(r) for r in rows] == [(1, 5, 2), (2, 4, 2), (3, 3, 1)]
     assert [r.m for r in engine.query("SELECT MIN(k) OVER (ORDER BY k ROWS CURRENT ROW EXCLUDE CURRENT ROW) AS m FROM t").collect()] == [None] * 3
     assert engine.query("SELECT SUM(k) OVER (ORDER BY k EXCLUDE NO OTHERS) AS m FROM t").count() == 3
-    for bad in ("SELECT SUM(k) OVER (ORDER BY k EXCLUDE TIES) FROM t", "SELECT *, SUM(k) OVER (ORDER BY k GROUPS 1 PRECEDING) FROM t"):
+    for bad in ("SELECT MIN(k) OVER (ORDER BY k EXCLUDE TIES) FROM t", "SELECT SUM(k) OVER (ORDER BY k ROWS 1 PRECEDING EXCLUDE GROUP) FROM t", "SELECT *, SUM(k) OVER (ORDER BY k GROUPS 1 PRECEDING) FROM t"):
         with pytest.raises(SqlError):
             engine.query(bad)
 

@@ -99,6 +99,20 @@ def test_partitions_and_frames(spark):
         window.exclude_current(df, ["g"], [F.col("i")], -1, 1, "v", "others")
 
 
+@pytest.mark.parametrize("what", ["group", "ties"])
+@pytest.mark.parametrize("low, high", [(-2, 2), (window.PRECEDING, 0), (0, window.FOLLOWING), (window.PRECEDING, window.FOLLOWING), (-3, -1)])
+def test_frames_without_peers_against_loops(spark, what, low, high):
+    rows = [(i, i % 2, (i * 7) % 5, None if i == 6 else (i * 37) % 23) for i in range(24)]
+    df = spark.createDataFrame(rows, "i int, g int, k int, v int")
+    got = window.exclude_current(df.repartition(1).sortWithinPartitions("i"), ["g"], [F.col("k")], low, high, "v", what)
+    for g in (0, 1):
+        have = got.where(F.col("g") == g).collect()
+        for at, r in enumerate(have):
+            frame = range(max(0, at + low), min(len(have) - 1, at + high) + 1)
+            left = [have[j].v for j in frame if (have[j].k != r.k or what == "ties" and j == at) and have[j].v is not None]
+            assert (r.count_, r.sum_, r.min_, r.max_) == (len(left), sum(left) if left else None, min(left, default=None), max(left, default=None))
+
+
 def test_governance_of_an_engine(spark):
     metrics = govern.Metrics()
     router = govern.Router([Node("primary"), Node("replica", role=READ)])
