@@ -14,7 +14,7 @@ from shardloom.operators import dml, partition, window
 from shardloom.plans import govern
 from shardloom.plans.engine import Engine
 from shardloom.session import TABLES, load
-from shardloom.sources import endpoints, layout
+from shardloom.sources import endpoints, layout, rules
 from shardloom.sources.rules import Level, ShardingRule, shard_column
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -313,6 +313,7 @@ _sql(
     "SELECT p_partkey, hex(p_name) AS h, md5(p_name) AS m, sha256(p_name) AS s2, to_base64(encode(p_name)) AS b, p_name AS fb, bin(p_size) AS bn, printf('%o', p_size) AS oc, format('{:,.2f}', p_retailprice) AS f FROM part",
 )
 _sql("fn_string_hash", "SELECT p_partkey, SHA1(p_name) AS s, CRC32(p_name) AS c, PASSWORD(p_name) AS p, CHARSET(p_name) AS cs, SOUNDEX(p_name) AS sx FROM part", None)
+_sql("fn_weight_string", "SELECT n_nationkey, HEX(WEIGHT_STRING(n_name)) AS w, ORD(n_name) AS o FROM nation", "SELECT n_nationkey, hex(n_name) AS w, CAST(ord(n_name) AS BIGINT) AS o FROM nation")
 _sql("fn_hash", "SELECT p_partkey, SHA1(p_name) AS s, PASSWORD(p_name) AS p, MD5(p_name) AS m, SHA2(p_name, 256) AS t, CHARSET(p_name) AS cs FROM part", "SELECT p_partkey, sha1(p_name) AS s, '*' || upper(sha1(unhex(sha1(p_name)))) AS p, md5(p_name) AS m, sha256(p_name) AS t, 'utf8mb4' AS cs FROM part")
 _sql(
     "fn_week_modes",
@@ -507,6 +508,19 @@ _writes(
     "SELECT s_suppkey FROM supplier",
     "SELECT s_suppkey FROM supplier WHERE s_nationkey NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 2)",
 )
+_writes(
+    "cte_delete",
+    "WITH poor AS (SELECT c_custkey FROM customer WHERE c_acctbal < 0) DELETE FROM orders WHERE o_custkey IN (SELECT c_custkey FROM poor)",
+    "SELECT o_orderkey FROM orders",
+    "SELECT o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)",
+    ORDERS_BOTH,
+)
+_writes(
+    "create_table_definition",
+    "CREATE TABLE book (id BIGINT NOT NULL AUTO_INCREMENT, name VARCHAR(25) DEFAULT 'none', size INT GENERATED ALWAYS AS (CHAR_LENGTH(name)) STORED, PRIMARY KEY (id)) PARTITION BY HASH(id) PARTITIONS 3; CREATE INDEX by_name ON book (name); INSERT INTO book (name) SELECT n_name FROM nation; INSERT INTO book (id) VALUES (900)",
+    "SELECT name, size FROM book",
+    "SELECT n_name AS name, CAST(length(n_name) AS INT) AS size FROM nation UNION ALL SELECT 'none', 4",
+)
 _writes(
     "delete_join_composite",
     "DELETE l FROM lineitem l JOIN part ON l_partkey = p_partkey WHERE p_size > 40 AND l_linenumber <> 1",
@@ -566,6 +580,34 @@ def _outfile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.csv(path, schema="_c0 string, _c1 string")
 
 
+@_frame("into_dumpfile", "SELECT '3' || n_name AS value FROM nation WHERE n_nationkey = 3")
+def _dumpfile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    engine = Engine(spark).use(sf_dir, "nation")
+    path = f"{engine.folder}/dumpfile-{uuid.uuid4().hex}"
+    engine.execute(f"SELECT n_nationkey, n_name FROM nation WHERE n_nationkey = 3 INTO DUMPFILE '{path}'")
+    return spark.read.text(path, wholetext=True).select(F.rtrim(F.col("value"), F.lit("\u0000")).alias("value"))
+
+
+@_frame("physical_names", "SELECT o_orderkey, printf('ds%d.orders_%05d', o_custkey % 2, o_orderkey % 4) AS name FROM orders")
+def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir, "orders").select("o_orderkey", ORDERS_BOTH.name_column().alias("name"))
+
+
+_CONFIG = """
+[[sharding]]
+table = "orders"
+nodes = ["ds0", "ds1"]
+database = { column = "o_custkey", count = 2 }
+tables = { column = "o_orderkey", count = 4, strategy = "crc32mod" }
+"""
+
+
+@_frame("config_shards", "SELECT printf('ds%d.orders_%05d', d, t) AS name, 'crc32mod' AS strategy FROM (SELECT unnest(range(2)) AS d), (SELECT unnest(range(4)) AS t)")
+def _config(spark: SparkSession, sf_dir: str) -> DataFrame:
+    [rule] = rules.from_toml(_CONFIG).rules
+    return spark.createDataFrame([(rule.physical_name(d, t), rule.tables.strategy) for d, t in rule.shards()], "name string, strategy string")
+
+
 @_frame("into_variables", "SELECT count(*) AS n, max(n_name) AS m FROM nation")
 def _variables(spark: SparkSession, sf_dir: str) -> DataFrame:
     engine = Engine(spark).use(sf_dir, "nation")
@@ -631,6 +673,25 @@ def _monitor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return govern.latest_states(load(spark, sf_dir, "events"), "user_id", "ts", "event_type")
 
 
+@_frame("circuit_break", f"SELECT event_id, regexp_matches(s, '(?i)^(delete|update)|for update$') AS rejected FROM (SELECT event_id, {_LOG} AS s FROM events)")
+def _circuit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    guard = govern.CircuitBreak(["^(delete|update)", "FOR UPDATE$"], ignore_case=True)
+    return load(spark, sf_dir, "events").select("event_id", guard.column(F.expr(_LOG)).alias("rejected"))
+
+
+@_frame("monitor_endpoints", "SELECT user_id, CASE WHEN event_type = 'purchase' THEN 'readwrite' ELSE 'read' END AS role FROM (SELECT user_id, arg_max(event_type, (ts, event_type)) AS event_type FROM events GROUP BY user_id) WHERE event_type <> 'error'")
+def _endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    states = govern.latest_states(load(spark, sf_dir, "events"), "user_id", "ts", "event_type")
+    role = F.when(F.col("event_type") == "purchase", govern.READWRITE).otherwise(govern.READ)
+    return govern.endpoints(states, "user_id", role, F.col("event_type") != "error")
+
+
+@_frame("load_balance", "SELECT i, CASE WHEN i % 4 = 2 THEN 'b' ELSE 'a' END AS node FROM (SELECT unnest(range(12)) AS i)")
+def _balance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    even = govern.RoundRobin([govern.Node("a", 3), govern.Node("b", 1)])
+    return spark.createDataFrame([(i, even.next().name) for i in range(12)], "i long, node string")
+
+
 @_frame("statement_metrics", "SELECT event_type, COUNT(*) AS total, ROUND(SUM(value), 2) AS duration, MAX(value) AS slowest FROM events GROUP BY event_type")
 def _metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("total"), F.round(F.sum("value"), 2).alias("duration"), F.max("value").alias("slowest"))

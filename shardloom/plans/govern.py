@@ -129,6 +129,14 @@ class CircuitBreak:
         return run
 
 
+    def column(self, sql: Column) -> Column:
+        """Whether a statement of a log would be rejected (regexes have to be Java's as well)."""
+        test = F.lit(False)
+        for p in self.patterns:
+            test = test | sql.rlike(f"(?i){p}" if self.ignore_case else p)
+        return test
+
+
 @dataclass
 class ConcurrencyControl:
     """At most ``most`` statements that match run at a time; a slot that was not given back
@@ -242,6 +250,11 @@ class Metrics:
         return "\n".join(lines) + "\n"
 
 
+def endpoints(states: DataFrame, node: str, role: Column, alive: Column) -> DataFrame:
+    """The endpoint set that the latest states give: (node, role) of the nodes that are alive."""
+    return states.where(alive).select(node, role.alias("role"))
+
+
 def latest_states(reports: DataFrame, node: str, at: str, *states: str) -> DataFrame:
     """The last reported state of each node of a monitor's log; ``states`` break ties."""
     newest = F.max(F.struct(at, *states)).alias("s")

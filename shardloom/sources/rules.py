@@ -77,6 +77,13 @@ class ShardingRule:
         name = self.table if self.tables is None else f"{self.table}_{tbl or 0:05d}"
         return f"{self.nodes[db % len(self.nodes)]}.{name}"
 
+    def name_column(self) -> Column:
+        """``physical_name`` of the shard of each row."""
+        at = self.columns()
+        node = F.element_at(F.array(*(F.lit(n) for n in self.nodes)), F.pmod(at.get("_db", F.lit(0)), F.lit(len(self.nodes))) + 1)
+        name = F.lit(self.table) if self.tables is None else F.concat(F.lit(f"{self.table}_"), F.lpad(at["_tbl"].cast("string"), 5, "0"))
+        return F.concat(node, F.lit("."), name)
+
     def shards(self) -> list[tuple[int, int]]:
         """All (db, tbl) pairs of the rule."""
         return [(d, t) for d in range(self.database.count if self.database else 1) for t in range(self.tables.count if self.tables else 1)]

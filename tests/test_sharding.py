@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from shardloom.plans.engine import Engine
 from shardloom.plans.prune import key_values
 from shardloom.plans.tokens import scan, tree
-from shardloom.sources import layout
+from shardloom.sources import endpoints, layout
 from shardloom.sources.rules import Level, ShardingRule, from_toml, shard_column, shard_of
 
 BOTH = ShardingRule("tshard", ("db0", "db1"), Level("didx", 2), Level("idx", 4))
@@ -127,3 +127,21 @@ def test_route_counts_and_sinks(spark, tmp_path):
     engine.execute("SELECT COUNT(*), MAX(name) INTO @n, @m FROM tshard")
     assert (engine.variables["n"], engine.variables["m"]) == (200, "4")
     assert [r.idx for r in engine.query("SELECT idx FROM tshard WHERE idx = @n - 1").collect()] == [199]
+
+
+def test_shards_in_databases_by_jdbc(spark):
+    """The shards of a rule as tables of two databases (Derby, in memory), read as one table."""
+    rule = ShardingRule("orders", ("ds0", "ds1"), Level("c", 2), Level("k", 2))
+    rows = [(k, k % 5, f"n{k}") for k in range(40)]
+    frame = spark.createDataFrame(rows, "k long, c long, n string")
+    driver = "org.apache.derby.iapi.jdbc.AutoloadedDriver"
+    urls = [f"jdbc:derby:memory:shards{i};create=true" for i in range(2)]
+    for db, tbl in rule.shards():
+        part = frame.where((F.pmod("c", F.lit(2)) == db) & (F.pmod("k", F.lit(2)) == tbl))
+        part.write.format("jdbc").options(url=urls[db], dbtable=f"orders_{tbl:05d}", driver=driver).mode("overwrite").save()
+    got = endpoints.read_shards(spark, urls, rule, driver=driver)
+    assert sorted((r.k, r.c, r.n) for r in got.collect()) == rows
+    one = got.where("_db = 1 AND _tbl = 0 AND k > 10")
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("JDBCRelation") == 1 and "PushedFilters: [" in plan
+    assert sorted(r.k for r in one.collect()) == [k for k, c, _ in rows if c % 2 == 1 and k % 2 == 0 and k > 10]
