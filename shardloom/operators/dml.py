@@ -6,7 +6,7 @@ write only the files that hold such rows anew. Each gives the number of rows aff
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shardloom.plans.tokens import Group, Node, SqlError, Token, render, split
@@ -77,19 +77,36 @@ def insert(engine, nodes: list[Node], with_: str) -> int:
         return F.expr(defaults.get(c.lower(), "NULL")).cast(kinds[c.lower()]).alias(c)
 
     fresh = _generated(table, fresh.select(*(column(c) for c in table.columns), "_ord"))
-    if (counter := table.definition.increments) is not None:
-        most = table.rows().agg(F.max(counter)).first()[0] or 0
-        number = F.row_number().over(Window.orderBy("_ord")) + F.lit(most)
-        fresh = fresh.withColumn(counter, F.coalesce(F.col(counter), number.cast(kinds[counter.lower()])))
+    plain = update is None and not ignore
+    if not plain or table.definition.increments or table.definition.required:
+        fresh = engine.kept(fresh)  # looked at more than once
+    if table.definition.increments:
+        fresh = _numbered(table, fresh, table.definition.increments)
     _required(table, fresh)
-    if update is None and not ignore:
+    if plain:
         return table.append(fresh)
-    given = {} if update is None else {c: _update_text(engine, v, table.columns, alias) for c, v in update.items()}
-    fresh = engine.kept(fresh)
-    merge(table, fresh, given)
+    merge(table, fresh, {} if update is None else {c: _update_text(engine, v, table.columns, alias) for c, v in update.items()})
     return fresh.count()
 
 
+def _numbered(table, fresh: DataFrame, counter: str) -> DataFrame:
+    """``fresh`` with consecutive numbers where ``counter`` is null, from the largest there is:
+    each part of the rows goes on where the part before it ends (``_ord`` has the part in its
+    upper bits), so no task sees all rows."""
+    most = table.rows().agg(F.max(counter)).first()[0] or 0
+    part, inside = F.shiftright("_ord", 33), F.col("_ord").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = sorted((r.p, r.n) for r in fresh.groupBy(part.alias("p")).agg((F.max(inside) + 1).alias("n")).collect())  # one for each part
+    before, ends = 0, []
+    for p, n in sizes:
+        ends.append((p, before))
+        before += n
+    begins = table.spark.createDataFrame(ends, "_p long, _begin long")
+    number = F.col("_begin") + inside + F.lit(most + 1)
+    kind = fresh.schema[counter].dataType
+    numbered = fresh.join(F.broadcast(begins), part == F.col("_p"))
+    return numbered.withColumn(counter, F.coalesce(F.col(counter), number.cast(kind))).drop("_p", "_begin")
+
+
 def _generated(table, rows: DataFrame) -> DataFrame:
     kinds = {f.name: f.dataType for f in table.schema}
     for c, e in table.definition.generated:
@@ -99,9 +116,11 @@ def _generated(table, rows: DataFrame) -> DataFrame:
 
 def _required(table, rows: DataFrame) -> None:
     """NOT NULL columns, and those of the key, take no null."""
-    for c in table.definition.required:
-        if not rows.where(F.col(f"`{c}`").isNull()).isEmpty():
-            raise SqlError(f"column {c} takes no null")
+    names = table.definition.required
+    if names:
+        found = rows.agg(*(F.count_if(F.col(f"`{c}`").isNull()).alias(f"_{i}") for i, c in enumerate(names))).first()
+        if bad := [c for c, n in zip(names, found) if n]:
+            raise SqlError(f"column {bad[0]} takes no null")
 
 
 def _folded(fresh: DataFrame, key: list[str], columns: list[str], update: dict[str, str]) -> DataFrame:
