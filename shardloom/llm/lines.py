@@ -3,9 +3,9 @@
 A line's key is hashed to 128 bits: the upper half names its shard, the lower half is what
 the shard's minimal perfect hash maps to a place in compact arrays: a 64-bit fingerprint,
 the number of documents, and the largest doc_id that holds the line. Counting combines
-before each shuffle, so a line that very many documents hold is one row per task. Keys
-found in too few documents can't drop and are left out of the index: a probe for one meets
-another fingerprint or none.
+before each shuffle, so a line that very many documents hold is one row per task. A key of
+one document can't drop and is left out of the index, in which a probe for it meets another
+fingerprint or none; for all other keys the count says whether they drop.
 
 Documents probe the arrays and are not joined with lines. The arrays go to all executors
 only while they are at most ``broadcast_bytes``; beyond that, each shard's arrays go to
@@ -161,11 +161,11 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long"), "text")
     keys = line_keys(rows, min_chars)
-    frequent = keys.groupBy("hi", "lo").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("last")).where(F.col("n") >= min_docs)
-    frequent = materialise(frequent.withColumn("last", F.coalesce("last", F.lit(_NO_ID))), "lines-frequent")
-    shards = max(1, -(-frequent.count() // shard_keys))
+    repeated = keys.groupBy("hi", "lo").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("last")).where(F.col("n") >= min(2, min_docs))
+    repeated = materialise(repeated.withColumn("last", F.coalesce("last", F.lit(_NO_ID))), "lines-repeated")
+    shards = max(1, -(-repeated.count() // shard_keys))
     sharded = F.pmod(F.shiftrightunsigned("hi", 1), F.lit(shards))
-    index = materialise(frequent.withColumn("shard", sharded).groupBy("shard").applyInPandas(_build, _INDEX), "lines-index")
+    index = materialise(repeated.withColumn("shard", sharded).groupBy("shard").applyInPandas(_build, _INDEX), "lines-index")
     size = index.agg(F.sum(sum(F.octet_length(c) for c in ("hash", "fps", "docs", "last")))).first()[0] or 0
     schema = "doc_id long, n_lines long, n_dropped long, kept string"
     if size <= broadcast_bytes:
