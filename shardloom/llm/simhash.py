@@ -289,6 +289,8 @@ _FREE_BITS = 14
 _UNIT_SHINGLES = 1 << 20
 #: Texts of a large group that all others are compared with.
 PIVOTS = 4
+#: Hashes of texts that are sent to all executors, at most (8 bytes each).
+BROADCAST_ROWS = 1_000_000
 
 
 def shingle_set(text: bytes | None, shingle: int = WORDS) -> np.ndarray:
@@ -464,7 +466,12 @@ def near_copies(docs: DataFrame, families: int = MEET_FAMILIES, share: float = M
     asked = nodes.select("node", "place", "size").join(met, "node")
     crowds = materialise(asked.groupBy("root").agg(F.count(F.lit(1)).alias("n")), "wide-simhash-crowds")
     asked = materialise(asked.join(crowds, "root").select("node", "place", "size", "root", (F.col("n") > block).alias("large")), "wide-simhash-asked")
-    text_of = lambda some: rows.select("place", "text").join(some, "place").dropDuplicates(["node"])
+    # the texts that are asked for, read once; few enough are picked out before any is sent
+    source, places = rows.select("place", "text"), asked.select("place").distinct()
+    if places.count() <= BROADCAST_ROWS:
+        source = source.join(F.broadcast(places), "place", "left_semi")
+    texts = source.join(asked.select("node", "place"), "place").dropDuplicates(["node"]).select("node", "text")
+    texts = materialise(texts, "wide-simhash-texts")
     small = asked.where("not large").select("node", "size", "root", F.lit(False).alias("inner"))
     links_ = []
     if crowds.where(F.col("n") > block).isEmpty():
@@ -472,9 +479,9 @@ def near_copies(docs: DataFrame, families: int = MEET_FAMILIES, share: float = M
     else:
         large = asked.where("large")
         pivots = large.groupBy("root", F.pmod(F.xxhash64("node"), F.lit(PIVOTS)).alias("i")).agg(F.min("node").alias("node"))
-        pivots = text_of(pivots.join(asked.select("node", "place"), "node")).select(F.col("root").alias("r"), F.col("node").alias("pivot"), F.col("text").alias("pivot_text"))
+        pivots = pivots.join(texts, "node").select(F.col("root").alias("r"), F.col("node").alias("pivot"), F.col("text").alias("pivot_text"))
         pivots = materialise(pivots, "wide-simhash-pivots")
-        members = text_of(large.select("node", "place", "root"))
+        members = large.select("node", "root").join(texts, "node")
         told = members.join(pivots, members.root == pivots.r).select("node", "root", "text", "pivot", "pivot_text").mapInArrow(own("simhash", _pivot_links(shingle)), "node long, root long, pivot long, s double")
         told = materialise(told, "wide-simhash-told")
         near = F.col("s") >= least * (1 - 1e-9)
@@ -487,9 +494,7 @@ def near_copies(docs: DataFrame, families: int = MEET_FAMILIES, share: float = M
         seen = seen.where(~near | (F.col("s") <= F.col("next") + (1 - least) + 1e-9)).select("node", "root", near.alias("inner"))
         rest = seen.join(nodes.select("node", "size"), "node").select("node", "size", "root", "inner")
         units = _units(small.unionByName(rest), block)
-    units = units.join(nodes.select("node", "place"), "node")
-    texts = rows.select("place", "text").join(units, "place").dropDuplicates(["unit", "node"]).select("unit", "node", "text")
-    found = texts.repartition("unit").sortWithinPartitions("unit", "node").mapInArrow(own("simhash", _verify_texts(least, shingle)), "a long, b long")
+    found = units.join(texts, "node").select("unit", "node", "text").repartition("unit").sortWithinPartitions("unit", "node").mapInArrow(own("simhash", _verify_texts(least, shingle)), "a long, b long")
     for more in links_:
         found = found.unionByName(more)
     roots = materialise(connected_components(found), "wide-simhash-roots").withColumnRenamed("node", "member")

@@ -146,7 +146,7 @@ def test_near_copies_with_other_passages_against_all_pairs(docs):
     assert all(got[i] == i for i in range(0, len(rows), 2))
 
 
-def test_large_groups_against_all_pairs(docs):
+def test_large_groups_against_all_pairs(docs, monkeypatch):
     """Groups of more texts than a block: most near a pivot, some only near some of those."""
     r = random.Random(33)
     word = lambda: f"w{r.randrange(10**6)}"
@@ -167,7 +167,8 @@ def test_large_groups_against_all_pairs(docs):
             a, b = sorted((root[i], root[j]))
             root = [a if x == b else x for x in root]
     assert len(set(root)) > 6
-    for block in (4, 16):
+    for block, sent in ((4, 0), (16, 1000)):
+        monkeypatch.setattr(simhash, "BROADCAST_ROWS", sent)
         assert {x.doc_id: x.component_id for x in simhash.near_copies(docs(rows), block=block).collect()} == dict(enumerate(root))
 
 
