@@ -483,8 +483,8 @@ def round_trip(docs: DataFrame, tokenizer: str, end_id: int = END_ID, limit: int
     """Write ``docs`` in the shared folder and read back doc_id, start, n_tokens, ids_crc32.
 
     Null and empty texts have the end id alone. A null doc_id comes first; rows of equal
-    doc_id each get a row, in a fixed order. Other columns are ignored. An empty table
-    gives an empty result.
+    doc_id each get a row, in an order that a hash of their ids fixes. Texts count as a whole,
+    however long. Other columns are ignored. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     path = f"{shared_folder(spark)}/token-files-{uuid.uuid4().hex}"

@@ -192,8 +192,9 @@ def scan(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES, threshold: float
     places: (label, first) of each place where a phrase's words stand one after the other;
     spans: (label, first, end, score) of each span of a template that reaches
     ``threshold``, in words counted from 0; for score see ``align``. Null and
-    empty texts have no words. Rows of equal doc_id each get a row, told apart by ``row``.
-    Other columns are ignored. An empty table gives an empty result.
+    empty texts have no words. Rows of equal doc_id each get a row, told apart by ``row``. Of
+    spans of one label that overlap the best stays, of equal ones the first. Texts count as a
+    whole, however long. Other columns are ignored. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     all_templates = [(t, label, True) for t, label in phrases] + [(t, label, False) for t, label in templates]

@@ -155,8 +155,9 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     Keys of at least ``min_chars`` code points that at least ``min_docs`` documents hold
     lose all their lines but in the largest doc_id that holds them. Null and empty texts
     have one empty line. Rows of equal doc_id count as one document and are all returned;
-    rows of null doc_id count as one that is smaller than all others. Other columns are
-    ignored. An empty table gives an empty result.
+    rows of null doc_id count as one that is smaller than all others. Texts count as a whole,
+    however long or of however many lines. Other columns are ignored. An empty table gives an
+    empty result.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long"), "text")

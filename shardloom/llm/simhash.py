@@ -195,8 +195,8 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, shingle: int = SH
     component_id is the smallest doc_id reached by links of ``distance`` bits or fewer.
     Null texts and texts without words have fingerprint 0 and link like any other. Rows
     with equal doc_id each get a row. A null doc_id stays null and never is the smallest;
-    component_id is null only where all of a component's ids are. An empty table gives an
-    empty result.
+    component_id is null only where all of a component's ids are. Texts count as a whole,
+    however long. An empty table gives an empty result.
     """
     fps = materialise(fingerprints(docs, shingle), "simhash")
     nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))

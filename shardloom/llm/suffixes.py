@@ -280,8 +280,9 @@ def dedup_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard_b
     covers, and the maximal [start, end) runs of those that were cut.
 
     Strings don't cross documents; those that overlap in one document count. Null texts are
-    empty. Rows of equal doc_id are documents of their own; a null doc_id stays null. Other
-    columns are ignored. An empty table gives an empty result.
+    empty. Rows of equal doc_id are documents of their own; a null doc_id stays null. Texts
+    count as a whole, however long. Other columns are ignored. An empty table gives an empty
+    result.
     """
     if gram & (gram - 1) or gram > length:
         raise ValueError("gram must be a power of two up to the length")

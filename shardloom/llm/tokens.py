@@ -84,8 +84,9 @@ def count_tokens(docs: DataFrame, path: str, pattern: str, rule: str = "largest"
 
     A null or empty text has one empty section without tokens. n_tokens is a double: whole
     but for the rule ``shares``; its sum over a text is the text's number of tokens. Rows of
-    equal or null doc_id each have rows. Other columns are ignored. An empty table gives an
-    empty result.
+    equal or null doc_id each have rows. Under ``largest`` a token of two equal parts goes to
+    the first. Texts count as a whole, however long. Other columns are ignored. An empty table
+    gives an empty result.
     """
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")
