@@ -46,7 +46,7 @@ MOST_PARTS = 8192
 #: Payload bytes after which a block is closed; a block has at least one whole document.
 BLOCK_BYTES = 1 << 20
 #: Words and other pieces kept by a worker in each of two generations.
-CACHE = 150_000
+CACHE = 200_000
 _LONG_PIECE = 64
 
 
@@ -235,7 +235,7 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> tuple[DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder_ = encoder(tokenizer)
         for whole in batches:
-            for batch in text_batches(whole, 4 << 20):
+            for batch in text_batches(whole, 6 << 20):
                 ids = encoder_(batch.column("text").cast(pa.string()), end_id)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids], ["doc_id", "ids"])
                 del ids
