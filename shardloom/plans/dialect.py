@@ -381,10 +381,10 @@ class Normaliser:
         if kind in ("BIGINT", "DECIMAL(20,0)"):
             if value.isdigit():
                 return text
-            # numbers round, exactly; texts give the integer they begin with, or 0
+            # numbers round, exactly; texts give the integer they begin with, or null
             number = f"try_cast(round(try_cast({value} AS DECIMAL(38,9))) AS DECIMAL(38,0))"
             leading = f"try_cast(nullif(regexp_extract(CAST({value} AS STRING), '^[ ]*([-+]?[0-9]+)', 1), '') AS DECIMAL(38,0))"
-            whole = f"coalesce({number}, {leading}, CASE WHEN {value} IS NOT NULL THEN 0 END)"
+            whole = f"coalesce({number}, {leading})"
             if kind == "BIGINT":
                 return f"try_cast({whole} AS BIGINT)"
             return f"try_cast(CASE WHEN {whole} < 0 THEN {whole} + 18446744073709551616 ELSE {whole} END AS {kind})"
