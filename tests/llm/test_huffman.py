@@ -93,10 +93,10 @@ def test_other_tokenizers_encode_whole_texts(docs, tmp_path):
     assert not huffman.splits_at_spaces(str(changed))
 
 
-def test_an_id_that_very_many_rows_have_is_in_several_parts(spark, docs):
+def test_an_id_that_very_many_rows_have_is_in_several_parts(spark, docs, tmp_path):
     r = random.Random(3)
     rows = [(5, " ".join(r.choice("abcdefg") for _ in range(r.randint(1, 9)))) for _ in range(600)] + [(i, "x") for i in range(100)]
-    path = f"/tmp/checkpoints/hot-{r.random()}"
+    path = f"{tmp_path}/hot"
     huffman.write(docs(rows), path, PATH)
     parts = spark.read.parquet(path).selectExpr("part", "explode(doc_id) AS d").where("d = 5").groupBy("part").count().collect()
     assert len(parts) > 5 and max(p["count"] for p in parts) < 200
