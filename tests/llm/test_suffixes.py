@@ -158,3 +158,38 @@ def test_a_passage_of_many_documents_is_not_one_shard(docs, monkeypatch):
     monkeypatch.setattr(suffixes, "_sort_shards", bounded)
     got = suffixes.dedup_spans(docs(rows), length=40, gram=8, shard_bytes=shard, spill_bytes=64).collect()
     assert sorted(((x.doc_id, x.n_bytes, x.n_removed, x.n_spans, bytes(x.kept)) for x in got), key=repr) == slow(rows, 40)
+
+
+def test_what_windows_share_by_chance_is_not_sorted(docs, monkeypatch):
+    """Documents that share less than a core send nothing to a shard; near copies send what is
+    beside their cores."""
+    r = random.Random(8)
+    text = lambda n: "".join(r.choice("abcdefgh") for _ in range(n))
+    phrase, near = text(24), text(200)
+    rows = [(i, text(60) + phrase + text(60)) for i in range(80)]
+    rows += [(100, near), (101, near[:90] + "zzzz" + near[94:])]
+    sort = suffixes._sort_shards
+
+    def bounded(length, spill_bytes):
+        inner = sort(length, spill_bytes)
+
+        def run(batches):
+            batches = list(batches)
+            assert sum(len(x) for batch in batches for x in batch.column("data").to_pylist()) <= 2 * 200
+            yield from inner(iter(batches))
+
+        return run
+
+    monkeypatch.setattr(suffixes, "_sort_shards", bounded)
+    got = suffixes.dedup_spans(docs(rows), length=40, gram=8).collect()
+    assert sorted(((x.doc_id, x.n_bytes, x.n_removed, x.n_spans, bytes(x.kept)) for x in got), key=repr) == slow(rows, 40)
+    assert sum(x.n_removed for x in got) == 2 * 196
+    assert sum(x.n_spans for x in got) == 4
+
+
+@pytest.mark.parametrize("seed, length, gram", [(11, 40, 32), (12, 32, 32), (13, 33, 1), (14, 41, 16), (15, 2, 2)])
+def test_classes_of_any_length(docs, seed, length, gram):
+    rows = rows_of(seed)
+    for shard in (1 << 20, 60):
+        got = suffixes.dedup_spans(docs(rows), length=length, gram=gram, shard_bytes=shard, spill_bytes=64).collect()
+        assert sorted(((x.doc_id, x.n_bytes, x.n_removed, x.n_spans, bytes(x.kept)) for x in got), key=repr) == slow(rows, length)
